@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tagmill.llm import bytebpe
-from tagmill.llm.common import read_table
+from tagmill.llm import bytebpe, tokenstore
+from tagmill.llm.common import read_table, scratch
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every document's ids to Re-Pair shards, and read the files back."""
+    path = scratch(spark, "token-shards")
+    tokenstore.write_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, path=path)
+    return tokenstore.read_shards(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_shards": op2_token_shards,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
