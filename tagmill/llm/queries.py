@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tagmill.llm import bytebpe, tokenstore
+from tagmill.llm import bytebpe, streamdedup, tokenstore
 from tagmill.llm.common import read_table, scratch
 
 
@@ -23,9 +23,20 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_shards(spark, path)
 
 
+def op8_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts, and the one that stays, of every document."""
+    return streamdedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_shards": op2_token_shards,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_stream_dedup": op8_stream_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_stream_dedup": r"""
+        WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+        SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
+        FROM n WINDOW g AS (PARTITION BY text_sha256)""",
+}
