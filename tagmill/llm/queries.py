@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tagmill.llm import bytebpe, streamdedup, tokenstore
+from tagmill.llm import bytebpe, streamdedup, tokenstore, winnow
 from tagmill.llm.common import read_table, scratch
 
 
@@ -28,10 +28,16 @@ def op8_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamdedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
 
+def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of benchmark passages in every document."""
+    return winnow.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_shards": op2_token_shards,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_stream_dedup": op8_stream_dedup,
+    "op9_winnow": op9_winnow,
 }
 
 ORACLES: dict[str, str] = {
@@ -39,4 +45,22 @@ ORACLES: dict[str, str] = {
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM n WINDOW g AS (PARTITION BY text_sha256)""",
+    "op9_winnow": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        i AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark),
+        iw AS (
+            SELECT DISTINCT item_id, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS win
+            FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+        dw AS (
+            SELECT doc_id, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS win
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM w, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+        h AS (SELECT doc_id, item_id, p, dw.n FROM dw JOIN iw USING (win)),
+        hw AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+        hi AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
 }
