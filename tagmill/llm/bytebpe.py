@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding (operator 7).
 
 Merging runs on a hierarchical-bitmap rank queue. Every merge rank has a bucket of linked-list positions, kept as a
-small heap so that the leftmost pair of a rank goes first. Three levels of 64-bit words say which buckets hold anything;
-find-first-set on each level gives the lowest rank in constant time. An entry whose pair has since changed is stale and
-is skipped when it is popped. A pre-token of n bytes costs O(n log n) however long it is.
+small heap so that the leftmost pair of a rank goes first. Two levels of bitmaps say which buckets hold anything: words
+of 256 ranks, and one word over those; find-first-set on each level gives the lowest rank. An entry whose pair has since
+changed is stale and is skipped when it is popped. A pre-token of n bytes costs O(n log n) however long it is.
 
 Results are those of encoding each match of the split pattern on its own: a pre-token that is itself a rank maps to
 it, any other is merged by lowest rank, leftmost first.
@@ -37,7 +37,12 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces of more characters than this are not remembered.
 MEMO_CHARS = 48
 #: Pieces remembered in one generation; two generations are alive at a time.
-MEMO_SIZE = 200_000
+MEMO_SIZE = 300_000
+#: The same for single pre-tokens, which take longer to make.
+TOKEN_MEMO_SIZE = 500_000
+#: Ranks of one word of the lower bitmap; Python's integers make words of any width.
+SHIFT = 8
+MASK = (1 << SHIFT) - 1
 
 
 def pieces(text: str) -> list[str]:
@@ -46,7 +51,7 @@ def pieces(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """piece -> value (or pre-token -> ids), two generations of bounded size: what is not used for a generation is forgotten."""
+    """piece -> ids or pre-token -> ids, two generations of bounded size: what is not used for a generation is forgotten."""
 
     def __init__(self, make: Callable[[str], bytes], size: int = MEMO_SIZE):
         super().__init__()
@@ -64,57 +69,6 @@ class Memo(dict):
         return value
 
 
-class RankQueue:
-    """Buckets per merge rank under a three-level bitmap of 64-bit words."""
-
-    def __init__(self, n_ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        words = (n_ranks >> 6) + 1
-        self.low = [0] * words
-        self.mid = [0] * ((words >> 6) + 1)
-        self.top = 0  # one bit a word of mid: up to 64 ** 3 ranks as one machine word, beyond that a longer integer
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        w = rank >> 6
-        if not self.low[w]:
-            m = w >> 6
-            self.mid[m] |= 1 << (w & 63)
-            self.top |= 1 << m
-        self.low[w] |= 1 << (rank & 63)
-
-    def fill(self, ranked: dict[int, list[int]]) -> None:
-        """Start with buckets whose positions ascend."""
-        for rank, positions in ranked.items():
-            self.push(rank, positions[0])
-            self.buckets[rank] = positions
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank that holds anything, and its leftmost position."""
-        top = self.top
-        if not top:
-            return None
-        m = (top & -top).bit_length() - 1
-        mid = self.mid[m]
-        w = (m << 6) + (mid & -mid).bit_length() - 1
-        low = self.low[w]
-        rank = (w << 6) + (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[w] = low & (low - 1)
-            if not self.low[w]:
-                self.mid[m] = mid & (mid - 1)
-                if not self.mid[m]:
-                    self.top = top & (top - 1)
-        return rank, position
-
-
 class ByteBPE:
     """Encoder and decoder over mergeable ranks (bytes -> id) and a split pattern."""
 
@@ -125,9 +79,11 @@ class ByteBPE:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.bytes = [ranks.get(bytes([c]), -1) for c in range(256)]
+        #: rank of two neighbours, by their ids: that of their joined bytes, however these are divided
+        self.pairs = {a * len(self.tokens) + b: r for token, r in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None}
         self.findall = regex.compile(pattern).findall
-        self.queue = RankQueue(len(self.tokens))
-        self._tokens = Memo(lambda token: self.merge(token.encode()))
+        self._tokens = Memo(self._encode_token, TOKEN_MEMO_SIZE)
         self._first = Memo(lambda piece: self._encode_piece(piece))
         self._next = Memo(lambda piece: self._encode_piece(" " + piece))
 
@@ -143,53 +99,88 @@ class ByteBPE:
         if whole is not None:
             return [whole]
         n = len(data)
-        get, queue = ranks.get, self.queue
-        end = list(range(1, n + 1))  # of the node that starts at i
+        get, span = self.pairs.get, len(self.tokens)
+        ids = list(map(self.bytes.__getitem__, data))  # of the node that starts at i
+        end = list(range(1, n + 1))  # of that node
         back = list(range(-1, n - 1))
         rank_at = [-1] * n  # rank of the pair that starts at i, -1 if none: an entry of another rank is stale
-        start: dict[int, list[int]] = {}
+        buckets: dict[int, int | list[int]] = {}  # a single position, or a heap of several
+        low: dict[int, int] = {}  # word -> which of its WORD ranks have a bucket
+        top = 0  # which words hold anything
         for i in range(n - 1):
-            r = get(data[i : i + 2])
+            r = get(ids[i] * span + ids[i + 1])
             if r is not None:
                 rank_at[i] = r
-                start.setdefault(r, []).append(i)
-        queue.fill(start)
-        while (entry := queue.pop()) is not None:
-            rank, i = entry
+                bucket = buckets.get(r)
+                if bucket is None:
+                    buckets[r] = i
+                    w = r >> SHIFT
+                    low[w] = low.get(w, 0) | 1 << (r & MASK)
+                    top |= 1 << w
+                elif type(bucket) is list:
+                    bucket.append(i)  # positions ascend here, so this is a heap
+                else:
+                    buckets[r] = [bucket, i]
+        while top:
+            w = (top & -top).bit_length() - 1
+            bits = low[w]
+            rank = (w << SHIFT) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if type(bucket) is list:
+                i = heappop(bucket)
+                if not bucket:
+                    bucket = None
+            else:
+                i, bucket = bucket, None
+            if bucket is None:
+                del buckets[rank]
+                bits &= bits - 1
+                low[w] = bits
+                if not bits:
+                    top &= top - 1
             if rank_at[i] != rank:
                 continue  # stale
             j = end[i]
             rank_at[j] = -1
+            ids[i] = rank
             e = end[i] = end[j]
+            p = back[i]
             if e < n:
                 back[e] = i
-                r = get(data[i : end[e]])
-                if r is None:
-                    rank_at[i] = -1
-                else:
-                    rank_at[i] = r
-                    queue.push(r, i)
+                r = get(rank * span + ids[e])
             else:
-                rank_at[i] = -1
-            p = back[i]
+                r = None
+            q = get(ids[p] * span + rank) if p >= 0 else None
+            rank_at[i] = -1 if r is None else r
             if p >= 0:
-                r = get(data[p:e])
-                if r is None:
-                    rank_at[p] = -1
-                elif r != rank_at[p]:
-                    rank_at[p] = r
-                    queue.push(r, p)
+                if q == rank_at[p]:
+                    q = None
+                else:
+                    rank_at[p] = -1 if q is None else q
+            for r, i in ((r, i), (q, p)):
+                if r is not None:
+                    bucket = buckets.get(r)
+                    if bucket is None:
+                        buckets[r] = i
+                        w = r >> SHIFT
+                        low[w] = low.get(w, 0) | 1 << (r & MASK)
+                        top |= 1 << w
+                    elif type(bucket) is list:
+                        heappush(bucket, i)
+                    else:
+                        buckets[r] = [bucket, i] if bucket < i else [i, bucket]
         out, i = [], 0
         while i < n:
-            out.append(ranks[data[i : end[i]]])
+            out.append(ids[i])
             i = end[i]
         return out
 
+    def _encode_token(self, token: str) -> bytes:
+        ids = self.merge(token.encode())
+        return pack(f"<{len(ids)}I", *ids)
+
     def _encode_piece(self, piece: str) -> bytes:
-        out: list[int] = []
-        for token in self.findall(piece):
-            out += self._tokens[token] if len(token) <= MEMO_CHARS else self.merge(token.encode())
-        return pack(f"<{len(out)}I", *out)
+        return b"".join(map(self._tokens.__getitem__, self.findall(piece)))
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
