@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagmill.llm import bytebpe, streamdedup, tokenstore, winnow
+from tagmill.llm import bytebpe, linededup, streamdedup, tokenstore, winnow
 from tagmill.llm.common import read_table, scratch
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that every document loses, and a digest of what stays."""
+    docs = read_table(spark, sf_dir, "documents")
+    kept = linededup.LineIndex.build(docs).apply(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every document."""
     return bytebpe.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -35,12 +43,21 @@ def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_shards": op2_token_shards,
+    "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_stream_dedup": op8_stream_dedup,
     "op9_winnow": op9_winnow,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, i, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+            FROM (SELECT doc_id, s[i] AS line, i FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)))),
+        c AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+        d AS (SELECT l.*, coalesce(doc_id <> last, false) AS gone FROM l LEFT JOIN c USING (k))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM d GROUP BY doc_id""",
     "op8_stream_dedup": r"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
