@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm import bytebpe, linededup, streamdedup, tokenstore, winnow
+from tagmill.llm import bytebpe, linededup, simhash, streamdedup, tokenstore, winnow
 from tagmill.llm.common import read_table, scratch
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that every document loses, and a digest of what stays."""
     docs = read_table(spark, sf_dir, "documents")
@@ -43,6 +48,7 @@ def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_shards": op2_token_shards,
+    "op3_simhash": op3_simhash,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_stream_dedup": op8_stream_dedup,
