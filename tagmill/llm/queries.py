@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm import bytebpe, linededup, simhash, streamdedup, tokenstore, winnow
+from tagmill.llm import bytebpe, langid, linededup, simhash, streamdedup, tokenstore, winnow
 from tagmill.llm.common import read_table, scratch
 
 
@@ -29,6 +29,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids to Re-Pair shards, and read the files back."""
     path = scratch(spark, "token-shards")
@@ -47,6 +52,7 @@ def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_token_shards": op2_token_shards,
     "op3_simhash": op3_simhash,
     "op6_line_dedup": op6_line_dedup,
