@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm import bytebpe, langid, linededup, simhash, streamdedup, tokenstore, winnow
+from tagmill.llm import bytebpe, langid, licenses, linededup, simhash, streamdedup, tokenstore, winnow
 from tagmill.llm.common import read_table, scratch
 
 
@@ -51,6 +51,11 @@ def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document."""
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_shards": op2_token_shards,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_stream_dedup": op8_stream_dedup,
     "op9_winnow": op9_winnow,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
