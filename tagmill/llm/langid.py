@@ -7,8 +7,9 @@ of context hashes with the logarithms of the back-off weights. A whole text is s
 the lowest cross-entropy per symbol wins, ties go to the first by name.
 
 Rejection is calibrated on documents that the models haven't seen: the cross-entropy of n symbols of a language is taken
-to scatter by ``a + b / n`` around its mean, and a document further off than ``z`` such deviations is rejected. It still
-gets its best language; rejecting is a column of its own.
+to scatter by ``a + b / n`` around its mean. A document is rejected if it is further off than ``z`` such deviations and
+also nearer to letters drawn at random than to its language; so documents that mix learned languages stay. A rejected
+document still gets its best language; rejecting is a column of its own.
 
 The classifier is fitted on a bounded sample of labelled rows: ``SAMPLE_ROWS`` documents in all, shared evenly by at
 most ``MAX_LANGUAGES`` languages (the most frequent ones), of texts of at most ``SAMPLE_CHARS`` characters, the ones with
@@ -155,7 +156,8 @@ class Model:
         low = entropy[np.arange(len(texts)), best]
         score = 1 / np.exp(-SHARPNESS * (entropy - low[:, None])).sum(1)
         off = (low - self.mean[best]) / np.sqrt(self.spread[best, 0] + self.spread[best, 1] / np.maximum(n, 1))
-        return [(self.languages[b], float(s), float(e), bool(o > self.z)) if k else ("und", 0.0, None, True) for b, s, e, o, k in zip(best.tolist(), score, low, off, letters.tolist(), strict=True)]
+        random = (low - self.mean[best]) > (-self.floor - low)
+        return [(self.languages[b], float(s), float(e), bool(o > self.z and r)) if k else ("und", 0.0, None, True) for b, s, e, o, r, k in zip(best.tolist(), score, low, off, random, letters.tolist(), strict=True)]
 
 
 def _count(values: np.ndarray, universe: np.ndarray) -> np.ndarray:
