@@ -18,12 +18,11 @@ and the one with the first locator stays. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import scratch
+from tagmill.llm.common import scratch, settings
 
 _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -34,18 +33,6 @@ _ROCKS = {
 BROADCAST_ROWS = 1_000_000
 
 
-@contextmanager
-def _settings(spark: SparkSession, wanted: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
@@ -69,7 +56,7 @@ def _place() -> Column:
 def update_state(spark: SparkSession, log: str, checkpoint: str, digest: Callable[[Column], Column] = lambda sha: sha) -> DataFrame:
     """Stream 2: bring the keyed state up to the log. Returns the state: digest, keeper (struct), n."""
     schema = spark.read.parquet(log).schema
-    with _settings(spark, _ROCKS):
+    with settings(spark, _ROCKS):
         rows = spark.readStream.schema(schema).parquet(log).withColumn("digest", digest(F.col("sha")))
         state = rows.groupBy("digest").agg(F.min(_place()).alias("keeper"), F.count(F.lit(1)).alias("n"))
         state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -27,6 +27,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagmill.llm.bytebpe import Memo, pieces
-from tagmill.llm.common import slices, two_columns
+from tagmill.llm.common import settings, slices, two_columns
 
 #: Ids after which a shard is closed; a document is never split.
 SHARD_TOKENS = 1 << 20
 #: A pair is frequent from this many occurrences in a shard.
 MIN_COUNT = 16
 #: Rounds of counting and replacing at most, and new rules of a round at most.
-MAX_ROUNDS = 14
-RULES_A_ROUND = 1024
+MAX_ROUNDS = 8
+RULES_A_ROUND = 4096
+#: Pieces remembered in each of two generations.
+MEMO_SIZE = 300_000
+#: Marks that the split pattern of byte-level BPE keeps together and apart from letters.
+POINTS = ".,;:!?"
 
 
 def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int = MAX_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -162,9 +167,17 @@ def _tokenizer(path: str) -> tuple[Memo, Memo, int]:
     t.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def ids(text: str) -> bytes:
-        return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        found = t.encode(text, add_special_tokens=False).ids
+        return pack(f"<{len(found)}I", *found)
 
-    return Memo(ids), Memo(lambda piece: ids(" " + piece)), t.get_vocab_size()
+    def after_blank(piece: str) -> bytes:
+        stem = piece.rstrip(POINTS)
+        if stem != piece and stem.isalpha():  # letters and the marks after them are encoded apart
+            return rest[stem] + first[piece[len(stem) :]]
+        return ids(" " + piece)
+
+    first, rest = Memo(ids, MEMO_SIZE), Memo(after_blank, MEMO_SIZE)
+    return first, rest, t.get_vocab_size()
 
 
 _SHARD = "part int, seq int, part_start bigint, n_ids bigint, doc_ids array<{}>, starts array<bigint>, width int, base bigint, symbols binary, rules binary, lengths binary"
@@ -218,7 +231,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, k
             yield shard()
 
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, _SHARD.format(kind)).write.option("compression", "zstd").parquet(path)
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
+        ordered.mapInArrow(run, _SHARD.format(kind)).write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
