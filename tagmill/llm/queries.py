@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm import bytebpe, langid, licenses, linededup, simhash, streamdedup, tokenstore, winnow
+from tagmill.llm import bytebpe, compaction, langid, licenses, linededup, simhash, streamdedup, tokenstore, winnow
 from tagmill.llm.common import read_table, scratch
 
 
@@ -17,6 +17,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in eight batches; after every four the shards are compacted. What the last version holds."""
+    docs = read_table(spark, sf_dir, "documents")
+    table = compaction.ShardTable(spark, scratch(spark, "shards"), docs.schema)
+    for half in (0, 1):
+        part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half)
+        table.append(part, arrivals=4, by=F.shiftright(F.xxhash64("doc_id"), 1))
+        table.compact()
+        table.vacuum()
+    return table.read().select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that every document loses, and a digest of what stays."""
     docs = read_table(spark, sf_dir, "documents")
@@ -60,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_shards": op2_token_shards,
     "op3_simhash": op3_simhash,
+    "op4_compaction": op4_compaction,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_stream_dedup": op8_stream_dedup,
@@ -68,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_compaction": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents",
     "op6_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, i, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
