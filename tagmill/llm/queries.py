@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm import bytebpe, compaction, langid, licenses, linededup, simhash, streamdedup, tokenstore, winnow
-from tagmill.llm.common import read_table, scratch
+from tagmill.llm import bytebpe, compaction, langid, licenses, linededup, merkle, simhash, streamdedup, tokenstore, winnow
+from tagmill.llm.common import materialise, read_table, scratch
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,18 @@ def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica of all pages, in which a byte of every 997th record's body is damaged: every record with its state."""
+    pages = read_table(spark, sf_dir, "pages")
+    first = materialise(pages.select(F.col("page_id").alias("rec_id"), merkle.warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")), "replica")
+    body = F.locate("\r\n\r\n", F.col("record")) + 4
+    damaged = F.overlay("record", F.when(F.substr("record", body, F.lit(1)) == "#", "*").otherwise("#"), body)
+    second = materialise(first.select("rec_id", F.when((F.pmod("rec_id", F.lit(997)) == 13) & ~F.col("record").endswith("\r\n\r\n\r\n\r\n"), damaged).otherwise(F.col("record")).alias("record")), "replica")
+    one, _, found = merkle.fixity(first, second)
+    found = found.select(F.col("digest_a").alias("digest"), F.col("offset_a").alias("offset"), "status")
+    return one.records.join(found, ["digest", "offset"], "left").select(F.col("rec_id").alias("page_id"), "offset", "n_bytes", "range_no", F.col("digest").alias("rec_sha256"), F.coalesce("status", F.lit("ok")).alias("status"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that every document loses, and a digest of what stays."""
     docs = read_table(spark, sf_dir, "documents")
@@ -73,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_shards": op2_token_shards,
     "op3_simhash": op3_simhash,
     "op4_compaction": op4_compaction,
+    "op5_merkle": op5_merkle,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_stream_dedup": op8_stream_dedup,
@@ -82,6 +95,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_compaction": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents",
+    "op5_merkle": r"""
+        WITH r AS (
+            SELECT page_id, html, concat('WARC/1.1', n, 'WARC-Type: response', n, 'WARC-Target-URI: ', coalesce(url, ''), n, 'WARC-Record-ID: <urn:page:', page_id, '>', n,
+                'Content-Length: ', octet_length(encode(coalesce(html, ''))), n, n, coalesce(html, ''), n, n) AS record
+            FROM pages, (SELECT concat(chr(13), chr(10)) AS n)),
+        d AS (SELECT page_id, html, CAST(octet_length(encode(record)) AS BIGINT) AS n_bytes, sha256(record) AS rec_sha256 FROM r),
+        o AS (SELECT *, CAST(sum(n_bytes) OVER (ORDER BY page_id, rec_sha256 ROWS UNBOUNDED PRECEDING) - n_bytes AS BIGINT) AS "offset" FROM d)
+        SELECT page_id, "offset", n_bytes, "offset" // 262144 AS range_no, rec_sha256, CASE WHEN page_id % 997 = 13 AND coalesce(html, '') <> '' THEN 'changed' ELSE 'ok' END AS status FROM o""",
     "op6_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, i, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
