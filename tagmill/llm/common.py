@@ -76,3 +76,17 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
 def two_columns(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only key and text, under fixed names, so that clashing extra columns play no part."""
     return df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+
+
+#: Ids that are sent to every task at most.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows, with all their columns, whose id isn't in the single column of ``ids``; rows without an id stay.
+
+    Few ids are broadcast, so that texts stay where they are; more are joined by a shuffle that doesn't sort the texts.
+    """
+    ids = ids.select(F.col(ids.columns[0]).alias("__gone")).filter("__gone IS NOT NULL").distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), docs[key] == ids["__gone"], "left_anti")

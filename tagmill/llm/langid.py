@@ -277,3 +277,17 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     return predict(docs, train(sample(docs, key, text, lang)), key, text)
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Rows, with all their columns, whose text isn't rejected. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for whole in batches:
+            for batch in slices(whole, text, 1 << 20):
+                values = batch.column(batch.schema.get_field_index(text)).to_pylist()
+                yield batch.filter(pa.array([not x[3] for x in known.judge([x or "" for x in values])], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

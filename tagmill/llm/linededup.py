@@ -177,13 +177,26 @@ class LineIndex:
         """Documents without their spent lines: doc_id, n_lines, n_dropped, kept (the text that stays)."""
         source = two_columns(docs, key, text)
         kind = dict(source.dtypes)["doc_id"]
-        out = f"doc_id {kind}, n_lines bigint, n_dropped bigint, kept string"
+        return self._without_spent(source, "doc_id", "text", _kept, f"doc_id {kind}, n_lines bigint, n_dropped bigint, kept string")
+
+    def rewrite(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """The same rows and columns, texts without their spent lines. A null text becomes an empty one."""
+        names = docs.columns
+        at = names.index(text)
+
+        def put(batch: pa.RecordBatch, lines: list[list[str]], drop: list[set[int]]) -> pa.RecordBatch:
+            kept = _kept(batch, lines, drop).column("kept")
+            return pa.RecordBatch.from_arrays([kept if i == at else batch.column(i) for i in range(len(names))], names)
+
+        return self._without_spent(docs, key, text, put, docs.schema)
+
+    def _without_spent(self, source: DataFrame, key: str, text: str, put, schema) -> DataFrame:
         spent = self.spent()
         if (self.table("filters").agg(F.sum("n_keys")).first()[0] or 0) <= BROADCAST_KEYS:
-            return source.mapInArrow(self._by_broadcast(spent), out)
-        return self._by_shuffle(source, spent).mapInArrow(_drop_listed(self.min_chars), out)
+            return source.mapInArrow(self._by_broadcast(spent, key, text, put), schema)
+        return self._by_shuffle(source, spent, key).mapInArrow(_drop_listed(self.min_chars, text, put), schema)
 
-    def _by_broadcast(self, spent: DataFrame):
+    def _by_broadcast(self, spent: DataFrame, key: str, text: str, put):
         context = self.spark.sparkContext
         filters = {r["shard"]: r["filter"] for r in self.table("filters").toLocalIterator()}
         rows = spent.toArrow()
@@ -195,21 +208,21 @@ class LineIndex:
             gates = {s: CuckooFilter.from_bytes(f) for s, f in stored.items()}
             exact = {digests[16 * i : 16 * i + 16]: doc for i, doc in enumerate(last)}
             for whole in batches:
-                for batch in slices(whole, "text"):
-                    docs = batch.column(0).to_pylist()
-                    split = [keys_of(x, min_chars) for x in batch.column(1).to_pylist()]
+                for batch in slices(whole, text):
+                    docs = batch.column(key).to_pylist()
+                    split = [keys_of(x, min_chars) for x in batch.column(text).to_pylist()]
                     flat = [x for _, own in split for x in own if x is not None]
                     maybe = _gate(flat, gates, shards)
                     drop = [{i for i, x in enumerate(own) if x in maybe and x in exact and exact[x] is not None and (doc is None or doc < exact[x])} for doc, (_, own) in zip(docs, split, strict=True)]
-                    yield _kept(batch.column(0), [lines for lines, _ in split], drop)
+                    yield put(batch, [lines for lines, _ in split], drop)
 
         return run
 
-    def _by_shuffle(self, source: DataFrame, spent: DataFrame) -> DataFrame:
-        """Documents with the list of digests that they lose. The short side of the join is built, texts aren't sorted."""
+    def _by_shuffle(self, source: DataFrame, spent: DataFrame, key: str) -> DataFrame:
+        """Documents, and last the list of digests that they lose. The short side of the join is built, texts aren't sorted."""
         losing = self.table("postings").join(spent, "digest").filter("doc_id IS NULL AND max_doc IS NOT NULL OR doc_id < max_doc")
-        listed = losing.groupBy("doc_id").agg(F.collect_set("digest").alias("drops")).withColumnRenamed("doc_id", "drop_id")
-        return source.join(listed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select("doc_id", "text", "drops")
+        listed = losing.groupBy("doc_id").agg(F.collect_set("digest").alias("__drops")).withColumnRenamed("doc_id", "__drop_id")
+        return source.join(listed.hint("shuffle_hash"), source[key].eqNullSafe(listed["__drop_id"]), "left").drop("__drop_id")
 
 
 def _gate(digests: list[bytes], gates: dict[int, CuckooFilter], shards: int) -> set[bytes]:
@@ -228,17 +241,18 @@ def _gate(digests: list[bytes], gates: dict[int, CuckooFilter], shards: int) ->
     return {digests[i] for i in np.flatnonzero(through).tolist()}
 
 
-def _kept(ids: pa.Array, lines: list[list[str]], drop: list[set[int]]) -> pa.RecordBatch:
+def _kept(batch: pa.RecordBatch, lines: list[list[str]], drop: list[set[int]]) -> pa.RecordBatch:
+    """What ``apply`` returns; the ids are the batch's first column."""
     kept = ["\n".join(x for i, x in enumerate(own) if i not in gone) if gone else "\n".join(own) for own, gone in zip(lines, drop, strict=True)]
-    return pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in lines], pa.int64()), pa.array([len(x) for x in drop], pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept"])
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in lines], pa.int64()), pa.array([len(x) for x in drop], pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept"])
 
 
-def _drop_listed(min_chars: int):
+def _drop_listed(min_chars: int, text: str, put):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
-                split = [keys_of(x, min_chars) for x in batch.column(1).to_pylist()]
-                drop = [{i for i, x in enumerate(own) if x in gone} if (gone := set(listed or ())) else set() for (_, own), listed in zip(split, batch.column(2).to_pylist(), strict=True)]
-                yield _kept(batch.column(0), [lines for lines, _ in split], drop)
+            for batch in slices(whole, text):
+                split = [keys_of(x, min_chars) for x in batch.column(text).to_pylist()]
+                lost = [set(x or ()) for x in batch.column(batch.num_columns - 1).to_pylist()]
+                yield put(batch, [lines for lines, _ in split], [{i for i, x in enumerate(own) if x in gone} if gone else set() for (_, own), gone in zip(split, lost, strict=True)])
 
     return run
