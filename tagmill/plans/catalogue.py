@@ -1,4 +1,13 @@
 """All queries over the driver's tables, with the SQL each is held against."""
 
+from __future__ import annotations
+
+from tagmill.plans import evaluation, weightage
+
+_FAMILIES = (weightage, evaluation)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _family in _FAMILIES:
+    QUERIES |= _family.QUERIES
+    ORACLES |= _family.ORACLES
