@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tagmill.plans import evaluation, weightage
+from tagmill.plans import evaluation, quality, text, vectors, weightage
 
-_FAMILIES = (weightage, evaluation)
+_FAMILIES = (weightage, evaluation, quality, text, vectors)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
