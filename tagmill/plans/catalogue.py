@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tagmill.plans import evaluation, quality, text, vectors, weightage
+from tagmill.plans import evaluation, forecast, quality, text, vectors, weightage
 
-_FAMILIES = (weightage, evaluation, quality, text, vectors)
+_FAMILIES = (weightage, evaluation, quality, text, vectors, forecast)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
