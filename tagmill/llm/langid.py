@@ -160,9 +160,28 @@ class Model:
         return [(self.languages[b], float(s), float(e), bool(o > self.z and r)) if k else ("und", 0.0, None, True) for b, s, e, o, r, k in zip(best.tolist(), score, low, off, random, letters.tolist(), strict=True)]
 
 
-def _count(values: np.ndarray, universe: np.ndarray) -> np.ndarray:
+def _count(values: np.ndarray, universe: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
     """How often each of the sorted universe occurs among the values."""
-    return np.bincount(np.searchsorted(universe, values), minlength=len(universe)).astype(np.float64)
+    return np.bincount(np.searchsorted(universe, values), times, len(universe)).astype(np.float64)
+
+
+def _distinct_grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For k = 1 .. ORDER the distinct n-grams of a language with their contexts, suffixes and counts. One text at a time is laid out."""
+    parts: list[list[tuple]] = [[] for _ in range(ORDER)]
+    for text in texts:
+        codes, start, stop = encode([text])
+        h = _hashes(codes)
+        places = slice(int(start[0]) - ORDER + 1, int(stop[0]) - ORDER + 1)
+        none = np.zeros(len(h[0]), np.uint64)
+        for k in range(ORDER):
+            before = np.concatenate([none[:1], h[k - 1][:-1]]) if k else none
+            values, first, counts = np.unique(h[k][places], return_index=True, return_counts=True)
+            parts[k].append((values, before[places][first], (h[k - 1] if k else none)[places][first], counts))
+    out = []
+    for own in parts:
+        values, first, inverse = np.unique(np.concatenate([x[0] for x in own]), return_index=True, return_inverse=True)
+        out.append((values, np.concatenate([x[1] for x in own])[first], np.concatenate([x[2] for x in own])[first], np.bincount(inverse, np.concatenate([x[3] for x in own]), len(values))))
+    return out
 
 
 def train(samples: dict[str, list[str]]) -> Model:
@@ -172,14 +191,7 @@ def train(samples: dict[str, list[str]]) -> Model:
         return model
     learn = {k: [t for i, t in enumerate(samples[k]) if i % 5] or samples[k] for k in model.languages}
     held = {k: [t for i, t in enumerate(samples[k]) if not i % 5] for k in model.languages}
-    # of each language and order: n-gram, its context, its suffix, at every scored place
-    seen: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
-    for name in model.languages:
-        codes, start, stop = encode(learn[name])
-        places = np.concatenate([np.arange(a, b) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]) - (ORDER - 1)
-        h = _hashes(codes)
-        before = [np.concatenate([[np.uint64(0)], x[:-1]]) for x in h]
-        seen.append([(h[k][places], before[k - 1][places] if k else np.zeros(len(places), np.uint64), h[k - 1][places] if k else np.zeros(len(places), np.uint64)) for k in range(ORDER)])
+    seen = [_distinct_grams(learn[name]) for name in model.languages]
     languages = len(model.languages)
     lower: np.ndarray | None = None
     lower_keys: np.ndarray | None = None
@@ -194,10 +206,9 @@ def train(samples: dict[str, list[str]]) -> Model:
         below = lower[np.searchsorted(lower_keys, suffix_of)] if k else np.full((len(keys), languages), 1.0 / (len(keys) + 1))
         for i in range(languages):
             if k == ORDER - 1:
-                count = _count(seen[i][k][0], keys)
+                count = _count(seen[i][k][0], keys, seen[i][k][3])
             else:  # in how many ways it continues to the left: distinct longer n-grams that end in it
-                _, once = np.unique(seen[i][k + 1][0], return_index=True)
-                count = _count(seen[i][k + 1][2][once], keys)
+                count = _count(seen[i][k + 1][2], keys)
             ones, twos = (count == 1).sum(), (count == 2).sum()
             discount = ones / (ones + 2 * twos) if ones and twos else 0.5
             total = np.bincount(context_at, count, len(contexts))
@@ -219,12 +230,14 @@ def _calibrate(model: Model, held: dict[str, list[str]], learn: dict[str, list[s
     mean, spread, off = [], [], []
     for i, name in enumerate(model.languages):
         texts = [t for t in held[name] if any(c.isalpha() for c in t)] or [t for t in learn[name] if any(c.isalpha() for c in t)]
-        total, n, _ = model.score(texts)
-        entropy = total[:, i] / np.maximum(n, 1)
+        n = np.zeros(len(texts), np.int64)
+        entropy, scatter = np.zeros(len(texts)), np.zeros(len(texts))
+        for j, text in enumerate(texts):  # the sample is small; one text at a time bounds the driver's memory
+            codes, start, stop = encode([text])
+            of_place = -model.log_probabilities(codes)[int(start[0]) - ORDER + 1 : int(stop[0]) - ORDER + 1, i].astype(np.float64)
+            n[j], entropy[j], scatter[j] = len(of_place), of_place.mean(), of_place.var()
         centre = float(np.median(entropy))
-        codes, start, stop = encode(texts)
-        of_place = -model.log_probabilities(codes)[:, i]
-        b = 3 * float(np.mean([of_place[x - ORDER + 1 : y - ORDER + 1].var() for x, y in zip(start.tolist(), stop.tolist(), strict=True)])) + 1e-3
+        b = 3 * float(scatter.mean()) + 1e-3
         long = n >= 100
         around = np.abs(entropy[long] - centre) if long.any() else np.abs(entropy - centre)
         a = float(np.median(around) * 1.4826) ** 2 + 1e-4  # of the middle half: odd documents don't widen it
