@@ -127,14 +127,15 @@ class ShardTable:
 
     def plan(self, target: int = TARGET_BYTES, fanout: int = FANOUT) -> DataFrame:
         """path, into: shards to merge, and the number of the file each goes to."""
-        # shards of a tier are ordered by age; a tier's window is over shards, not rows
+        # shards of a tier are ordered by age; windows here are over shards, not rows
         open_ = self.manifest().filter(F.col("bytes") < target)
         size = F.greatest(F.col("bytes"), F.lit(LEAST_BYTES)) / LEAST_BYTES
         tiered = open_.withColumn("tier", F.floor(F.log(float(fanout), size)).cast("int"))
         ages = Window.partitionBy("tier").orderBy("added", "path")
         many = tiered.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tier"))).filter(F.col("n") >= fanout)
         before = F.sum("bytes").over(ages) - F.col("bytes")
-        return many.select("path", "tier", F.floor(before / target).alias("file")).select("path", F.concat_ws("-", "tier", "file").alias("into"))
+        numbered = many.select("path", "tier", F.floor(before / target).alias("file"))
+        return numbered.select("path", (F.dense_rank().over(Window.orderBy("tier", "file")) - 1).alias("into"))
 
     def compact(self, target: int = TARGET_BYTES, fanout: int = FANOUT) -> int | None:
         """Merge once and commit. None if no tier has enough shards."""
@@ -149,7 +150,7 @@ class ShardTable:
         side = F.broadcast(plan) if len(paths) <= BROADCAST_SHARDS else plan
         source = self._rows(paths).select("*", F.col("_metadata.file_path").alias("__path"))
         rows = source.join(side.select(F.col("path").alias("__path"), F.col("into").alias("__into")), "__path").drop("__path")
-        written = self._write(rows.repartition(files, "__into"), "__into").select("path", "rows", "bytes", F.lit(base + 1).alias("added"))
+        written = self._write(rows.repartitionById(files, F.col("__into")), "__into").select("path", "rows", "bytes", F.lit(base + 1).alias("added"))
         stay = self.manifest(base).join(plan.select("path"), "path", "left_anti")
         return self._commit(base + 1, stay.select("path", "rows", "bytes", "added").unionByName(written))
 
