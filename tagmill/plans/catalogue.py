@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tagmill.plans import evaluation, forecast, layout, planner, quality, text, vectors, weightage
+from tagmill.plans import documents, evaluation, forecast, layout, planner, quality, text, vectors, weightage
 
-_FAMILIES = (weightage, evaluation, quality, text, vectors, forecast, layout, planner)
+_FAMILIES = (weightage, evaluation, quality, text, vectors, forecast, layout, planner, documents)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
