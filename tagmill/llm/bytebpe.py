@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tagmill.llm.common import slices, two_columns
+from tagmill.llm.common import slices, small_batches, tidy, two_columns
 
 #: Two neighbouring white-space characters, or one at an end of the text: then cuts need a closer look.
 _UNEVEN = re.compile(r"^\s|\s$| \s|\s ")
@@ -37,9 +37,9 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces of more characters than this are not remembered.
 MEMO_CHARS = 48
 #: Pieces remembered in one generation; two generations are alive at a time.
-MEMO_SIZE = 300_000
+MEMO_SIZE = 200_000
 #: The same for single pre-tokens, which take longer to make.
-TOKEN_MEMO_SIZE = 500_000
+TOKEN_MEMO_SIZE = 300_000
 #: Ranks of one word of the lower bitmap; Python's integers make words of any width.
 SHIFT = 8
 MASK = (1 << SHIFT) - 1
@@ -79,9 +79,6 @@ class ByteBPE:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.bytes = [ranks.get(bytes([c]), -1) for c in range(256)]
-        #: rank of two neighbours, by their ids: that of their joined bytes, however these are divided
-        self.pairs = {a * len(self.tokens) + b: r for token, r in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None}
         self.findall = regex.compile(pattern).findall
         self._tokens = Memo(self._encode_token, TOKEN_MEMO_SIZE)
         self._first = Memo(lambda piece: self._encode_piece(piece))
@@ -99,16 +96,15 @@ class ByteBPE:
         if whole is not None:
             return [whole]
         n = len(data)
-        get, span = self.pairs.get, len(self.tokens)
-        ids = list(map(self.bytes.__getitem__, data))  # of the node that starts at i
-        end = list(range(1, n + 1))  # of that node
+        get = ranks.get
+        end = list(range(1, n + 1))  # of the node that starts at i
         back = list(range(-1, n - 1))
         rank_at = [-1] * n  # rank of the pair that starts at i, -1 if none: an entry of another rank is stale
         buckets: dict[int, int | list[int]] = {}  # a single position, or a heap of several
         low: dict[int, int] = {}  # word -> which of its WORD ranks have a bucket
         top = 0  # which words hold anything
         for i in range(n - 1):
-            r = get(ids[i] * span + ids[i + 1])
+            r = get(data[i : i + 2])
             if r is not None:
                 rank_at[i] = r
                 bucket = buckets.get(r)
@@ -142,15 +138,14 @@ class ByteBPE:
                 continue  # stale
             j = end[i]
             rank_at[j] = -1
-            ids[i] = rank
             e = end[i] = end[j]
             p = back[i]
             if e < n:
                 back[e] = i
-                r = get(rank * span + ids[e])
+                r = get(data[i : end[e]])
             else:
                 r = None
-            q = get(ids[p] * span + rank) if p >= 0 else None
+            q = get(data[p:e]) if p >= 0 else None
             rank_at[i] = -1 if r is None else r
             if p >= 0:
                 if q == rank_at[p]:
@@ -171,7 +166,7 @@ class ByteBPE:
                         buckets[r] = [bucket, i] if bucket < i else [i, bucket]
         out, i = [], 0
         while i < n:
-            out.append(ids[i])
+            out.append(ranks[data[i : end[i]]])
             i = end[i]
         return out
 
@@ -190,6 +185,11 @@ class ByteBPE:
         head = self._first[parts[0]]
         return b"".join((head, *map(self._next.__getitem__, parts[1:])))
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps one generation of each memo."""
+        for memo in (self._tokens, self._first, self._next):
+            memo.old = {}
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
@@ -209,6 +209,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
 
     ``ranks_path`` must be readable on the executors. No shuffle: rows stay in their partitions.
     """
+    small_batches(docs.sparkSession)
     source = two_columns(docs, key, text)
     kind = dict(source.dtypes)["doc_id"]
 
@@ -227,5 +228,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
                 columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, names + ["ids"] * keep_ids)
+        bpe.rest()
 
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+    return source.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)

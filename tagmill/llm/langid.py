@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import slices, two_columns
+from tagmill.llm.common import slices, small_batches, tidy, two_columns
 
 ORDER = 4
 SAMPLE_ROWS = 2400
@@ -273,6 +273,7 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy, rejected of every whole text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
     source = two_columns(docs, key, text)
     kind = dict(source.dtypes)["doc_id"]
@@ -284,7 +285,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 name, score, entropy, rejected = zip(*known.judge([x or "" for x in batch.column(1).to_pylist()]), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected)], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    made = source.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    made = source.mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
@@ -294,6 +295,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Rows, with all their columns, whose text isn't rejected. No shuffle."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,4 +305,4 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 values = batch.column(batch.schema.get_field_index(text)).to_pylist()
                 yield batch.filter(pa.array([not x[3] for x in known.judge([x or "" for x in values])], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import ASCII_SPACE, scratch, slices, two_columns
+from tagmill.llm.common import ASCII_SPACE, scratch, slices, small_batches, tidy, two_columns
 from tagmill.llm.cuckoo import CuckooFilter
 
 MIN_CHARS = 40
@@ -56,6 +56,7 @@ def _words(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, shards: int = SHARDS) -> DataFrame:
     """shard, digest, doc_id: each long enough key of each document once."""
+    small_batches(docs.sparkSession)
     source = two_columns(docs, key, text)
     kind = dict(source.dtypes)["doc_id"]
 
@@ -72,7 +73,7 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars
                     shard = (_words(digests)[0] % np.uint64(shards)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(digests, pa.binary()), batch.column(0).take(pa.array(rows))], ["shard", "digest", "doc_id"])
 
-    return source.mapInArrow(run, f"shard int, digest binary, doc_id {kind}")
+    return source.mapInArrow(tidy(run), f"shard int, digest binary, doc_id {kind}")
 
 
 def reference_counts(rows: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def build_filters(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(hashes)], pa.int64()), pa.array([CuckooFilter.of(hashes).to_bytes()], pa.binary())], ["shard", "n_keys", "filter"])
 
     spent = counts.filter(F.col("n_docs") >= min_docs).select("shard", "digest")
-    return spent.repartition("shard").mapInArrow(run, "shard int, n_keys bigint, filter binary")
+    return spent.repartition("shard").mapInArrow(tidy(run), "shard int, n_keys bigint, filter binary")
 
 
 class LineIndex:
@@ -191,9 +192,10 @@ class LineIndex:
         return self._without_spent(docs, key, text, put, docs.schema)
 
     def _without_spent(self, source: DataFrame, key: str, text: str, put, schema) -> DataFrame:
+        small_batches(self.spark)
         spent = self.spent()
         if (self.table("filters").agg(F.sum("n_keys")).first()[0] or 0) <= BROADCAST_KEYS:
-            return source.mapInArrow(self._by_broadcast(spent, key, text, put), schema)
+            return source.mapInArrow(tidy(self._by_broadcast(spent, key, text, put)), schema)
         return self._by_shuffle(source, spent, key).mapInArrow(_drop_listed(self.min_chars, text, put), schema)
 
     def _by_broadcast(self, spent: DataFrame, key: str, text: str, put):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import materialise, slices, two_columns
+from tagmill.llm.common import materialise, slices, small_batches, tidy, two_columns
 from tagmill.llm.components import connected_components
 
 SHINGLE = 4
@@ -66,6 +66,7 @@ def _ones(bits: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed 64-bit integer)."""
+    small_batches(docs.sparkSession)
     source = two_columns(docs, key, text)
     kind = dict(source.dtypes)["doc_id"]
 
@@ -75,7 +76,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
                 made = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return source.mapInArrow(tidy(run), f"doc_id {kind}, fp bigint")
 
 
 def position_sets(max_bits: int) -> list[tuple[int, ...]]:
@@ -192,7 +193,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, list_size: int = LIST_S
     while True:
         entries = entries.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("list"), "fp")
         dealt = entries.repartition("mask", "list").sortWithinPartitions("mask", "list", "fp")
-        done = materialise(dealt.mapInArrow(_work(max_bits, list_size), "a bigint, b bigint, long boolean"), "links")
+        done = materialise(dealt.mapInArrow(tidy(_work(max_bits, list_size)), "a bigint, b bigint, long boolean"), "links")
         now = done.filter("NOT long").select("a", "b")
         found = now if found is None else found.unionByName(now)
         long = done.filter("long").select(F.col("a").alias("mask"), F.col("b").alias("list"))

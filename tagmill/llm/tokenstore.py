@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagmill.llm.bytebpe import Memo, pieces
-from tagmill.llm.common import settings, slices, two_columns
+from tagmill.llm.common import slices, small_batches, tidy, two_columns
 
 #: Ids after which a shard is closed; a document is never split.
 SHARD_TOKENS = 1 << 20
@@ -231,8 +231,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, k
             yield shard()
 
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
-        ordered.mapInArrow(run, _SHARD.format(kind)).write.option("compression", "zstd").parquet(path)
+    small_batches(docs.sparkSession)
+    ordered.mapInArrow(tidy(run), _SHARD.format(kind)).write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -260,7 +260,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "part", "part_start", "n_tokens", "ids_crc32"],
                 )
 
-    decoded = files.mapInArrow(run, f"doc_id {kind}, part int, part_start bigint, n_tokens bigint, ids_crc32 bigint")
+    decoded = files.mapInArrow(tidy(run), f"doc_id {kind}, part int, part_start bigint, n_tokens bigint, ids_crc32 bigint")
     # one row a part, of which there are as many as shuffle partitions
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base_start"))
     return decoded.join(parts, "part").select("doc_id", (F.col("base_start") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import slices
+from tagmill.llm.common import slices, small_batches, tidy
 
 #: Words of a window.
 SPAN = 10
@@ -212,6 +212,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     A null item_id counts under the empty name. Items that repeat an id count once in n_items.
     """
     k = min(k, span)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
     context = docs.sparkSession.sparkContext
     schema = rows.schema
@@ -237,7 +238,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         return run
 
     for block in blocks(benchmark, item_id, item_text, block_bytes):
-        rows = rows.mapInArrow(through(context.broadcast(block)), schema)
+        rows = rows.mapInArrow(tidy(through(context.broadcast(block))), schema)
     # spans are start, end, start, end ..., so the hit words are the sum with alternating signs
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans")
