@@ -39,7 +39,7 @@ def log_likelihood(shape: Column, mu: Column, y: Column) -> Column:
 def shape_grid(totals: DataFrame, years: int, by: Sequence[str]) -> DataFrame:
     """by, k, shape, log_likelihood for every shape of the grid."""
     grid = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(math.exp(LOG_LOW + (LOG_HIGH - LOG_LOW) * k / GRID_STEPS)).alias("shape")) for k in range(GRID_STEPS + 1))))
-    rows = statistics(totals, years, by).withColumn("g", grid).select(*by, "mu", "y", "n", "g.k", "g.shape")
+    rows = statistics(totals, years, by).withColumn("__grid", grid).select(*by, "mu", "y", "n", "__grid.k", "__grid.shape")
     return rows.groupBy(*by, "k", "shape").agg(F.sum(F.col("n") * log_likelihood(F.col("shape"), F.col("mu"), F.col("y"))).alias("log_likelihood"))
 
 
