@@ -132,7 +132,8 @@ class Model:
         codes, start, stop = encode(texts)
         total = np.zeros((len(texts), len(self.languages)))
         for a in range(0, max(len(codes) - ORDER + 1, 0), BLOCK):
-            part = self.log_probabilities(codes[a : a + BLOCK + ORDER - 1])
+            # the first place of a block looks back at the context that ends before it
+            part = self.log_probabilities(codes[max(a - 1, 0) : a + BLOCK + ORDER - 1])[min(a, 1) :]
             # place p of codes is row p - (ORDER - 1) - a of this part
             lo = np.clip(start - (ORDER - 1) - a, 0, len(part))
             hi = np.clip(stop - (ORDER - 1) - a, 0, len(part))
