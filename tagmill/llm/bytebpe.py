@@ -8,9 +8,8 @@ changed is stale and is skipped when it is popped. A pre-token of n bytes costs
 Results are those of encoding each match of the split pattern on its own: a pre-token that is itself a rank maps to
 it, any other is merged by lowest rank, leftmost first.
 
-Texts are cut before encoding at every single blank between two non-blank characters. No match of the pattern crosses
-such a cut, as a match takes at most one leading blank and otherwise stays within a run of one class; so the ids of
-`` word`` don't depend on the text around it and are remembered in a bounded memo per Python worker.
+Texts are cut into pieces that encode independently, and ids of short pieces are kept in a table of bounded size per
+Python worker (see ``pieces``); ids of pre-tokens that a new piece is made of are remembered, too.
 
 Null and empty texts have no ids; repeated rows give repeated results; an empty table gives an empty one.
 """
@@ -19,10 +18,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 from heapq import heappop, heappush
+from itertools import pairwise
 from struct import pack
 
 import numpy as np
@@ -30,45 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tagmill.llm.common import slices, small_batches, tidy, two_columns
+from tagmill.llm.pieces import Memo, PieceEncoder
 
-#: Two neighbouring white-space characters, or one at an end of the text: then cuts need a closer look.
-_UNEVEN = re.compile(r"^\s|\s$| \s|\s ")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces of more characters than this are not remembered.
+#: Pre-tokens of up to so many characters are remembered, in two generations of so many.
 MEMO_CHARS = 48
-#: Pieces remembered in one generation; two generations are alive at a time.
-MEMO_SIZE = 200_000
-#: The same for single pre-tokens, which take longer to make.
-TOKEN_MEMO_SIZE = 300_000
+MEMO_SIZE = 250_000
 #: Ranks of one word of the lower bitmap; Python's integers make words of any width.
 SHIFT = 8
 MASK = (1 << SHIFT) - 1
 
 
-def pieces(text: str) -> list[str]:
-    """Parts of a text that encode independently; every one but the first has lost its leading blank."""
-    return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
-
-
-class Memo(dict):
-    """piece -> ids or pre-token -> ids, two generations of bounded size: what is not used for a generation is forgotten."""
-
-    def __init__(self, make: Callable[[str], bytes], size: int = MEMO_SIZE):
-        super().__init__()
-        self.make, self.size, self.old = make, size, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        value = self.old.get(piece)
-        if value is None:
-            value = self.make(piece)
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = value
-        return value
-
-
 class ByteBPE:
     """Encoder and decoder over mergeable ranks (bytes -> id) and a split pattern."""
 
@@ -76,13 +46,15 @@ class ByteBPE:
         import regex
 
         self.ranks = ranks
-        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
         self.findall = regex.compile(pattern).findall
-        self._tokens = Memo(self._encode_token, TOKEN_MEMO_SIZE)
-        self._first = Memo(lambda piece: self._encode_piece(piece))
-        self._next = Memo(lambda piece: self._encode_piece(" " + piece))
+        self._tokens = Memo(self._encode_token, MEMO_SIZE)
+        self.table = PieceEncoder(self._encode_pieces)
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.place = np.cumsum(self.length) - self.length
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -174,28 +146,21 @@ class ByteBPE:
         ids = self.merge(token.encode())
         return pack(f"<{len(ids)}I", *ids)
 
-    def _encode_piece(self, piece: str) -> bytes:
-        return b"".join(map(self._tokens.__getitem__, self.findall(piece)))
-
-    def encode_bytes(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        parts = pieces(text)
-        head = self._first[parts[0]]
-        return b"".join((head, *map(self._next.__getitem__, parts[1:])))
-
-    def rest(self) -> None:
-        """Between tasks a worker keeps one generation of each memo."""
-        for memo in (self._tokens, self._first, self._next):
-            memo.old = {}
+    def _encode_pieces(self, parts: list[str], first: bool) -> list[bytes]:
+        make, lead = self._tokens.__getitem__, "" if first else " "
+        return [b"".join([make(t) if len(t) <= MEMO_CHARS else self._encode_token(t) for t in self.findall(lead + p)]) for p in parts]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+        return self.table.encode([text])[0].tolist()
+
+    def decode_all(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of the tokens end to end."""
+        sizes = self.length[ids]
+        ends = np.cumsum(sizes)
+        return self.bytes[np.repeat(self.place[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
-    def decode(self, ids: bytes) -> bytes:
-        """Text bytes of ids that are given as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: Sequence[int]) -> bytes:
+        return self.decode_all(np.asarray(ids, np.int64)).tobytes()
 
 
 @cache
@@ -216,18 +181,18 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
         for whole in batches:
-            for batch in slices(whole, "text"):
-                counts, digests, decoded, kept = [], [], [], []
-                for value in batch.column(1).to_pylist():
-                    ids = bpe.encode_bytes(value or "")
-                    counts.append(len(ids) // 4)
-                    digests.append(hashlib.sha256(ids).hexdigest())
-                    decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                    if keep_ids:
-                        kept.append(ids)
+            for batch in slices(whole, "text", 2 << 20):
+                ids, counts = bpe.table.encode([x or "" for x in batch.column(1).to_pylist()])
+                text = memoryview(bpe.decode_all(ids).tobytes())
+                raw = memoryview(ids.astype("<u4").tobytes())
+                stops = np.cumsum(counts)
+                sizes = np.concatenate([[0], np.cumsum(bpe.length[ids])])
+                id_cuts, text_cuts = [0, *(4 * stops).tolist()], [0, *sizes[stops].tolist()]
+                digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in pairwise(id_cuts)]
+                decoded = [hashlib.sha256(text[a:b]).hexdigest() for a, b in pairwise(text_cuts)]
+                kept = [bytes(raw[a:b]) for a, b in pairwise(id_cuts)] if keep_ids else []
                 columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, names + ["ids"] * keep_ids)
-        bpe.rest()
 
     return source.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)

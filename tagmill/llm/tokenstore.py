@@ -27,6 +27,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 from struct import pack
 
 import numpy as np
@@ -35,18 +36,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagmill.llm.bytebpe import Memo, pieces
 from tagmill.llm.common import slices, small_batches, tidy, two_columns
+from tagmill.llm.pieces import Memo, PieceEncoder
 
 #: Ids after which a shard is closed; a document is never split.
 SHARD_TOKENS = 1 << 20
 #: A pair is frequent from this many occurrences in a shard.
 MIN_COUNT = 16
 #: Rounds of counting and replacing at most, and new rules of a round at most.
-MAX_ROUNDS = 8
+MAX_ROUNDS = 6
 RULES_A_ROUND = 4096
-#: Pieces remembered in each of two generations.
-MEMO_SIZE = 300_000
+#: Words remembered before the memory of them is emptied.
+MEMO_SIZE = 400_000
 #: Marks that the split pattern of byte-level BPE keeps together and apart from letters.
 POINTS = ".,;:!?"
 
@@ -55,7 +56,7 @@ def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int =
     """Reduced sequence and rules (n x 2) of ids below ``base``.
 
     Each round counts all neighbouring pairs exactly, takes the most frequent ones and replaces their occurrences at
-    once. Where two occurrences overlap the more frequent pair goes first, and of a run of one pair the first.
+    once. Where two occurrences overlap the more frequent pair goes first, and of a run of one pair every second.
     """
     small = base < 1 << 16
     symbol, key, half = (np.uint16, np.uint32, 16) if small else (np.uint32, np.uint64, 32)
@@ -86,8 +87,11 @@ def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int =
         known = rank != none
         known[known] = chosen[rank[known]] == pairs[known]
         rank[~known] = none
+        place = np.arange(len(rank))
+        alike = np.append(False, rank[1:] == rank[:-1])  # of a run of one pair every second occurrence goes
+        even = (place - np.maximum.accumulate(np.where(alike, 0, place))) % 2 == 0
         take = known
-        take[1:] &= rank[1:] < rank[:-1]
+        take[1:] &= (rank[1:] < rank[:-1]) | (alike[1:] & even[1:])
         take[:-1] &= rank[:-1] <= rank[1:]
         at = np.flatnonzero(take)
         if not len(at):
@@ -158,26 +162,45 @@ def decode_range(shard: dict, start: int, stop: int) -> np.ndarray:
 
 
 @cache
-def _tokenizer(path: str) -> tuple[Memo, Memo, int]:
-    """Memo of a text's first piece, memo of the others, size of the vocabulary; one for each Python worker."""
+def _tokenizer(path: str) -> tuple[PieceEncoder, int]:
+    """Encoder and size of the vocabulary; one for each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    def ids(text: str) -> bytes:
-        found = t.encode(text, add_special_tokens=False).ids
+    length = np.array([len(t.id_to_token(i) or "") for i in range(t.get_vocab_size())], np.int64)  # a character a byte
+    words: dict[str, bytes] = {}
+
+    def encoded(parts: list[str]) -> list[bytes]:
+        """Ids of parts that each begin with a blank and end with another character: encoded as one text and cut again."""
+        if not parts:
+            return []
+        ids = np.array(t.encode("".join(parts), add_special_tokens=False).ids, "<u4")
+        stops = np.searchsorted(np.cumsum(length[ids]), np.cumsum([len(p.encode()) for p in parts])) + 1
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in pairwise([0, *stops.tolist()])]
+
+    def make(parts: list[str], first: bool) -> list[bytes]:
+        if first:
+            return [pack(f"<{len(x)}I", *x) for x in (t.encode(p, add_special_tokens=False).ids for p in parts)]
+        if len(words) > MEMO_SIZE:
+            words.clear()
+        # letters and the marks after them are encoded apart
+        stems = [p.rstrip(POINTS) for p in parts]
+        plain = [x.isalpha() for x in stems]
+        todo = list(dict.fromkeys(x for x, ok in zip(stems, plain, strict=True) if ok and x not in words))
+        words.update(zip(todo, encoded([" " + x for x in todo]), strict=True))
+        others = iter(encoded([" " + p for p, ok in zip(parts, plain, strict=True) if not ok]))
+        return [words[x] + marks[p[len(x) :]] if ok else next(others) for p, x, ok in zip(parts, stems, plain, strict=True)]
+
+    def points(text: str) -> bytes:
+        found = t.encode(text, add_special_tokens=False).ids if text else []
         return pack(f"<{len(found)}I", *found)
 
-    def after_blank(piece: str) -> bytes:
-        stem = piece.rstrip(POINTS)
-        if stem != piece and stem.isalpha():  # letters and the marks after them are encoded apart
-            return rest[stem] + first[piece[len(stem) :]]
-        return ids(" " + piece)
-
-    first, rest = Memo(ids, MEMO_SIZE), Memo(after_blank, MEMO_SIZE)
-    return first, rest, t.get_vocab_size()
+    marks = Memo(points, 1000)
+    return PieceEncoder(make), t.get_vocab_size()
 
 
 _SHARD = "part int, seq int, part_start bigint, n_ids bigint, doc_ids array<{}>, starts array<bigint>, width int, base bigint, symbols binary, rules binary, lengths binary"
@@ -195,39 +218,41 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        first, rest, vocabulary = _tokenizer(tokenizer_path)
+        encoder, vocabulary = _tokenizer(tokenizer_path)
         base = max(vocabulary, end_id + 1)
-        end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
-        seq = before = held = 0
-        texts: list[bytes] = []
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(to_arrow_type(key_type)), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["part", "seq", "part_start", "n_ids", "doc_ids", "starts", "width", "base", "symbols", "rules", "lengths"]
+        seq = before = 0
+        held: list[np.ndarray] = []
+        sizes: list[int] = []
         keys: list = []
 
         def shard() -> pa.RecordBatch:
-            sizes = np.array([len(x) // 4 for x in texts], np.int64)
-            symbols, rules = repair(np.frombuffer(b"".join(texts), "<u4"), base)
-            width = symbols.dtype.itemsize
-            row = [part, seq, before, int(sizes.sum()), keys, (np.cumsum(sizes) - sizes).tolist(), width, base, symbols.tobytes(), rules.tobytes(), rule_lengths(rules, base).tobytes()]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(to_arrow_type(key_type)), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["part", "seq", "part_start", "n_ids", "doc_ids", "starts", "width", "base", "symbols", "rules", "lengths"])
+            counts = np.array(sizes, np.int64)
+            symbols, rules = repair(np.concatenate(held), base)
+            row = [part, seq, before, int(counts.sum()), keys, (np.cumsum(counts) - counts).tolist(), symbols.dtype.itemsize, base, symbols.tobytes(), rules.tobytes(), rule_lengths(rules, base).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         for whole in batches:
-            for batch in slices(whole, "text"):
-                for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if value:
-                        parts = pieces(value)
-                        ids = b"".join((first[parts[0]], *map(rest.__getitem__, parts[1:]), end))
-                    else:
-                        ids = end
-                    texts.append(ids)
-                    keys.append(doc)
-                    held += len(ids) // 4
-                    if held >= SHARD_TOKENS:
+            for batch in slices(whole, "text", 2 << 20):
+                docs = batch.column(0).to_pylist()
+                ids, counts = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                stops = np.cumsum(counts + 1)
+                at = 0
+                while at < len(docs):  # up to the document that fills the shard
+                    begun = int(stops[at - 1]) if at else 0
+                    to = min(int(np.searchsorted(stops, begun + SHARD_TOKENS - sum(map(len, held)))) + 1, len(docs))
+                    held.append(ids[begun : int(stops[to - 1])])
+                    sizes += (counts[at:to] + 1).tolist()
+                    keys += docs[at:to]
+                    at = to
+                    if sum(map(len, held)) >= SHARD_TOKENS:
                         yield shard()
-                        seq, before, held = seq + 1, before + held, 0
-                        texts.clear()
-                        keys = []
-        if texts:
+                        seq, before = seq + 1, before + sum(sizes)
+                        held, sizes, keys = [], [], []
+        if held:
             yield shard()
 
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
