@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm import bytebpe, langid, linededup, simhash, winnow
+from tagmill.llm import bytebpe, langid, linededup, nearcopies, winnow
 from tagmill.llm.common import materialise, read_table, without
 
 
@@ -28,9 +28,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays. Documents without an id stay."""
-    classes = simhash.near_duplicates(docs, shingle=5)
-    return without(docs, materialise(classes.filter("doc_id <> component_id").select("doc_id"), "copies"))
+    """Of each class of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays. Documents without an id or words stay."""
+    classes = nearcopies.near_copies(docs)
+    return without(docs, materialise(classes.filter("doc_id <> keep_id").select("doc_id"), "copies"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
