@@ -7,17 +7,17 @@ import pandas as pd
 from tagmill.operators import glyphs as gl
 
 
-def page(*words, font="Times"):
+def page(*words, font="Times", one=False):
     """words: (text, x, baseline, size) of single runs; each glyph is 5 wide."""
     out = []
     for piece, (text, x, base, size) in enumerate(words):
         for i, c in enumerate(text):
-            out.append((1, piece, c, x + 5.0 * i, base - size * 0.8, x + 5.0 * i + 5.0, base + size * 0.2, base, size, font))
+            out.append((1, 0 if one else piece, c, x + 5.0 * i, base - size * 0.8, x + 5.0 * i + 5.0, base + size * 0.2, base, size, font))
     return pd.DataFrame(out, columns=["page", "piece", "text", "x0", "y0", "x1", "y1", "baseline", "size", "font"])
 
 
 def test_scripts():
-    assert gl.page_text(page(("x", 0, 100, 10), ("2", 5, 95, 6), (" + y", 10, 100, 10), ("ij", 30, 102.5, 6))) == "x^2 + y_{ij}"
+    assert gl.page_text(page(("x", 0, 100, 10), ("2", 5, 95, 6), (" + y", 10, 100, 10), ("ij", 30, 104, 6), one=True)) == "x^2 + y_{ij}"
 
 
 def test_lines_and_gaps():
