@@ -22,7 +22,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 LONGEST = 15
 #: log2 of the slots; a table that is fuller than FULL is emptied and fills up again.
-BITS = 20
+BITS = 21
 FULL = 0.6
 
 _U = np.uint64

@@ -28,6 +28,7 @@ import zlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import pairwise
+from string import punctuation
 from struct import pack
 
 import numpy as np
@@ -48,8 +49,6 @@ MAX_ROUNDS = 6
 RULES_A_ROUND = 4096
 #: Words remembered before the memory of them is emptied.
 MEMO_SIZE = 400_000
-#: Marks that the split pattern of byte-level BPE keeps together and apart from letters.
-POINTS = ".,;:!?"
 
 
 def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int = MAX_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +63,7 @@ def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int =
     seq = ids.astype(symbol)
     rules: list[np.ndarray] = []
     n_rules = 0
-    bits = 16
-    none = np.uint32(0xFFFFFFFF)
+    bits, mix = 16, 0x9E3779B1 if small else 0x9E3779B97F4A7C15
     for _ in range(rounds):
         if len(seq) < 2 or n_rules >= room:
             break
@@ -80,23 +78,25 @@ def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int =
         best = np.argsort(-counts, kind="stable")[: min(RULES_A_ROUND, room - n_rules)]
         chosen = values[best]
         # a hash table of one entry a slot; a pair that loses its slot to a more frequent one waits for the next round
-        hashed = lambda x: ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.uint32)
-        table = np.full(1 << bits, none, np.uint32)
-        table[hashed(chosen)[::-1]] = np.arange(len(chosen), dtype=np.uint32)[::-1]
+        n = len(chosen)
+        hashed = lambda x: (x * key(mix)) >> key(8 * np.dtype(key).itemsize - bits)
+        table = np.full(1 << bits, n, np.int32)
+        table[hashed(chosen)[::-1]] = np.arange(n, dtype=np.int32)[::-1]
         rank = table[hashed(pairs)]
-        known = rank != none
-        known[known] = chosen[rank[known]] == pairs[known]
-        rank[~known] = none
-        place = np.arange(len(rank))
-        alike = np.append(False, rank[1:] == rank[:-1])  # of a run of one pair every second occurrence goes
-        even = (place - np.maximum.accumulate(np.where(alike, 0, place))) % 2 == 0
+        known = (np.append(chosen, key(0))[rank] == pairs) & (rank < n)
+        rank = np.where(known, rank, n)
         take = known
-        take[1:] &= (rank[1:] < rank[:-1]) | (alike[1:] & even[1:])
+        alike = np.flatnonzero((rank[1:] == rank[:-1]) & take[1:]) + 1
+        take[1:] &= rank[1:] < rank[:-1]
+        if len(alike):  # of a run of one pair every second occurrence goes
+            run = np.cumsum(np.append(True, np.diff(alike) > 1)) - 1
+            inside = alike - alike[np.flatnonzero(np.append(True, np.diff(alike) > 1))][run]
+            take[alike[inside % 2 == 1]] = True
         take[:-1] &= rank[:-1] <= rank[1:]
         at = np.flatnonzero(take)
         if not len(at):
             break
-        seq[at] = (rank[at] + np.uint32(base + n_rules)).astype(symbol)
+        seq[at] = (rank[at].astype(np.int64) + (base + n_rules)).astype(symbol)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         before, seq = len(seq), seq[keep]
@@ -161,6 +161,23 @@ def decode_range(shard: dict, start: int, stop: int) -> np.ndarray:
     return np.array(out[start - begin : stop - begin], np.uint32)
 
 
+def _split(piece: str) -> list[tuple[str, str]] | None:
+    """Words of a piece, each with the blank or line feed before it, and the marks after each. None if it holds anything else."""
+    stem = piece.rstrip(punctuation)
+    if stem.isalpha():
+        return [(" " + stem, piece[len(stem) :])]
+    if "\n" not in piece:
+        return None
+    out, lead = [], " "
+    for line in piece.split("\n"):
+        stem = line.rstrip(punctuation)
+        if not stem.isalpha():
+            return None
+        out.append((lead + stem, line[len(stem) :]))
+        lead = "\n"
+    return out
+
+
 @cache
 def _tokenizer(path: str) -> tuple[PieceEncoder, int]:
     """Encoder and size of the vocabulary; one for each Python worker."""
@@ -174,7 +191,7 @@ def _tokenizer(path: str) -> tuple[PieceEncoder, int]:
     words: dict[str, bytes] = {}
 
     def encoded(parts: list[str]) -> list[bytes]:
-        """Ids of parts that each begin with a blank and end with another character: encoded as one text and cut again."""
+        """Ids of parts that each begin with a blank or line feed and have others after it: encoded as one text and cut again."""
         if not parts:
             return []
         ids = np.array(t.encode("".join(parts), add_special_tokens=False).ids, "<u4")
@@ -187,19 +204,18 @@ def _tokenizer(path: str) -> tuple[PieceEncoder, int]:
             return [pack(f"<{len(x)}I", *x) for x in (t.encode(p, add_special_tokens=False).ids for p in parts)]
         if len(words) > MEMO_SIZE:
             words.clear()
-        # letters and the marks after them are encoded apart
-        stems = [p.rstrip(POINTS) for p in parts]
-        plain = [x.isalpha() for x in stems]
-        todo = list(dict.fromkeys(x for x, ok in zip(stems, plain, strict=True) if ok and x not in words))
-        words.update(zip(todo, encoded([" " + x for x in todo]), strict=True))
-        others = iter(encoded([" " + p for p, ok in zip(parts, plain, strict=True) if not ok]))
-        return [words[x] + marks[p[len(x) :]] if ok else next(others) for p, x, ok in zip(parts, stems, plain, strict=True)]
+        # words and the marks after them are encoded apart, also where lines meet: each word with the blank or line feed before it
+        split = [_split(p) for p in parts]
+        todo = list(dict.fromkeys(x for own in split if own for x, _ in own if x not in words))
+        words.update(zip(todo, encoded(todo), strict=True))
+        others = iter(encoded([" " + p for p, own in zip(parts, split, strict=True) if own is None]))
+        return [next(others) if own is None else b"".join([words[x] + marks[m] if m else words[x] for x, m in own]) for own in split]
 
     def points(text: str) -> bytes:
         found = t.encode(text, add_special_tokens=False).ids if text else []
         return pack(f"<{len(found)}I", *found)
 
-    marks = Memo(points, 1000)
+    marks = Memo(points, 10_000)
     return PieceEncoder(make), t.get_vocab_size()
 
 
