@@ -108,15 +108,12 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", seeds:
     source = two_columns(docs, key, text)
     made = materialise(_nodes(source, seeds, candidate_words, words), "nodes")
     nodes = materialise(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps")), "distinct-nodes")
-    pairs: DataFrame | None = None
-    for j in range(seeds):
-        own = nodes.select("node", F.col("fps")[j].alias("fp"))
-        head = own.groupBy("fp").agg(F.min("node").alias("head"))  # nodes of one fingerprint pair with the first of them
-        same = own.join(head, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-        near = links(head.select("fp"), max_bits, list_size)
-        ends = near.join(head.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(head.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b")
-        now = same.unionByName(ends.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
-        pairs = now if pairs is None else pairs.unionByName(now)
+    own = nodes.select("node", F.posexplode("fps").alias("seed", "fp")).withColumn("seed", F.col("seed").cast("bigint"))
+    head = materialise(own.groupBy("seed", "fp").agg(F.min("node").alias("head")), "heads")
+    same = own.join(head, ["seed", "fp"]).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))  # nodes of one fingerprint pair with the first of them
+    side = lambda c: head.select("seed", F.col("fp").alias(c), F.col("head").alias(f"h{c}"))
+    near = links(head.select("seed", "fp"), max_bits, list_size).join(side("a"), ["seed", "a"]).join(side("b"), ["seed", "b"]).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    pairs = same.unionByName(near)
     pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     where = materialise(nodes.join(asked, "node", "left_semi").select("node", F.col("least").alias("__id")), "asked")

@@ -7,8 +7,9 @@ The inverted index holds distinct fingerprints only, so exact copies cost one en
 list for one byte would hold a 256th of the corpus and give quadratically many pairs, so a list is kept for several
 positions at once: a family of position sets such that any ``8 - max_bits`` equal positions contain one of them (20
 triples for 4 bits, the smallest such family). Each pair that meets in a list has its equal bytes tallied, is retained
-if the tally reaches the guaranteed minimum, and is verified by its differing bits. Pairs are never emitted: a list's
-output is a spanning forest of its verified links, so a list of n entries gives less than n rows.
+if the tally reaches the guaranteed minimum, and is verified by its differing bits; it counts in the list of the first
+position set that it agrees on, and nowhere else. Pairs are never emitted: a list's output is a spanning forest of its
+verified links, so a list of n entries gives less than n rows.
 
 A list longer than ``LIST_SIZE`` is not worked on. The bits that its entries don't agree on by the key are cut into
 ``max_bits + 1`` blocks, of which a linked pair has at least one equal, and its entries are dealt again by each block.
@@ -104,15 +105,22 @@ def _finer(mask: int, parts: int) -> list[int]:
     return [mask | sum(1 << b for b in free[x:y]) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
 
 
-def _verified(a: np.ndarray, b: np.ndarray | np.uint64, max_bits: int) -> np.ndarray:
-    """Places where the tally of equal bytes reaches the minimum and the differing bits are few enough."""
+_TALLY = np.array([i.bit_count() for i in range(256)], np.uint8)
+
+
+def _verified(a: np.ndarray, b: np.ndarray | np.uint64, max_bits: int, mine: np.ndarray | None) -> np.ndarray:
+    """Places where the tally of equal bytes reaches the minimum, the differing bits are few enough and, by ``mine`` (a table
+    over the patterns of equal bytes), the pair counts in this list."""
     x = np.ascontiguousarray(a ^ b)
-    tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-    at = np.flatnonzero(tally >= 8 - max_bits)
+    pattern = np.packbits(x[:, None].byteswap().view(np.uint8) == 0, axis=1).ravel()  # first byte first
+    keep = _TALLY[pattern] >= 8 - max_bits
+    if mine is not None:
+        keep &= mine[pattern] if mine.ndim == 1 else mine[np.arange(len(x)), pattern]
+    at = np.flatnonzero(keep)
     return at[np.bitwise_count(x[at]) <= max_bits]
 
 
-def _forest(entries: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(entries: np.ndarray, max_bits: int, mine: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that span each component of one list, found breadth first."""
     left, right = [], []
     waiting = entries
@@ -120,7 +128,7 @@ def _forest(entries: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]
         front, waiting = [waiting[0]], waiting[1:]
         while front and len(waiting):
             node = front.pop()
-            at = _verified(waiting, node, max_bits)
+            at = _verified(waiting, node, max_bits, mine)
             if len(at):
                 found = waiting[at]
                 left.append(np.full(len(at), node, np.uint64))
@@ -131,87 +139,105 @@ def _forest(entries: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
+def _first_sets(max_bits: int) -> dict[int, np.ndarray]:
+    """mask -> for each pattern of equal bytes whether the mask's position set is the first that lies in it."""
+    sets = position_sets(max_bits)
+    bits = [sum(1 << 7 - p for p in s) for s in sets]
+    first = [next((i for i, b in enumerate(bits) if pattern & b == b), -1) for pattern in range(256)]
+    return {_mask(s): np.array([f == i for f in first]) for i, s in enumerate(sets)}
+
+
 def _work(max_bits: int, list_size: int):
-    """Over rows (mask, list, fp) sorted by these: links (mask null) and lists that are too long (fp null)."""
+    """Over rows (seed, mask, list, fp) sorted by these: links, and the keys of lists that are too long (long is true)."""
+    mine = _first_sets(max_bits)
+    always = np.ones(256, bool)  # for masks of lists that were dealt again
 
-    def lists(masks: np.ndarray, keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cut = np.flatnonzero(np.concatenate([[True], (masks[1:] != masks[:-1]) | (keys[1:] != keys[:-1])]))
+    def lists(seeds: np.ndarray, masks: np.ndarray, keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cut = np.flatnonzero(np.concatenate([[True], (seeds[1:] != seeds[:-1]) | (masks[1:] != masks[:-1]) | (keys[1:] != keys[:-1])]))
         sizes = np.diff(cut, append=len(fps))
         number = np.repeat(np.arange(len(cut)), sizes)
-        small = (sizes <= SMALL_LIST)[number]
-        left, right = [], []
-        here = np.flatnonzero(small)
+        here = np.flatnonzero((sizes <= SMALL_LIST)[number])
+        left, right, whose = [], [], []
+        own = {m: mine.get(m, always) for m in np.unique(masks).tolist()}
+        tables = np.stack([own[m] for m in own])
+        table_of = np.searchsorted(np.array(list(own)), masks)
         for step in range(1, SMALL_LIST):
             here = here[here + step < len(fps)]
             here = here[number[here] == number[here + step]]
             if not len(here):
                 break
-            at = here[_verified(fps[here], fps[here + step], max_bits)]
+            at = here[_verified(fps[here], fps[here + step], max_bits, tables[table_of[here]])]
             left.append(fps[at])
             right.append(fps[at + step])
+            whose.append(seeds[at])
         long: list[int] = []
         for i in np.flatnonzero(sizes > SMALL_LIST).tolist():
             if sizes[i] > list_size:
                 long.append(int(cut[i]))
                 continue
-            a, b = _forest(fps[cut[i] : cut[i] + sizes[i]], max_bits)
+            a, b = _forest(fps[cut[i] : cut[i] + sizes[i]], max_bits, own[int(masks[cut[i]])])
             left.append(a)
             right.append(b)
+            whose.append(np.full(len(a), seeds[cut[i]]))
         a, b = (np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (left, right))
         if len(a) or long:
-            none = np.zeros(len(a), bool)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([a, masks[long]]).astype(np.int64)), pa.array(np.concatenate([b, keys[long]]).astype(np.int64)), pa.array(np.concatenate([none, np.ones(len(long), bool)]))], ["a", "b", "long"]
-            )
+            seed = np.concatenate([*whose, seeds[long]]).astype(np.int64)
+            flags = np.concatenate([np.zeros(len(a), bool), np.ones(len(long), bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(np.concatenate([a, masks[long]]).astype(np.int64)), pa.array(np.concatenate([b, keys[long]]).astype(np.int64)), pa.array(flags)], ["seed", "a", "b", "long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.empty(0, np.int64)
-        masks, keys, fps = empty, empty, empty.view(np.uint64)
+        held = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m, k, f = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            masks, keys, fps = np.concatenate([masks, m]), np.concatenate([keys, k]), np.concatenate([fps, f.view(np.uint64)])
-            last = np.flatnonzero((masks != masks[-1]) | (keys != keys[-1]))
+            came = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = [np.concatenate([x, y.view(x.dtype)]) for x, y in zip(held, came, strict=True)]
+            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))
             done = int(last[-1]) + 1 if len(last) else 0
-            yield from lists(masks[:done], keys[:done], fps[:done]) if done else ()
+            if done:
+                yield from lists(*(x[:done] for x in held))
             # of a list that goes on, no more is held than shows that it is too long
-            masks, keys, fps = masks[done:][: list_size + 1], keys[done:][: list_size + 1], fps[done:][: list_size + 1]
-        if len(fps):
-            yield from lists(masks, keys, fps)
+            held = [x[done:][: list_size + 1] for x in held]
+        if len(held[3]):
+            yield from lists(*held)
 
     return run
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, list_size: int = LIST_SIZE) -> DataFrame:
-    """Links a, b between distinct fingerprints (column fp) that span the components of all pairs within ``max_bits``."""
+    """Links seed, a, b between distinct fingerprints that span the components of all pairs within ``max_bits``.
+
+    distinct: fp, or seed (bigint) and fp, where fingerprints of different seeds have nothing to do with each other.
+    """
     if list_size < 1 << 13:
         raise ValueError("a list of fewer than 8192 entries can't always be cut")
+    if "seed" not in distinct.columns:
+        distinct = distinct.select(F.lit(0).cast("bigint").alias("seed"), "fp")
     found: DataFrame | None = None
     masks = [_mask(p) for p in position_sets(max_bits)]
-    entries = distinct.select(F.explode(F.array(*(F.lit(m).cast("bigint") for m in masks))).alias("mask"), "fp")
+    entries = distinct.select("seed", F.explode(F.array(*(F.lit(m).cast("bigint") for m in masks))).alias("mask"), "fp")
     while True:
-        entries = entries.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("list"), "fp")
-        dealt = entries.repartition("mask", "list").sortWithinPartitions("mask", "list", "fp")
-        done = materialise(dealt.mapInArrow(tidy(_work(max_bits, list_size)), "a bigint, b bigint, long boolean"), "links")
-        now = done.filter("NOT long").select("a", "b")
+        entries = entries.select("seed", "mask", F.col("mask").bitwiseAND(F.col("fp")).alias("list"), "fp")
+        dealt = entries.repartition("seed", "mask", "list").sortWithinPartitions("seed", "mask", "list", "fp")
+        done = materialise(dealt.mapInArrow(tidy(_work(max_bits, list_size)), "seed bigint, a bigint, b bigint, long boolean"), "links")
+        now = done.filter("NOT long").select("seed", "a", "b")
         found = now if found is None else found.unionByName(now)
-        long = done.filter("long").select(F.col("a").alias("mask"), F.col("b").alias("list"))
+        long = done.filter("long").select("seed", F.col("a").alias("mask"), F.col("b").alias("list"))
         if long.isEmpty():
             return found.distinct()
-        held = materialise(entries.join(long, ["mask", "list"], "left_semi"), "long-lists")
-        entries = held.mapInArrow(_deal_again(max_bits + 1), "mask bigint, fp bigint").distinct()
+        held = materialise(entries.join(long, ["seed", "mask", "list"], "left_semi"), "long-lists")
+        entries = held.select("seed", "mask", "fp").mapInArrow(_deal_again(max_bits + 1), "seed bigint, mask bigint, fp bigint").distinct()
 
 
 def _deal_again(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            masks, fps = batch.column(batch.schema.get_field_index("mask")).to_numpy(), batch.column(batch.schema.get_field_index("fp")).to_numpy()
+            seeds, masks, fps = (c.to_numpy() for c in batch.columns)
             for mask in np.unique(masks).tolist():
-                own = fps[masks == mask]
+                own = masks == mask
                 for finer in _finer(mask & (1 << 64) - 1, parts):
                     signed = finer - (1 << 64) if finer >> 63 else finer
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), signed, np.int64)), pa.array(own)], ["mask", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(seeds[own]), pa.array(np.full(int(own.sum()), signed, np.int64)), pa.array(fps[own])], ["seed", "mask", "fp"])
 
     return run
 
@@ -220,7 +246,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """Per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach)."""
     made = materialise(fingerprints(docs, key, text, shingle), "fingerprints")
     distinct = materialise(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    joined = connected_components(links(distinct.select("fp"), max_bits, list_size)).withColumnRenamed("node", "fp")
+    joined = connected_components(links(distinct.select("fp"), max_bits, list_size).select("a", "b")).withColumnRenamed("node", "fp")
     rooted = distinct.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(component, "root").select("fp", "component_id")

@@ -90,7 +90,7 @@ def test_links_span_all_components(spark, n, spread):
     for i in range(len(points)):
         want += [(i, i + 1 + int(j)) for j in np.flatnonzero(np.bitwise_count(points[i + 1 :] ^ points[i]) <= 4)] if n < 1000 else []
     if n >= 1000:
-        a, b = simhash._forest(points, 4)
+        a, b = simhash._forest(points, 4, None)
         want = [(place[x], place[y]) for x, y in zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True)]
     assert classes(len(points), edges) == classes(len(points), want)
 
