@@ -42,15 +42,13 @@ _OPENS = _SPACE.copy()
 _OPENS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def _uneven(texts: Sequence[str], raw: list[bytes]) -> list[int]:
+def _uneven(texts: Sequence[str], joined: np.ndarray, blanks: np.ndarray, start_of_text: np.ndarray) -> list[int]:
     """Numbers of the texts that can't be cut at every blank. Most are told by the bytes around their blanks."""
-    joined = np.frombuffer(b"".join(b"xx" + r + b"x" for r in raw), np.uint8)  # so that each blank has neighbours
-    stops = np.cumsum([len(r) + 3 for r in raw])
-    at = np.flatnonzero(joined == 32)
-    before, after = joined[at - 1], joined[at + 1]
-    # what ends a character of two bytes after 0xC3 is a letter
-    odd = _SPACE[before] | ((before >= 128) & (joined[at - 2] != 0xC3)) | _OPENS[after]
-    maybe = set(np.searchsorted(stops, at[odd], "right").tolist())
+    before, after = joined[blanks - 1], joined[np.minimum(blanks + 1, len(joined) - 1)]
+    odd = _OPENS[after] | _SPACE[before]
+    late = np.flatnonzero(before >= 128)  # what ends a character of two bytes after 0xC3 is a letter
+    odd[late] |= joined[blanks[late] - 2] != 0xC3
+    maybe = set((np.searchsorted(start_of_text, blanks[odd], "right") - 1).tolist())
     maybe |= {i for i, t in enumerate(texts) if t and (t[0].isspace() or t[-1].isspace())}
     return [i for i in sorted(maybe) if _UNEVEN.search(texts[i])]
 
@@ -98,15 +96,17 @@ class PieceEncoder:
     def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Slot of each key, or -1."""
         slot = self._slots(low, high)
-        out = np.full(len(low), -1, np.int64)
-        at = np.arange(len(low))
+        there = self.keys[slot]
+        same = (there[:, 0] == low) & (there[:, 1] == high)
+        out = np.where(same, slot, -1)
+        at = np.flatnonzero(~same & (there[:, 1] != 0))
         last = (1 << self.bits) - 1
-        while len(at):
+        while len(at):  # the few whose slot another key has
+            slot[at] = (slot[at] + 1) & last
             there = self.keys[slot[at]]
             same = (there[:, 0] == low[at]) & (there[:, 1] == high[at])
             out[at[same]] = slot[at[same]]
             at = at[~same & (there[:, 1] != 0)]
-            slot[at] = (slot[at] + 1) & last
         return out
 
     def _keep(self, low: np.ndarray, high: np.ndarray, values: list[bytes]) -> None:
@@ -150,13 +150,13 @@ class PieceEncoder:
         if not texts:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         raw = [t.encode() for t in texts]
-        uneven = _uneven(texts, raw)
-        for t in uneven:
-            raw[t] = b""
-        joined = b" ".join(raw)
-        start_of_text = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
+        joined, blanks, start_of_text = self._joined(raw)
+        uneven = _uneven(texts, np.frombuffer(joined, np.uint8), blanks, start_of_text)
+        if uneven:  # they are encoded by themselves below
+            for t in uneven:
+                raw[t] = b""
+            joined, blanks, start_of_text = self._joined(raw)
         padded = joined + bytes(32 - len(joined) % 8)
-        blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
         start = np.concatenate([[0], blanks + 1])
         size = np.concatenate([blanks, [len(joined)]]) - start
         text_at = np.searchsorted(start, start_of_text)  # a text's first piece
@@ -193,6 +193,12 @@ class PieceEncoder:
         ids = flat[np.repeat(place - (ends - count), count) + np.arange(int(ends[-1]))]
         return ids, np.add.reduceat(count, text_at)
 
+    @staticmethod
+    def _joined(raw: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Texts with blanks between them, where all blanks are, and where the texts start."""
+        joined = b" ".join(raw)
+        return joined, np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
+
     @staticmethod
     def _key(padded: bytes, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Both words of the keys: eight bytes from a place on are put together from two aligned words."""
