@@ -33,7 +33,9 @@ from tagmill.llm.pieces import Memo, PieceEncoder
 
 #: Pre-tokens of up to so many characters are remembered, in two generations of so many.
 MEMO_CHARS = 48
-MEMO_SIZE = 250_000
+MEMO_SIZE = 120_000
+#: log2 of the slots of the table of pieces.
+TABLE_BITS = 20
 #: Ranks of one word of the lower bitmap; Python's integers make words of any width.
 SHIFT = 8
 MASK = (1 << SHIFT) - 1
@@ -48,7 +50,7 @@ class ByteBPE:
         self.ranks = ranks
         self.findall = regex.compile(pattern).findall
         self._tokens = Memo(self._encode_token, MEMO_SIZE)
-        self.table = PieceEncoder(self._encode_pieces)
+        self.table = PieceEncoder(self._encode_pieces, TABLE_BITS)
         tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
