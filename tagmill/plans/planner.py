@@ -141,6 +141,21 @@ def weekly_plan(spark, d):
     return p.weekly_plan(_planned(spark, d), p.weeks(_profiles(spark, d)), mocks=["paper 2000"])
 
 
+def plan_document(spark, d):
+    """A JSON document per profile: its weeks with what is planned in each, in order."""
+    week = weekly_plan(spark, d).groupBy("profile", "week").agg(F.array_sort(F.collect_list(F.struct("kind", "unit_id", "plan_hours"))).alias("blocks"))
+    return week.groupBy("profile").agg(F.to_json(F.array_sort(F.collect_list(F.struct("week", "blocks")))).alias("document"))
+
+
+def chart_ticks(spark, d):
+    """Axis ticks for the marks of each unit's chart."""
+    from tagmill.functions.charts import ticks
+
+    u = w.unit_marks(records(spark, d), items(spark, d), YEARS)
+    top = F.greatest(*(F.col(f"marks_{y}") for y in YEARS)).cast("double")
+    return u.select("unit_id", top.alias("top"), F.array_join(F.transform(ticks(top), lambda x: F.format_string("%.2f", x)), ",").alias("ticks"))
+
+
 _U = """, um AS (SELECT i.unit_id, i.section_id, i.part, count(DISTINCT i.item_id) AS items, coalesce(sum(r.marks), 0) AS total FROM i LEFT JOIN r ON r.primary_item = i.item_id GROUP BY ALL),
 uh AS (SELECT concat(p_type, ':', p_brand) AS unit_id, CAST(sum(p_size) % 16 + 4 AS DOUBLE) AS hours FROM part GROUP BY 1),
 un AS (SELECT um.*, sum(total) OVER s / 3 * (total + 10 * items / sum(items) OVER s) / (sum(total) OVER s + 10) AS expected_marks, hours FROM um JOIN uh USING (unit_id) WINDOW s AS (PARTITION BY section_id)),
@@ -168,7 +183,7 @@ _WATER = (
 )
 R = C.replace("WITH i AS", "WITH RECURSIVE i AS", 1)
 
-QUERIES = {x.__name__: x for x in (rating_precedence, mastery_update, learning_curve, water_filling, expected_secured, build_weeks, spaced_offsets, targeted_revision, practice_questions, unit_table, round_half_even, learning_order, weekly_plan)}
+QUERIES = {x.__name__: x for x in (rating_precedence, mastery_update, learning_curve, water_filling, expected_secured, build_weeks, spaced_offsets, targeted_revision, practice_questions, unit_table, round_half_even, learning_order, weekly_plan, plan_document, chart_ticks)}
 ORACLES = {
     "rating_precedence": C + _U + " SELECT profile, unit_id, prior FROM pri",
     "mastery_update": C + _U + " SELECT profile, unit_id, round(mastery, 6) AS mastery FROM ma",
@@ -180,5 +195,9 @@ ORACLES = {
     "targeted_revision": C + _U + ", k AS (SELECT profile, unit_id, round(expected_marks * (1 - mastery), 6) AS risk FROM ma) SELECT * FROM (SELECT profile, row_number() OVER (PARTITION BY profile ORDER BY risk DESC, unit_id) AS place, unit_id, risk FROM k) WHERE place <= 6",
     "practice_questions": C + ", z AS (SELECT DISTINCT unit_id, r.year, r.id FROM u JOIN i USING (item_id) JOIN r ON r.id = u.id WHERE r.year <> 2000), n AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY year DESC, id) AS k FROM z) SELECT unit_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) AS practice FROM n WHERE k <= 6 GROUP BY unit_id",
     "unit_table": C + _U + " SELECT unit_id, section_id, part, items, hours, CASE WHEN b % 3 = 0 AND b > 1 THEN concat(regexp_extract(unit_id, '^(.*#)[0-9]+$', 1), b - 1) ELSE '' END AS prereqs, round(expected_marks, 4) AS expected_marks FROM (SELECT *, CAST(regexp_extract(unit_id, '#([0-9]+)$', 1) AS INTEGER) AS b FROM un)",
+    "chart_ticks": C + """, m AS (SELECT unit_id, max(t) AS top FROM (SELECT i.unit_id, y.year, CAST(coalesce(sum(r.marks), 0) AS DOUBLE) AS t FROM i CROSS JOIN (SELECT unnest([1998, 1999, 2000]) AS year) y LEFT JOIN r ON r.primary_item = i.item_id AND r.year = y.year GROUP BY ALL) GROUP BY unit_id),
+        p AS (SELECT *, top / 5 AS rough, 10.0 ** floor(log10(top / 5)) AS pw FROM m WHERE top > 0),
+        s AS (SELECT *, CASE WHEN pw >= rough * (1 - 1e-9) THEN pw WHEN 2 * pw >= rough * (1 - 1e-9) THEN 2 * pw WHEN 2.5 * pw >= rough * (1 - 1e-9) THEN 2.5 * pw WHEN 5 * pw >= rough * (1 - 1e-9) THEN 5 * pw ELSE 10 * pw END AS step FROM p)
+        SELECT unit_id, top, array_to_string(list_transform(range(0, CAST(ceil(top / step - 1e-9) AS BIGINT) + 1), lambda i: printf('%.2f', CAST(i * step AS DOUBLE))), ',') AS ticks FROM s UNION ALL SELECT unit_id, top, '0.00' FROM m WHERE top <= 0""",
     "round_half_even": "SELECT DISTINCT l_quantity / 4 AS x, round_even(l_quantity / 4 / 0.5, 0) * 0.5 AS near, floor(l_quantity / 4 / 0.5 + 1e-9) * 0.5 AS low FROM lineitem",
 }

@@ -268,3 +268,28 @@ def test_toy_vectors(spark):
     sims = spark.createDataFrame([(9, 1, 0.9), (9, 2, 0.1)], "id BIGINT, item BIGINT, score DOUBLE")
     none = spark.createDataFrame([], "id BIGINT, label BIGINT, p_knn DOUBLE")
     assert sum(r.blended for r in vectors.blend(sims, none, 0.5, 0.05).collect()) == pytest.approx(1)
+
+
+def test_ticks_routes_and_boxes(spark):
+    from tagmill.functions import charts
+
+    f = spark.createDataFrame([(7.0,), (0.0,), (100.0,), (0.9,)], "x DOUBLE")
+    assert [r[0] for r in rows(f.select(charts.ticks(F.col("x"))))] == [[0, 2, 4, 6, 8], [0], [0, 20, 40, 60, 80, 100], pytest.approx([0, 0.2, 0.4, 0.6, 0.8, 1.0])]
+    r = spark.createDataFrame([("#/questions/Q7",), ("#/nowhere",), ("trends",), ("",)], "p STRING")
+    assert [tuple(x[0]) for x in rows(r.select(charts.route(F.col("p"))))] == [("questions", "Q7"), ("map", None), ("trends", None), ("map", None)]
+    b = spark.createDataFrame([(0.0, 0.0, 50.0, 1.0), (0.0, 780.0, 1.0, 800.0), (0.0, 100.0, 9.0, 109.0)], "x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE")
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    assert rows(b.select(charts.rule_kind(*box), charts.in_margin(F.col("y0"), F.col("y1")), charts.rounded_box(*box))) == [("horizontal", True, "0,0,50,1"), ("vertical", True, "0,780,1,800"), ("none", False, "0,100,9,109")]
+
+
+def test_embedding_hook(spark):
+    import numpy as np
+
+    from tagmill.functions import embed
+
+    def load():
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    f = spark.createDataFrame([("abc",), (None,)], "t STRING").select(embed.embedder(load)("t").alias("v"))
+    got = f.select(embed.cosine(F.col("v"), F.col("v"))).collect()
+    assert [r[0] for r in got] == pytest.approx([1.0, 1.0])
