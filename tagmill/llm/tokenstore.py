@@ -44,8 +44,9 @@ from tagmill.llm.pieces import Memo, PieceEncoder
 SHARD_TOKENS = 1 << 20
 #: A pair is frequent from this many occurrences in a shard.
 MIN_COUNT = 16
-#: Rounds of counting and replacing at most, and new rules of a round at most.
-MAX_ROUNDS = 6
+#: Rounds of counting and replacing at most (a shard ends sooner: when no pair is frequent, the rules are used up, or a round
+#: saves less than a hundredth), and new rules of a round at most.
+MAX_ROUNDS = 64
 RULES_A_ROUND = 4096
 #: Words remembered before the memory of them is emptied.
 MEMO_SIZE = 400_000
