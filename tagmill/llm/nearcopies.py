@@ -1,9 +1,19 @@
-"""Near copies by SimHash candidates and verified shingles: what the pipeline's near-copy stage runs.
+"""Near copies by verified shingles: what the pipeline's near-copy stage runs.
 
-Single fingerprints of five-word shingles are too coarse for a similarity of 0.8: such texts differ in ten of 64 bits. So
-candidates come from ``SEEDS`` fingerprints over two-word shingles, which differ in about six bits then, each searched by the
-byte-position index of ``simhash`` within ``max_bits``. Every candidate pair is then verified by the Jaccard similarity of the
-sets of five-word shingles. Words are those of ``words``.
+Words are those of ``words``. Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is
+``similarity`` or more; classes are the components of all such pairs. Candidates come in two ways, and every candidate is
+verified by the sets themselves.
+
+The first way is quick and not complete: ``SEEDS`` fingerprints over two-word shingles, each searched by the byte-position
+index of ``simhash`` within ``max_bits``. It gives spanning trees of candidates, so some of its pairs are never looked at.
+It makes classes of most copies, in time that doesn't grow with the square of a group.
+
+The second way is complete. All shingles are put in one order, those that a sample of the texts shows to be frequent last.
+If n shingles of a text are to have c in common with another text, one of its first n - c + 1 is shared, so each text is
+entered under these for the smallest c that it can need. Two texts that meet under a shingle are a candidate unless what is left
+of either from there on is too short, which is safe at the first shingle that they share. Pairs that are of one class
+already can't change a class and aren't looked at; all others are: first one of each two classes a shingle, to join groups with
+few pairs, then whatever is still between different classes.
 
 Texts with one set of shingles are one node from the start, so a group of copies of any size costs one fingerprint. A
 candidate pair moves two arrays of shingle hashes; only texts that are in a pair have theirs made.
@@ -29,6 +39,15 @@ SEEDS = 6
 CANDIDATE_WORDS = 2
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: One in this many texts tells which shingles are frequent: those that ``HOT_TEXTS`` of them hold, ``HOT_SHINGLES`` at most.
+#: That is for speed only; any order of the shingles finds all pairs.
+HOT_SAMPLE = 32
+HOT_TEXTS = 3
+HOT_SHINGLES = 500_000
+#: Distinct nodes of a task that are remembered, so that exact copies are entered once.
+SEEN_NODES = 1 << 20
+#: Lists of this many entries at most are compared all at once by shifting, longer ones entry by entry.
+SMALL_LIST = 24
 
 
 def _shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +91,12 @@ def shingle_set(w: Words, k: int) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(shingles, np.cumsum(counts)[:-1])]
 
 
+def _node(x: np.ndarray) -> np.uint64:
+    """Hash of a set of shingles."""
+    with np.errstate(over="ignore"):
+        return (x * (x | np.uint64(1))).sum(dtype=np.uint64) ^ np.uint64(len(x))
+
+
 def _nodes(docs: DataFrame, seeds: int, candidate_words: int, words: int) -> DataFrame:
     """doc_id, node (a hash of the set of shingles), fps; texts without words and rows without an id are left out."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -82,8 +107,7 @@ def _nodes(docs: DataFrame, seeds: int, candidate_words: int, words: int) -> Dat
                 w = Words([(x or "").encode() for x in batch.column(1).to_pylist()])
                 fps = fingerprints_of(w, candidate_words, seeds)
                 sets = shingle_set(w, words)
-                with np.errstate(over="ignore"):
-                    node = np.array([(x * (x | np.uint64(1))).sum(dtype=np.uint64) ^ np.uint64(len(x)) for x in sets], np.uint64)
+                node = np.array([_node(x) for x in sets], np.uint64)
                 has = pa.array(np.diff(w.bounds) > 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(fps.view(np.int64).ravel()), seeds).cast(pa.list_(pa.int64()))], ["doc_id", "node", "fps"]).filter(has)
 
@@ -102,6 +126,171 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), "node bigint, shingles array<bigint>")
 
 
+def _needed(n, similarity: float):
+    """Shingles in common that sets of n shingles together must have, rounded down where it is a close call."""
+    return np.ceil(similarity / (1 + similarity) * n - 1e-6)
+
+
+def _frequent(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles that many texts hold, the rarest of them first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                sets = shingle_set(Words([(x or "").encode() for x in batch.column(0).to_pylist()]), words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+
+    picked = docs.filter(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0).select("text").distinct()
+    counted = picked.mapInArrow(tidy(run), "shingle bigint").groupBy("shingle").count().filter(F.col("count") >= HOT_TEXTS)
+    top = counted.orderBy(F.desc("count"), "shingle").limit(HOT_SHINGLES).select("shingle").toArrow()
+    return top["shingle"].to_numpy().view(np.uint64)[::-1].copy()
+
+
+def prefix(shingles: np.ndarray, hot: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set, of which any set as similar as that shares one. ``hot`` is sorted, ``rank`` its order."""
+    n = len(shingles)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
+        is_hot = hot[at] == shingles
+        shingles = np.concatenate([shingles[~is_hot], shingles[is_hot][np.argsort(rank[at[is_hot]])]])
+    return shingles[: n - int(np.ceil(similarity * n - 1e-6)) + 1]
+
+
+def _entries(docs: DataFrame, words: int, similarity: float, hot: np.ndarray) -> DataFrame:
+    """shingle, node, n (shingles of the node), rest (how many there are from this one on): the prefixes of all texts."""
+    order = np.argsort(hot)
+    shared = docs.sparkSession.sparkContext.broadcast((hot[order], order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = shared.value
+        seen: set[int] = set()
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                out: list[tuple] = []
+                for x in shingle_set(Words([(t or "").encode() for t in batch.column(0).to_pylist()]), words):
+                    if not len(x) or (node := int(_node(x))) in seen:
+                        continue
+                    if len(seen) < SEEN_NODES:
+                        seen.add(node)
+                    first = prefix(x, known, rank, similarity)
+                    out.append((first, np.full(len(first), node, np.uint64), np.full(len(first), len(x), np.int32), np.arange(len(x), len(x) - len(first), -1, dtype=np.int32)))
+                if out:
+                    shingle, node, n, rest = (np.concatenate(c) for c in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(node.view(np.int64)), pa.array(n), pa.array(rest)], ["shingle", "node", "n", "rest"])
+
+    return docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(tidy(run), "shingle bigint, node bigint, n int, rest int")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by shingle and node those whose shingle another node has, too, each once."""
+    held, before = None, None  # the last row, and the shingle of the row before it
+    names = ["shingle", "node", "n", "rest"]
+
+    def out(cols: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        fresh = np.concatenate([[True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)])
+        cols = [c[fresh] for c in cols]
+        same = cols[0][1:] == cols[0][:-1]
+        behind = np.concatenate([[before is not None and before == cols[0][0]], same])
+        keep = behind.copy()
+        keep[:-1] |= same
+        held, before = [c[-1:] for c in cols], (cols[0][-1] if behind[-1] else None)
+        keep[-1] = False
+        if keep.any():
+            yield out(cols, keep)
+    if held is not None and before is not None:
+        yield out(held, np.array([True]))
+
+
+def _between(similarity: float, one_each: bool):
+    """Over rows (shingle, node, n, rest, root) sorted by shingle and root: candidates of different classes; with ``one_each``
+    of one shingle's list one for each two classes."""
+
+    def fits(n, rest, i, j):
+        return np.minimum(rest[i], rest[j]) >= _needed(n[i].astype(np.int64) + n[j], similarity)
+
+    def thin(shingle, root, i, j):
+        if not one_each or not len(i):
+            return i, j
+        with np.errstate(over="ignore"):  # another pair of the same classes under each shingle
+            mixed = (shingle[i] ^ (i * 1000003 + j).astype(np.int64) * np.int64(0x5851F42D4C957F2D)).astype(np.int64)
+        order = np.lexsort((mixed, np.maximum(root[i], root[j]), np.minimum(root[i], root[j]), shingle[i]))
+        i, j = i[order], j[order]
+        keys = np.stack([shingle[i], np.minimum(root[i], root[j]), np.maximum(root[i], root[j])])
+        new = np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])
+        return i[new], j[new]
+
+    def emit(node, i, j):
+        for a in range(0, len(i), 1 << 16):
+            x, y = node[i[a : a + (1 << 16)]], node[j[a : a + (1 << 16)]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    def lists(shingle, node, n, rest, root) -> Iterator[pa.RecordBatch]:
+        cut = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        sizes = np.diff(cut, append=len(shingle))
+        mixed = np.minimum.reduceat(root, cut) != np.maximum.reduceat(root, cut)
+        number = np.repeat(np.arange(len(cut)), sizes)
+        here = np.flatnonzero((mixed & (sizes <= SMALL_LIST))[number])
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for step in range(1, SMALL_LIST):
+            here = here[here + step < len(shingle)]
+            here = here[number[here] == number[here + step]]
+            if not len(here):
+                break
+            at = here[(root[here] != root[here + step]) & fits(n, rest, here, here + step)]
+            left.append(at)
+            right.append(at + step)
+        yield from emit(node, *thin(shingle, root, np.concatenate(left), np.concatenate(right)))
+        for k in np.flatnonzero(mixed & (sizes > SMALL_LIST)).tolist():
+            own = np.arange(cut[k], cut[k] + sizes[k])
+            names, counts = np.unique(root[own], return_counts=True)
+            largest = names[counts.argmax()]  # its members meet all others, but not each other
+            own = np.concatenate([own[root[own] != largest], own[root[own] == largest]])
+            left, right, held = [], [], 0
+            for m in range(len(own) - int(counts.max())):
+                after = own[m + 1 :]
+                j = after[(root[after] != root[own[m]]) & fits(n, rest, own[m : m + 1], after)]
+                i, j = thin(shingle, root, np.full(len(j), own[m]), j)
+                left.append(i)
+                right.append(j)
+                held += len(j)
+                if held > 1 << 18:
+                    i, j = thin(shingle, root, np.concatenate(left), np.concatenate(right))
+                    if one_each and len(i) < 1 << 17:
+                        left, right, held = [i], [j], len(i)
+                    else:
+                        yield from emit(node, i, j)
+                        left, right, held = [], [], 0
+            if held:
+                yield from emit(node, *thin(shingle, root, np.concatenate(left), np.concatenate(right)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []  # rows of lists that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy() for c in batch.columns]
+            last = np.flatnonzero(cols[0] != cols[0][-1])
+            done = int(last[-1]) + 1 if len(last) else 0
+            if parts and (done or parts[-1][0][-1] != cols[0][0]):
+                yield from lists(*(np.concatenate(x) for x in zip(*parts, [c[:done] for c in cols], strict=True)))
+                parts = []
+            elif done:
+                yield from lists(*(c[:done] for c in cols))
+            parts.append([c[done:] for c in cols])
+        if parts:
+            yield from lists(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    return run
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", seeds: int = SEEDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY, candidate_words: int = CANDIDATE_WORDS, words: int = SHINGLE_WORDS, list_size: int = LIST_SIZE) -> DataFrame:
     """doc_id, keep_id (the smallest id of its class) of every document that has an id and words."""
     small_batches(docs.sparkSession)
@@ -113,7 +302,21 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", seeds:
     same = own.join(head, ["seed", "fp"]).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))  # nodes of one fingerprint pair with the first of them
     side = lambda c: head.select("seed", F.col("fp").alias(c), F.col("head").alias(f"h{c}"))
     near = links(head.select("seed", "fp"), max_bits, list_size).join(side("a"), ["seed", "a"]).join(side("b"), ["seed", "b"]).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    pairs = same.unionByName(near)
+    true = _verified(source, nodes, same.unionByName(near), similarity, words)
+    entries = _entries(source, words, similarity, _frequent(source, words)).repartition("shingle").sortWithinPartitions("shingle", "node")
+    entries = materialise(entries.mapInArrow(tidy(_shared), "shingle bigint, node bigint, n int, rest int"), "entries")
+    for one_each in (True, False):
+        root = materialise(connected_components(true), "roots")
+        lists = entries.join(root, "node", "left").select("shingle", "node", "n", "rest", F.coalesce("root", "node").alias("root"))
+        lists = lists.repartition("shingle").sortWithinPartitions("shingle", "root", "node")
+        true = true.unionByName(_verified(source, nodes, lists.mapInArrow(tidy(_between(similarity, one_each)), "a bigint, b bigint"), similarity, words))
+    rooted = nodes.join(connected_components(true), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    keep = rooted.groupBy("root").agg(F.min("least").alias("keep_id"))
+    return made.join(rooted.join(keep, "root").select("node", "keep_id"), "node").select("doc_id", "keep_id")
+
+
+def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs a, b of nodes whose sets of shingles are similar enough."""
     pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     where = materialise(nodes.join(asked, "node", "left_semi").select("node", F.col("least").alias("__id")), "asked")
@@ -124,7 +327,4 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", seeds:
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
     both = F.size(F.array_intersect("sa", "sb"))
     jaccard = both / (F.size("sa") + F.size("sb") - both)
-    true = materialise(pairs.join(side("a"), "a").join(side("b"), "b").filter(jaccard >= similarity).select("a", "b"), "true-pairs")
-    rooted = nodes.join(connected_components(true), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    keep = rooted.groupBy("root").agg(F.min("least").alias("keep_id"))
-    return made.join(rooted.join(keep, "root").select("node", "keep_id"), "node").select("doc_id", "keep_id")
+    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").filter(jaccard >= similarity).select("a", "b"), "true-pairs")

@@ -79,3 +79,25 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id, r.keep_id) for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect())
     assert got == [(4, 4), (5, 4), (5, 4), (6, 6)]
     assert nearcopies.near_copies(spark.createDataFrame([], "doc_id BIGINT, text STRING")).count() == 0
+
+
+def edited(base, places):
+    """The words with new ones at the places."""
+    return [f"new{p}" if p in places else w for p, w in enumerate(base)]
+
+
+def test_every_pair_at_the_threshold_is_found(spark):
+    """Pairs without a third copy, similarity 0.80 to 0.84, scattered edits: all of them end in one class."""
+    rng = random.Random(11)
+    rows, close = [], []
+    for k in range(400):
+        n = rng.randint(100, 600)
+        base = [f"w{rng.randrange(50_000)}" for _ in range(n)]
+        edits = int(n * rng.uniform(0.017, 0.024)) or 1
+        pair = [" ".join(base), " ".join(edited(base, {int((i + 0.5) * n / edits) for i in range(edits)}))]
+        rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+        if 0.8 <= similarity(*map(shingles, pair)) < 0.84:
+            close.append(k)
+    assert len(close) > 80
+    got = {r.doc_id: r.keep_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert [k for k in close if got[2 * k] != got[2 * k + 1]] == []
