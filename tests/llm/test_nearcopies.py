@@ -101,3 +101,23 @@ def test_every_pair_at_the_threshold_is_found(spark):
     assert len(close) > 80
     got = {r.doc_id: r.keep_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
     assert [k for k in close if got[2 * k] != got[2 * k + 1]] == []
+
+
+def test_copies_that_hang_on_an_unlike_text(spark):
+    """A large family on one base: near fingerprints all around, but only the two of each couple are alike."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(900)]
+    rows = []
+    for k in range(150):
+        own = list(base)
+        for p in rng.sample(range(900), 14):
+            own[p] = f"own{k}x{p}"
+        other = list(own)
+        for p in rng.sample(range(900), 13):
+            other[p] = f"other{k}x{p}"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    sets = [shingles(t) for _, t in rows]
+    close = [(i, j) for i in range(300) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8]
+    assert 140 < len(close) < 400
+    got = {r.doc_id: r.keep_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert [(i, j) for i, j in close if got[i] != got[j]] == []
