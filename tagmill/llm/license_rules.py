@@ -64,7 +64,7 @@ NAMES = [
     ("bsd-2-clause", "simplified bsd", r"\bsimplified bsd license\b"),
     ("bsd-2-clause", "freebsd license", r"\bfreebsd license\b"),
     ("bsd-3-clause", "3-clause", r"\b(?:bsd 3-clause|3-clause bsd)(?: license)?\b"),
-    ("bsd-3-clause", "new bsd", r"\b(?:new|modified|revised) bsd license\b"),
+    ("bsd-3-clause", "bsd license", r"\b(?:new|modified|revised) bsd license\b"),
     ("bsd-4-clause", "4-clause", r"\b(?:bsd 4-clause|4-clause bsd)(?: license)?\b"),
     ("bsd-4-clause", "original bsd", r"\boriginal bsd license\b"),
     ("mpl-2.0", "mozilla public license", r"\bmozilla public license,? (?:version|v\.?)?\s*2(?:\.0)?\b"),
@@ -84,11 +84,11 @@ NAMES = [
     ("elastic-2.0", "elastic license", r"\belastic license(?: 2\.0)?\b"),
     ("commons-clause", "commons clause", r"\bcommons clause license\b"),
     ("isc", "isc license", r"\bisc license\b"),
-    ("zlib", "zlib license", r"\bzlib(?:/libpng)? license\b"),
+    ("zlib", "zlib", r"\bzlib(?:/libpng)? license\b"),
     ("libpng", "libpng license", r"\blibpng license\b"),
     ("unlicense", "unlicense", r"\b(?:the unlicense\b|unlicense\.org)"),
     ("wtfpl", "do what the fuck", r"\bdo what the fuck you want to public license\b"),
-    ("beerware", "beer-ware license", r"\bbeer-?ware license\b"),
+    ("beerware", "ware license", r"\bbeer-?ware license\b"),
     ("artistic-2.0", "artistic license", r"\bartistic license,? (?:version )?2(?:\.0)?\b"),
     ("artistic-1.0", "artistic license", r"\b(?:perl )?artistic license(?:,? (?:version )?1(?:\.0)?)?\b"),
     ("psf-2.0", "python software foundation license", r"\bpython software foundation license\b"),
@@ -183,5 +183,6 @@ RULES: list[Rule] = [
     *(Rule(a, 1, k, p) for a, k, p in GENERAL),
 ]
 
-#: Plain strings of which every keyword of a rule contains one: what a text must hold to be looked at.
-STEMS = ["licen", "copyright", "public", "permi", "redistrib", "spdx", "gpl", "clause", "bsd", "cc0", "by-nc", "attribution", "apache", "expat", "advertising", "neither the name", "source versions", "retain this notice", "not evil", "sold by itself", "organization obtaining", "all rights reserved", "proprietary", "cecill", "freetype", "w3c", "mozilla", "do what the", "cddl"]
+#: Single words, or parts of words, of which every match of a rule contains one: what a text must hold to be looked at. They
+#: hold no blank, as they are searched before white space is made single blanks.
+STEMS = ["licen", "copyright", "public", "permi", "redistrib", "spdx", "gpl", "clause", "bsd", "cc0", "by-nc", "attribution", "apache", "expat", "advertising", "contributors", "plainly", "retain", "evil", "components,", "accompanying", "reserved", "proprietary", "cecill", "freetype", "w3c", "mozilla", "cddl", "waived"]

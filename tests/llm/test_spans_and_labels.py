@@ -116,6 +116,51 @@ def test_scan(spark, data):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def alternatives(parsed):
+    """Strings that a parsed expression matches: each branch, and each repeat as seldom as it may and once."""
+    out = [""]
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                part = [chr(arg)]
+            case "BRANCH":
+                part = [x for branch in arg[1] for x in alternatives(branch)]
+            case "SUBPATTERN":
+                part = alternatives(arg[3])
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                part = [x * n for n in {arg[0], max(arg[0], 1)} for x in alternatives(arg[2])]
+            case "IN":
+                one = arg[0] if str(arg[0][0]) != "NEGATE" else arg[1]
+                part = {"LITERAL": lambda v: [chr(v)], "RANGE": lambda v: [chr(v[0])], "CATEGORY": lambda v: {"CATEGORY_DIGIT": ["1"], "CATEGORY_SPACE": [" "], "CATEGORY_WORD": ["t"], "CATEGORY_NOT_WORD": ['"']}[str(v)]}[str(one[0])](one[1])
+            case "ANY":
+                part = ["~"]
+            case "AT" | "ASSERT_NOT":
+                part = [""]
+            case _:
+                raise ValueError(op)
+        out = [a + b for a in out for b in part]
+    return out
+
+
+def test_prefilters_hold_for_every_alternative():
+    from re import _parser
+
+    assert not [s for s in STEMS if re.search(r"\s", s)]
+    lost = []
+    for r in RULES:
+        strings = alternatives(_parser.parse(r.pattern))
+        assert any(re.search(r.pattern, x, re.ASCII) for x in strings)
+        lost += [(r.label, r.keyword, x) for x in strings if r.keyword not in x or not any(s in x for s in STEMS)]
+    assert lost == []
+
+
+def test_prefilters_drop_no_match(spark):
+    texts = {"the Modified BSD License": "bsd-3-clause", "revised BSD licence": "bsd-3-clause", "Beerware License": "beerware", "the zlib/libpng License": "zlib", "All rights\nreserved": "all-rights-reserved", "shall be used for Good,\tnot  Evil; the software shall be used for good, not\nevil": "json", "Altered source\nversions must be plainly marked as such": "zlib", "as long as you retain\nthis notice you can do whatever you want": "beerware", "neither the\nname of X nor the names of its contributors": "bsd-3-clause"}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs).collect()}
+    assert [t for i, (t, label) in enumerate(texts.items()) if label not in got[i]] == []
+
+
 def test_containment(spark):
     rules = [Rule("whole", 2, "big license", "big license text"), Rule("part", 1, "license", "license"), Rule("strong", 3, "license", "license text")]
     docs = spark.createDataFrame([(1, "big license text"), (2, "a license")], "doc_id BIGINT, text STRING")
