@@ -28,6 +28,8 @@ _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # a store would otherwise reserve about 4 MB of local disk whatever it holds
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Rows of hits that are sent to every task at most; beyond, both sides are shuffled by doc_id.
 BROADCAST_ROWS = 1_000_000
