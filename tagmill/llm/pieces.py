@@ -2,17 +2,20 @@
 
 Byte-level BPE splits a text by a pattern whose matches take at most one leading blank and otherwise stay within a run of
 one class. So no match crosses a single blank between two non-blank characters, and the ids of `` word`` don't depend on the
-text around it. Texts are cut at those blanks; a piece keeps the blank before it, unless it is the text's first.
+text around it. Texts are cut at those blanks; a piece keeps the blank before it. For the same reason they are cut, without a
+blank, where an ASCII letter meets an ASCII mark other than the apostrophe (which may open a contraction), and around a
+single line feed between two graphic characters. A piece without a blank before it is called *bare*.
 
 Most pieces are short and recur. Their ids are kept in a table of bounded size that is looked up for all pieces of many
-texts at once: pieces of up to 15 bytes are exact 128-bit keys (the bytes, the length, and whether the piece is first).
-Others are encoded one by one.
+texts at once: pieces of up to 15 bytes are exact 128-bit keys (the bytes, the length, and whether the piece is bare).
+Others are encoded one by one. Texts that hold a special token's string are cut at it, and its id stands for it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from string import ascii_letters, punctuation
 
 import numpy as np
 
@@ -42,6 +45,26 @@ _OPENS = _SPACE.copy()
 _OPENS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+#: Classes of bytes between which texts are cut besides blanks.
+_LETTER, _MARK, _GRAPHIC, _LINE = 1, 2, 3, 4
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = _GRAPHIC
+_CLASS[list(ascii_letters.encode())] = _LETTER
+_CLASS[[c for c in punctuation.encode() if c != ord("'")]] = _MARK
+_CLASS[10] = _LINE
+
+
+def _bare_starts(joined: np.ndarray) -> np.ndarray:
+    """Places where a piece starts that has no blank before it."""
+    kind = _CLASS[joined]
+    a, b = kind[:-1], kind[1:]
+    turn = (a == _LETTER) & (b == _MARK) | (a == _MARK) & (b == _LETTER)
+    line = np.flatnonzero(kind[1:-1] == _LINE) + 1
+    graphic = lambda at: (kind[at] >= _LETTER) & (kind[at] <= _GRAPHIC)
+    line = line[graphic(line - 1) & graphic(line + 1)]
+    return np.concatenate([np.flatnonzero(turn) + 1, line, line + 1])
+
+
 def _uneven(texts: Sequence[str], joined: np.ndarray, blanks: np.ndarray, start_of_text: np.ndarray) -> list[int]:
     """Numbers of the texts that can't be cut at every blank. Most are told by the bytes around their blanks."""
     before, after = joined[blanks - 1], joined[np.minimum(blanks + 1, len(joined) - 1)]
@@ -72,13 +95,15 @@ class Memo(dict):
 
 
 class PieceEncoder:
-    """``make(pieces, first)`` gives the ids of each piece, as little-endian unsigned 32-bit integers.
+    """``make(pieces, bare)`` gives the ids of each piece, as little-endian unsigned 32-bit integers.
 
-    Pieces come without their leading blank; ``first`` says of all of them that they are texts' first ones and had none.
+    Pieces come without their leading blank; ``bare`` says of all of them that they had none. ``special`` has the ids, in
+    the same form, of strings that are tokens wherever they stand.
     """
 
-    def __init__(self, make: Callable[[list[str], bool], list[bytes]], bits: int = BITS):
-        self.make, self.bits = make, bits
+    def __init__(self, make: Callable[[list[str], bool], list[bytes]], bits: int = BITS, special: Mapping[str, bytes] | None = None):
+        self.make, self.bits, self.special = make, bits, dict(special or {})
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if special else lambda text: [text]
         self._empty()
 
     def _empty(self) -> None:
@@ -133,15 +158,19 @@ class PieceEncoder:
 
     def one(self, text: str) -> bytes:
         """Ids of one text, without the table."""
-        if not text:
-            return b""
-        parts = pieces(text)
-        return b"".join(self.make(parts[:1], True) + self.make(parts[1:], False))
-
-    def _made(self, joined: bytes, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> list[bytes]:
+        out = []
+        for i, part in enumerate(self.parts(text)):
+            if i % 2:
+                out.append(self.special[part])
+            elif part:
+                own = pieces(part)
+                out += self.make(own[:1], True) + self.make(own[1:], False)
+        return b"".join(out)
+
+    def _made(self, joined: bytes, start: np.ndarray, size: np.ndarray, bare: np.ndarray) -> list[bytes]:
         """Ids of the pieces at these places."""
         parts = [joined[a : a + n].decode() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
-        flags = first.tolist()
+        flags = bare.tolist()
         heads, others = iter(self.make([p for p, f in zip(parts, flags, strict=True) if f], True)), iter(self.make([p for p, f in zip(parts, flags, strict=True) if not f], False))
         return [next(heads if f else others) for f in flags]
 
@@ -152,20 +181,24 @@ class PieceEncoder:
         raw = [t.encode() for t in texts]
         joined, blanks, start_of_text = self._joined(raw)
         uneven = _uneven(texts, np.frombuffer(joined, np.uint8), blanks, start_of_text)
+        if any(x.encode() in joined for x in self.special):
+            uneven = sorted({*uneven, *(i for i, t in enumerate(texts) if any(x in t for x in self.special))})
         if uneven:  # they are encoded by themselves below
             for t in uneven:
                 raw[t] = b""
             joined, blanks, start_of_text = self._joined(raw)
         padded = joined + bytes(32 - len(joined) % 8)
-        start = np.concatenate([[0], blanks + 1])
-        size = np.concatenate([blanks, [len(joined)]]) - start
+        bare_starts = _bare_starts(np.frombuffer(joined, np.uint8))
+        start = np.concatenate([[0], blanks + 1, bare_starts])
+        order = np.argsort(start, kind="stable")
+        start, bare = start[order], order > len(blanks)
+        size = np.append(start[1:] - ~bare[1:], len(joined)) - start
         text_at = np.searchsorted(start, start_of_text)  # a text's first piece
-        first = np.zeros(len(start), bool)
-        first[text_at] = True
+        bare[text_at] = True
         place, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
 
         short = np.flatnonzero((size > 0) & (size <= LONGEST))
-        low, high = self._key(padded, start[short], size[short], first[short])
+        low, high = self._key(padded, start[short], size[short], bare[short])
         slot = self._find(low, high)
         lost = np.flatnonzero(slot < 0)
         if self.used + len(lost) > FULL * (1 << self.bits):
@@ -177,13 +210,13 @@ class PieceEncoder:
             order = lost[np.lexsort((low[lost], high[lost]))]
             new = order[np.append(True, (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]]))]
             if self.used + len(new) <= FULL * (1 << self.bits):
-                self._keep(low[new], high[new], self._made(joined, start[short[new]], size[short[new]], first[short[new]]))
+                self._keep(low[new], high[new], self._made(joined, start[short[new]], size[short[new]], bare[short[new]]))
                 slot[lost] = self._find(low[lost], high[lost])
             else:  # more different ones at once than the table takes
                 loose = np.sort(np.concatenate([loose, short[lost]]))
         held = slot >= 0
         place[short[held]], count[short[held]] = self.place[slot[held]], self.count[slot[held]]
-        extra = self._made(joined, start[loose], size[loose], first[loose]) + [self.one(texts[t]) for t in uneven]
+        extra = self._made(joined, start[loose], size[loose], bare[loose]) + [self.one(texts[t]) for t in uneven]
         if extra:  # their ids lie after those of the table
             at = np.concatenate([loose, text_at[uneven]]).astype(np.int64)
             sizes = np.fromiter((len(x) // 4 for x in extra), np.int64, len(extra))
@@ -200,7 +233,7 @@ class PieceEncoder:
         return joined, np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
 
     @staticmethod
-    def _key(padded: bytes, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _key(padded: bytes, start: np.ndarray, size: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Both words of the keys: eight bytes from a place on are put together from two aligned words."""
         words = np.frombuffer(padded, "<u8")
         word, shift = start >> 3, ((start & 7) << 3).astype(_U)
@@ -209,4 +242,4 @@ class PieceEncoder:
         low = (a >> shift) | ((b << _U(1)) << back)
         high = (b >> shift) | ((c << _U(1)) << back)
         low, high = low & _LOW[size], high & _HIGH[size]
-        return low, high | (size.astype(_U) << _U(56)) | (first.astype(_U) << _U(63))
+        return low, high | (size.astype(_U) << _U(56)) | (bare.astype(_U) << _U(63))

@@ -28,7 +28,6 @@ import zlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import pairwise
-from string import punctuation
 from struct import pack
 
 import numpy as np
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagmill.llm.common import slices, small_batches, tidy, two_columns
-from tagmill.llm.pieces import Memo, PieceEncoder
+from tagmill.llm.pieces import PieceEncoder
 
 #: Ids after which a shard is closed; a document is never split.
 SHARD_TOKENS = 1 << 20
@@ -48,8 +47,8 @@ MIN_COUNT = 16
 #: saves less than a hundredth), and new rules of a round at most.
 MAX_ROUNDS = 64
 RULES_A_ROUND = 4096
-#: Words remembered before the memory of them is emptied.
-MEMO_SIZE = 400_000
+#: Pieces that the library gets as one text.
+RUN = 32
 
 
 def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int = MAX_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -162,23 +161,6 @@ def decode_range(shard: dict, start: int, stop: int) -> np.ndarray:
     return np.array(out[start - begin : stop - begin], np.uint32)
 
 
-def _split(piece: str) -> list[tuple[str, str]] | None:
-    """Words of a piece, each with the blank or line feed before it, and the marks after each. None if it holds anything else."""
-    stem = piece.rstrip(punctuation)
-    if stem.isalpha():
-        return [(" " + stem, piece[len(stem) :])]
-    if "\n" not in piece:
-        return None
-    out, lead = [], " "
-    for line in piece.split("\n"):
-        stem = line.rstrip(punctuation)
-        if not stem.isalpha():
-            return None
-        out.append((lead + stem, line[len(stem) :]))
-        lead = "\n"
-    return out
-
-
 @cache
 def _tokenizer(path: str) -> tuple[PieceEncoder, int]:
     """Encoder and size of the vocabulary; one for each Python worker."""
@@ -186,38 +168,26 @@ def _tokenizer(path: str) -> tuple[PieceEncoder, int]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-
     length = np.array([len(t.id_to_token(i) or "") for i in range(t.get_vocab_size())], np.int64)  # a character a byte
-    words: dict[str, bytes] = {}
-
-    def encoded(parts: list[str]) -> list[bytes]:
-        """Ids of parts that each begin with a blank or line feed and have others after it: encoded as one text and cut again."""
-        if not parts:
-            return []
-        ids = np.array(t.encode("".join(parts), add_special_tokens=False).ids, "<u4")
-        stops = np.searchsorted(np.cumsum(length[ids]), np.cumsum([len(p.encode()) for p in parts])) + 1
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in pairwise([0, *stops.tolist()])]
-
-    def make(parts: list[str], first: bool) -> list[bytes]:
-        if first:
-            return [pack(f"<{len(x)}I", *x) for x in (t.encode(p, add_special_tokens=False).ids for p in parts)]
-        if len(words) > MEMO_SIZE:
-            words.clear()
-        # words and the marks after them are encoded apart, also where lines meet: each word with the blank or line feed before it
-        split = [_split(p) for p in parts]
-        todo = list(dict.fromkeys(x for own in split if own for x, _ in own if x not in words))
-        words.update(zip(todo, encoded(todo), strict=True))
-        others = iter(encoded([" " + p for p, own in zip(parts, split, strict=True) if own is None]))
-        return [next(others) if own is None else b"".join([words[x] + marks[m] if m else words[x] for x, m in own]) for own in split]
-
-    def points(text: str) -> bytes:
-        found = t.encode(text, add_special_tokens=False).ids if text else []
-        return pack(f"<{len(found)}I", *found)
-
-    marks = Memo(points, 10_000)
-    return PieceEncoder(make), t.get_vocab_size()
+
+    def ids_of(texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def make(parts: list[str], bare: bool) -> list[bytes]:
+        if bare:
+            return [pack(f"<{len(x)}I", *x) for x in ids_of(parts)]
+        # parts that begin with a blank and have others after it: several are encoded as one text, which is cut again
+        out: list[bytes] = []
+        runs = [parts[a : a + RUN] for a in range(0, len(parts), RUN)]
+        for run, ids in zip(runs, ids_of([" " + " ".join(r) for r in runs]), strict=True):
+            found = np.array(ids, "<u4")
+            stops = np.searchsorted(np.cumsum(length[found]), np.cumsum([len(p.encode()) + 1 for p in run])) + 1
+            raw = found.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in pairwise([0, *stops.tolist()])]
+        return out
+
+    special = {x.content: pack("<I", i) for i, x in t.get_added_tokens_decoder().items()}
+    return PieceEncoder(make, special=special), t.get_vocab_size()
 
 
 _SHARD = "part int, seq int, part_start bigint, n_ids bigint, doc_ids array<{}>, starts array<bigint>, width int, base bigint, symbols binary, rules binary, lengths binary"

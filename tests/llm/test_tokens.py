@@ -107,7 +107,6 @@ def test_files(spark, tmp_path, monkeypatch):
     tokenstore.write_shards(_docs(spark), tokenizer, 2, path)
     got = sorted(((r.doc_id if r.doc_id is not None else -1), r.start, r.n_tokens, r.ids_crc32) for r in tokenstore.read_shards(spark, path).collect())
     t = tokenizers.Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
     want, start = [], 0
     for doc, text in sorted(((r.doc_id if r.doc_id is not None else -1), r.text or "") for r in _docs(spark).collect()):
         ids = [*t.encode(text, add_special_tokens=False).ids, 2]
@@ -120,9 +119,21 @@ def test_files(spark, tmp_path, monkeypatch):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(alphabet="ab,.;é1 \n'<|>endoftxs_-", max_size=60))
+@given(st.text(alphabet="ab,.;é1 \n'<|>endoftxs_-\t\x00", max_size=60))
 def test_pieces_encode_as_the_whole(text):
     encoder, _ = tokenstore._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     assert encoder.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_strings_of_special_tokens(spark, tmp_path):
+    """They are ids of their own wherever they stand, as in the library."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    t = tokenizers.Tokenizer.from_file(tokenizer)
+    texts = ["end <|endoftext|> of", "<|endoftext|>", "a<|endoftext|>b", "<|endoftext|><|endoftext|> x", "<|endoftext|", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    path = f"file://{tmp_path}/shards"
+    tokenstore.write_shards(docs, tokenizer, 2, path)
+    want = [zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes()) for x in texts]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [437, 220, 50256, 286]
+    assert [r.ids_crc32 for r in tokenstore.read_shards(spark, path).orderBy("doc_id").collect()] == want
