@@ -10,6 +10,7 @@ from tagmill.operators import forecast as f
 from tagmill.operators import planner as p
 from tagmill.operators import weightage as w
 from tagmill.plans.binding import YEARS, ctes, items, records, table
+from tagmill.sources.scratch import written
 
 C = ctes()
 
@@ -56,7 +57,7 @@ def rating_precedence(spark, d):
 
 
 def _mastery(spark, d):
-    units = p.precedence(_unit_profiles(spark, d), _ratings(spark, d))
+    units = written(p.precedence(_unit_profiles(spark, d), _ratings(spark, d)), "rated-units")
     done = units.filter(F.length("unit_id") % 3 == 0).select("profile", "unit_id", F.lit(2.5).alias("hours_done"))
     results = units.select("profile", F.col("section_id").alias("key"), F.length("section_id").alias("correct"), (F.length("section_id") + 3).alias("attempted")).distinct()
     results = results.unionByName(units.filter(F.length("unit_id") % 5 == 1).select("profile", F.col("unit_id").alias("key"), F.lit(1).alias("correct"), F.lit(4).alias("attempted")))
@@ -76,7 +77,7 @@ def learning_curve(spark, d):
 
 def _budgets(spark, d):
     cal = p.weeks(_profiles(spark, d)).filter("phase = 'learn'").groupBy("profile").agg((F.sum(F.col("capacity").cast("decimal(12,2)")).cast("double") / (1 + pl.REVISION_SHARE)).alias("budget"))
-    return _mastery(spark, d).join(cal, "profile")
+    return written(_mastery(spark, d).join(cal, "profile"), "budgets")
 
 
 def water_filling(spark, d):
@@ -128,9 +129,12 @@ def round_half_even(spark, d):
 
 
 def _planned(spark, d):
+    """Units with planned hours, the worth of the first one (to nine decimals, so that ties are ties) and practice questions."""
     rows = p.allocate(_budgets(spark, d))
-    value = pl.marginal_value(F.col("expected_marks"), F.col("mastery"), pl.constant(F.col("hours")))
-    return rows.withColumn("value", value).withColumn("questions", F.array().cast("array<string>"))
+    value = F.round(pl.marginal_value(F.col("expected_marks"), F.col("mastery"), pl.constant(F.col("hours"))), 9)
+    practice = practice_questions(spark, d).select("unit_id", F.split("practice", ",").alias("questions"))
+    rows = rows.withColumn("value", value).withColumn("planned", F.round("planned", 6)).join(practice, "unit_id", "left")
+    return written(rows.withColumn("questions", F.coalesce("questions", F.array().cast("array<string>"))), "planned-units")
 
 
 def learning_order(spark, d):
@@ -141,9 +145,22 @@ def weekly_plan(spark, d):
     return p.weekly_plan(_planned(spark, d), p.weeks(_profiles(spark, d)), mocks=["paper 2000"])
 
 
+def plan_notes(spark, d):
+    """Remarks on each profile's plan, in order."""
+    units, calendar = _planned(spark, d), p.weeks(_profiles(spark, d))
+    return p.plan_notes(written(p.weekly_plan(units, calendar, mocks=["paper 2000"]), "plan"), units, calendar)
+
+
+def plan_totals(spark, d):
+    """Hours of each kind per profile and week, beside the week's capacity."""
+    calendar = p.weeks(_profiles(spark, d))
+    used = weekly_plan(spark, d).filter("kind <> 'finish'").groupBy("profile", "week").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("plan_hours"))), F.lit(0.0)).alias(k) for k in ("learn", "revise", "mock", "target")))
+    return calendar.join(used, ["profile", "week"], "left").select("profile", "week", "phase", "capacity", *(F.coalesce(k, F.lit(0.0)).alias(k) for k in ("learn", "revise", "mock", "target")))
+
+
 def plan_document(spark, d):
     """A JSON document per profile: its weeks with what is planned in each, in order."""
-    week = weekly_plan(spark, d).groupBy("profile", "week").agg(F.array_sort(F.collect_list(F.struct("kind", "unit_id", "plan_hours"))).alias("blocks"))
+    week = weekly_plan(spark, d).groupBy("profile", "week").agg(F.array_sort(F.collect_list(F.struct("kind", "unit_id", "plan_hours", "practice"))).alias("blocks"))
     return week.groupBy("profile").agg(F.to_json(F.array_sort(F.collect_list(F.struct("week", "blocks")))).alias("document"))
 
 
@@ -183,7 +200,7 @@ _WATER = (
 )
 R = C.replace("WITH i AS", "WITH RECURSIVE i AS", 1)
 
-QUERIES = {x.__name__: x for x in (rating_precedence, mastery_update, learning_curve, water_filling, expected_secured, build_weeks, spaced_offsets, targeted_revision, practice_questions, unit_table, round_half_even, learning_order, weekly_plan, plan_document, chart_ticks)}
+QUERIES = {x.__name__: x for x in (rating_precedence, mastery_update, learning_curve, water_filling, expected_secured, build_weeks, spaced_offsets, targeted_revision, practice_questions, unit_table, round_half_even, learning_order, weekly_plan, plan_notes, plan_totals, plan_document, chart_ticks)}
 ORACLES = {
     "rating_precedence": C + _U + " SELECT profile, unit_id, prior FROM pri",
     "mastery_update": C + _U + " SELECT profile, unit_id, round(mastery, 6) AS mastery FROM ma",
@@ -199,5 +216,13 @@ ORACLES = {
         p AS (SELECT *, top / 5 AS rough, 10.0 ** floor(log10(top / 5)) AS pw FROM m WHERE top > 0),
         s AS (SELECT *, CASE WHEN pw >= rough * (1 - 1e-9) THEN pw WHEN 2 * pw >= rough * (1 - 1e-9) THEN 2 * pw WHEN 2.5 * pw >= rough * (1 - 1e-9) THEN 2.5 * pw WHEN 5 * pw >= rough * (1 - 1e-9) THEN 5 * pw ELSE 10 * pw END AS step FROM p)
         SELECT unit_id, top, array_to_string(list_transform(range(0, CAST(ceil(top / step - 1e-9) AS BIGINT) + 1), lambda i: printf('%.2f', CAST(i * step AS DOUBLE))), ',') AS ticks FROM s UNION ALL SELECT unit_id, top, '0.00' FROM m WHERE top <= 0""",
+    "learning_order": R + _WATER + """, f AS (SELECT profile, unit_id, round(expected_marks * (1 - mastery) / (hours / 2), 9) AS value, CASE WHEN b % 3 = 0 AND b > 1 THEN concat(regexp_extract(unit_id, '^(.*#)[0-9]+$', 1), b - 1) ELSE '' END AS pre
+            FROM (SELECT *, CAST(regexp_extract(unit_id, '#([0-9]+)$', 1) AS INTEGER) AS b FROM pl) WHERE round_even(round(planned, 6) / 0.5, 0) > 0),
+        h AS (SELECT f.profile, f.unit_id, f.value, CASE WHEN g.unit_id IS NULL THEN '' ELSE f.pre END AS pre FROM f LEFT JOIN f g ON g.profile = f.profile AND g.unit_id = f.pre),
+        lo(place, profile, unit_id, done) AS (SELECT 0, profile, '', ['']  FROM (SELECT DISTINCT profile FROM h) UNION ALL
+            SELECT place, profile, pick, list_append(done, pick) FROM (
+                SELECT lo.place + 1 AS place, lo.profile, lo.done, first(h.unit_id ORDER BY list_contains(lo.done, h.pre) DESC, h.value DESC, h.unit_id) AS pick
+                FROM lo JOIN h ON h.profile = lo.profile AND NOT list_contains(lo.done, h.unit_id) GROUP BY lo.place, lo.profile, lo.done))
+        SELECT profile, CAST(place AS INTEGER) AS place, unit_id FROM lo WHERE place > 0""",
     "round_half_even": "SELECT DISTINCT l_quantity / 4 AS x, round_even(l_quantity / 4 / 0.5, 0) * 0.5 AS near, floor(l_quantity / 4 / 0.5 + 1e-9) * 0.5 AS low FROM lineitem",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -192,29 +193,54 @@ def test_precedence(spark):
         planner.precedence(units, spark.createDataFrame([("x", "DA", "guru")], ratings.schema)).collect()
 
 
+def _frame(rows):
+    names = ["unit_id", "section_id", "hours", "planned", "mastery", "expected_marks", "value", "prereqs", "questions"]
+    return pd.DataFrame(rows, columns=names)
+
+
 def test_order_respects_prerequisites():
-    u = lambda i, v, *pre, h=2.0: {"id": i, "planned": h, "value": v, "prereqs": list(pre)}
-    assert planner.order_units([u("a", 1, "b"), u("b", 0.5), u("c", 0.7), u("d", 9, h=0.0)]) == ["c", "b", "a"]
-    assert planner.order_units([u("a", 1, "b"), u("b", 2, "a")]) == ["b", "a"]
-    assert planner.order_units([u("a", 1, "z")]) == ["a"]
+    u = lambda i, v, *pre, h=2.0: (i, "s", 4.0, h, 0.5, 1.0, v, list(pre), [])
+    order = lambda *rows: [x.names[i] for x in [planner.Units.of(_frame(rows))] for i in x.order]
+    assert order(u("a", 1, "b"), u("b", 0.5), u("c", 0.7), u("d", 9, h=0.0)) == ["c", "b", "a"]
+    assert order(u("a", 1, "b"), u("b", 2, "a")) == ["b", "a"]
+    assert order(u("a", 1, "z")) == ["a"]
 
 
 def test_schedule_keeps_capacity_and_finishes_units():
-    units = [{"id": f"u{i}", "section": f"s{i % 2}", "hours": 8.0, "planned": 4.0 + i % 3, "mastery": 0.4, "marks": 1.0 + i, "value": float(i), "prereqs": [f"u{i - 1}"] if i % 3 == 1 else [], "questions": []} for i in range(8)]
-    calendar = [{"week": i, "capacity": 9.25, "phase": "learn" if i < 6 else "final"} for i in range(8)]
-    s = planner.Schedule(units, calendar, ["m1"]).run()
-    for w in calendar:
-        assert sum(r[3] for r in s.rows if r[0] == w["week"]) <= w["capacity"] + 1e-9
+    units = [(f"u{i}", f"s{i % 2}", 8.0, 4.0 + i % 3, 0.4, 1.0 + i, float(i), [f"u{i - 1}"] if i % 3 == 1 else [], [f"q{k}" for k in range(i)]) for i in range(8)]
+    calendar = [(i, 9.25, "learn" if i < 6 else "final") for i in range(8)]
+    rows = planner.simulate(planner.Units.of(_frame(units)), calendar, ["m1"])
+    for week, capacity, _ in calendar:
+        assert sum(r[3] for r in rows if r[0] == week) <= capacity + 1e-9
     spent = {}
-    for _, kind, unit, hours in s.rows:
+    for _, kind, unit, hours, _ in rows:
         if kind == "learn":
             spent[unit] = spent.get(unit, 0) + hours
-    place = {u: i for i, (_, u) in enumerate(s.finished)}
-    for u in units:
-        if u["id"] in place:
-            assert spent[u["id"]] == pytest.approx(u["planned"])
-            assert all(place[q] < place[u["id"]] for q in u["prereqs"])
-    assert [r[2] for r in s.rows if r[1] == "mock"][0] == "m1"
+    place = {r[2]: i for i, r in enumerate([r for r in rows if r[1] == "finish"])}
+    for name, _, _, planned, _, _, _, prereqs, questions in units:
+        if name in place:
+            assert spent[name] == pytest.approx(planned)
+            assert all(place[q] < place[name] for q in prereqs)
+            assert [r[4] for r in rows if r[1:3] == ("finish", name)] == [",".join(questions[: planning.PRACTICE])]
+    assert [r[2] for r in rows if r[1] == "mock"][0] == "m1"
+
+
+def test_plan_worked_by_hand():
+    """Two units of two sections, then a third that needs the first; ten hours a week, the last two weeks are final."""
+    units = [("a", "x", 8.0, 9.0, 0.5, 4.0, 3.0, [], []), ("b", "y", 8.0, 3.0, 0.5, 2.0, 2.0, [], []), ("c", "x", 8.0, 4.0, 0.2, 1.0, 1.0, ["a"], [])]
+    calendar = [(0, 10.0, "learn"), (1, 10.0, "learn"), (2, 10.0, "final"), (3, 10.0, "final")]
+    got = [r[:4] for r in planner.simulate(planner.Units.of(_frame(units)), calendar, ["m"])]
+    # week 0: a and b get five hours each, of which b needs three; the two that are left go to a, which has two to go
+    # week 1: b is due (a third of 15 % of its hours, half an hour at least); a ends, then c; late revision goes to the end
+    assert got[:7] == [(0, "finish", "b", 0.0), (0, "learn", "a", 7.0), (0, "learn", "b", 3.0), (1, "revise", "b", 0.5), (1, "finish", "a", 0.0), (1, "finish", "c", 0.0), (1, "learn", "a", 2.0)]
+    assert got[7] == (1, "learn", "c", 4.0)
+    # final weeks: two mocks fill the first, one half of the second; the rest goes by marks at risk and revision owed
+    assert [r for r in got if r[1] == "mock"] == [(2, "mock", "m", 5.0), (2, "mock", "external", 5.0), (3, "mock", "external", 5.0)]
+    level = [1 - (1 - m) * math.exp(-h / 4) for m, h in ((0.5, 9), (0.5, 3), (0.2, 4))]
+    risk = [k * (1 - x) + owed for k, x, owed in zip((4, 2, 1), level, (1.5, 1.0, 1.5), strict=True)]
+    blocks = [math.floor(10 * x / sum(risk)) for x in risk]
+    blocks[risk.index(max(risk))] += 10 - sum(blocks)
+    assert sorted(r for r in got if r[1] == "target") == sorted((3, "target", u, b / 2) for u, b in zip("abc", blocks, strict=True) if b)
 
 
 @settings(max_examples=25, deadline=None)
