@@ -39,23 +39,23 @@ NAMES = [
     ("mit", "licenses/mit", r"opensource\.org/licenses/mit(?:-license)?(?:\.php)?"),
     ("mit", "expat", r"\bexpat license\b"),
     ("x11", "x11 license", r"\bx11 license\b"),
-    ("apache-2.0", "apache", r"\bapache license,? (?:version|v\.?)?\s*2(?:\.0)?\b"),
+    ("apache-2.0", "apache", r"\bapache license,? (?:version|v\.?)? ?2(?:\.0)?\b"),
     ("apache-2.0", "license-2.0", r"apache\.org/licenses/license-2\.0(?:\.txt|\.html)?"),
-    ("apache-1.1", "apache", r"\bapache (?:software )?license,? (?:version|v\.?)?\s*1\.1\b"),
-    ("apache-1.0", "apache", r"\bapache (?:software )?license,? (?:version|v\.?)?\s*1\.0\b"),
-    ("gpl-3.0", "general public license", r"\bgnu general public license,? (?:as published by the free software foundation,? )?(?:either )?(?:version|v\.?)\s*3\b"),
-    ("gpl-2.0", "general public license", r"\bgnu general public license,? (?:as published by the free software foundation,? )?(?:either )?(?:version|v\.?)\s*2\b"),
-    ("gpl-1.0", "general public license", r"\bgnu general public license,? (?:version|v\.?)\s*1\b"),
+    ("apache-1.1", "apache", r"\bapache (?:software )?license,? (?:version|v\.?)? ?1\.1\b"),
+    ("apache-1.0", "apache", r"\bapache (?:software )?license,? (?:version|v\.?)? ?1\.0\b"),
+    ("gpl-3.0", "general public license", r"\bgnu general public license,? (?:as published by the free software foundation,? )?(?:either )?(?:version|v\.?) ?3\b"),
+    ("gpl-2.0", "general public license", r"\bgnu general public license,? (?:as published by the free software foundation,? )?(?:either )?(?:version|v\.?) ?2\b"),
+    ("gpl-1.0", "general public license", r"\bgnu general public license,? (?:version|v\.?) ?1\b"),
     ("gpl-3.0", "gplv3", r"\bgplv3\+?\b"),
     ("gpl-2.0", "gplv2", r"\bgplv2\+?\b"),
-    ("gpl-3.0", "gpl-3.0", r"gnu\.org/licenses/gpl-3\.0(?:\.\w+)?"),
-    ("gpl-2.0", "gpl-2.0", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0(?:\.\w+)?"),
-    ("lgpl-3.0", "lesser general public license", r"\bgnu lesser general public license,? (?:version|v\.?)\s*3\b"),
-    ("lgpl-2.1", "lesser general public license", r"\bgnu lesser general public license,? (?:version|v\.?)\s*2\.1\b"),
+    ("gpl-3.0", "gpl-3.0", r"gnu\.org/licenses/gpl-3\.0(?:\.\w{1,9})?"),
+    ("gpl-2.0", "gpl-2.0", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0(?:\.\w{1,9})?"),
+    ("lgpl-3.0", "lesser general public license", r"\bgnu lesser general public license,? (?:version|v\.?) ?3\b"),
+    ("lgpl-2.1", "lesser general public license", r"\bgnu lesser general public license,? (?:version|v\.?) ?2\.1\b"),
     ("lgpl-2.0", "library general public license", r"\bgnu library general public license\b"),
     ("lgpl-3.0", "lgplv3", r"\blgplv3\+?\b"),
     ("lgpl-2.1", "lgplv2", r"\blgplv2(?:\.1)?\+?\b"),
-    ("agpl-3.0", "affero general public license", r"\bgnu affero general public license(?:,? (?:version|v\.?)\s*3)?\b"),
+    ("agpl-3.0", "affero general public license", r"\bgnu affero general public license(?:,? (?:version|v\.?) ?3)?\b"),
     ("agpl-3.0", "agplv3", r"\bagplv3\+?\b"),
     ("gfdl-1.3", "free documentation license", r"\bgnu free documentation license,? version 1\.3\b"),
     ("gfdl-1.2", "free documentation license", r"\bgnu free documentation license,? version 1\.2\b"),
@@ -67,12 +67,12 @@ NAMES = [
     ("bsd-3-clause", "bsd license", r"\b(?:new|modified|revised) bsd license\b"),
     ("bsd-4-clause", "4-clause", r"\b(?:bsd 4-clause|4-clause bsd)(?: license)?\b"),
     ("bsd-4-clause", "original bsd", r"\boriginal bsd license\b"),
-    ("mpl-2.0", "mozilla public license", r"\bmozilla public license,? (?:version|v\.?)?\s*2(?:\.0)?\b"),
-    ("mpl-1.1", "mozilla public license", r"\bmozilla public license,? (?:version|v\.?)?\s*1\.1\b"),
-    ("mpl-1.0", "mozilla public license", r"\bmozilla public license,? (?:version|v\.?)?\s*1\.0\b"),
+    ("mpl-2.0", "mozilla public license", r"\bmozilla public license,? (?:version|v\.?)? ?2(?:\.0)?\b"),
+    ("mpl-1.1", "mozilla public license", r"\bmozilla public license,? (?:version|v\.?)? ?1\.1\b"),
+    ("mpl-1.0", "mozilla public license", r"\bmozilla public license,? (?:version|v\.?)? ?1\.0\b"),
     ("mpl-2.0", "mozilla.org/mpl/2.0", r"mozilla\.org/mpl/2\.0"),
-    ("epl-2.0", "eclipse public license", r"\beclipse public license\s*,?\s*-?\s*(?:version|v\.?)?\s*2\.0\b"),
-    ("epl-1.0", "eclipse public license", r"\beclipse public license\s*,?\s*-?\s*(?:version|v\.?)?\s*1\.0\b"),
+    ("epl-2.0", "eclipse public license", r"\beclipse public license ?,? ?-? ?(?:version|v\.?)? ?2\.0\b"),
+    ("epl-1.0", "eclipse public license", r"\beclipse public license ?,? ?-? ?(?:version|v\.?)? ?1\.0\b"),
     ("edl-1.0", "eclipse distribution license", r"\beclipse distribution license\b"),
     ("cddl-1.0", "common development and distribution license", r"\bcommon development and distribution license\b"),
     ("cpl-1.0", "common public license", r"\bcommon public license\b"),
@@ -95,7 +95,7 @@ NAMES = [
     ("php-3.01", "php license", r"\bphp license\b"),
     ("ruby", "ruby license", r"\bruby license\b"),
     ("ofl-1.1", "open font license", r"\bsil open font license\b"),
-    ("eupl-1.2", "european union public license", r"\beuropean union public license,?\s*(?:version|v\.?)?\s*1\.2\b"),
+    ("eupl-1.2", "european union public license", r"\beuropean union public license,? ?(?:version|v\.?)? ?1\.2\b"),
     ("eupl", "european union public license", r"\beuropean union public license\b"),
     ("ms-pl", "microsoft public license", r"\bmicrosoft public license\b"),
     ("ms-rl", "microsoft reciprocal license", r"\bmicrosoft reciprocal license\b"),
@@ -139,6 +139,118 @@ NAMES = [
     ("cc-by", "creative commons attribution", r"\bcreative commons attribution(?: \d\.\d)?\b"),
 ]
 
+#: Further names, of which every word counts. (label, keyword, expression).
+OTHER_NAMES = [
+    ("0bsd", "zero-clause bsd", r"\bzero-clause bsd(?: license)?\b"),
+    ("0bsd", "bsd zero clause license", r"\bbsd zero clause license\b"),
+    ("mit-0", "mit no attribution", r"\bmit no attribution(?: license)?\b"),
+    ("apache-2.0", "apache-2.0", r"\bapache-2\.0\b"),
+    ("apache-2.0", "apache 2.0", r"\bapache 2\.0(?: license)?\b"),
+    ("gpl-2.0", "gpl v2", r"\b(?:gnu )?gpl v2\b"),
+    ("gpl-3.0", "gpl v3", r"\b(?:gnu )?gpl v3\b"),
+    ("lgpl-2.1", "lgpl v2.1", r"\b(?:gnu )?lgpl v2\.1\b"),
+    ("lgpl-3.0", "lgpl v3", r"\b(?:gnu )?lgpl v3\b"),
+    ("agpl-3.0", "agpl v3", r"\b(?:gnu )?agpl v3\b"),
+    ("aal", "attribution assurance license", r"\battribution assurance licenses?\b"),
+    ("adobe", "adobe source code license", r"\badobe source code license(?: agreement)?\b"),
+    ("aladdin", "aladdin free public license", r"\baladdin free public license\b"),
+    ("anti-996", "996 license", r"\banti[- ]996 license\b"),
+    ("anti-capitalist", "anti-capitalist software license", r"\banti-capitalist software license\b"),
+    ("bittorrent", "bittorrent open source license", r"\bbittorrent open source license\b"),
+    ("blueoak-1.0.0", "blue oak model license", r"\bblue oak model license(?: 1\.0\.0)?\b"),
+    ("bsd-1-clause", "1-clause", r"\b(?:bsd 1-clause|1-clause bsd)(?: license)?\b"),
+    ("bsd-3-clause-clear", "clear bsd", r"\bclear bsd license\b"),
+    ("bsd-protection", "bsd protection license", r"\bbsd protection license\b"),
+    ("bzip2", "bzip2", r"\bbzip2 (?:and libbzip2 )?license\b"),
+    ("caldera", "caldera license", r"\bcaldera license\b"),
+    ("cc0-1.0", "creative commons zero", r"\bcreative commons zero(?: v?1\.0)?(?: universal)? license\b"),
+    ("cdla", "community data license agreement", r"\bcommunity data license agreement\b"),
+    ("clartistic", "clarified artistic license", r"\bclarified artistic license\b"),
+    ("cnri-python", "cnri python license", r"\bcnri python license(?: agreement)?\b"),
+    ("condor", "condor public license", r"\bcondor public license\b"),
+    ("confluent", "confluent community license", r"\bconfluent community license(?: agreement)?\b"),
+    ("cua-opl-1.0", "cua office public license", r"\bcua office public license\b"),
+    ("dsl", "design science license", r"\bdesign science license\b"),
+    ("ecl-2.0", "educational community license", r"\beducational community license\b"),
+    ("efl-2.0", "eiffel forum license", r"\beiffel forum license\b"),
+    ("entessa", "entessa public license", r"\bentessa public license\b"),
+    ("erlang", "erlang public license", r"\berlang public license\b"),
+    ("eudatagrid", "datagrid software license", r"\beu datagrid software license\b"),
+    ("fair", "fair license", r"\bthe fair license\b"),
+    ("frameworx", "frameworx open license", r"\bframeworx open license\b"),
+    ("free-art", "free art license", r"\bfree art license\b"),
+    ("fsfap", "all-permissive license", r"\bgnu all-permissive license\b"),
+    ("fsl", "functional source license", r"\bfunctional source license\b"),
+    ("giftware", "giftware license", r"\bgiftware license\b"),
+    ("glide", "3dfx glide", r"\b3dfx glide(?: source code general)? public license\b"),
+    ("gust", "gust font", r"\bgust font (?:source )?license\b"),
+    ("hippocratic", "hippocratic license", r"\bhippocratic license\b"),
+    ("hpnd", "historical permission notice", r"\bhistorical permission notice and disclaimer\b"),
+    ("ijg", "independent jpeg group license", r"\bindependent jpeg group license\b"),
+    ("imagemagick", "imagemagick license", r"\bimagemagick license\b"),
+    ("info-zip", "info-zip license", r"\binfo-zip license\b"),
+    ("interbase", "interbase public license", r"\binterbase public license\b"),
+    ("jabber", "jabber open source license", r"\bjabber open source license\b"),
+    ("jasper", "jasper license", r"\bjasper license\b"),
+    ("latex2e", "latex2e license", r"\blatex2e license\b"),
+    ("leptonica", "leptonica license", r"\bleptonica license\b"),
+    ("libtiff", "libtiff license", r"\blibtiff license\b"),
+    ("liliq", "quebec free and open-source license", r"\bquebec free and open-source license\b"),
+    ("llama", "community license", r"\bllama \d(?:\.\d)? community license(?: agreement)?\b"),
+    ("lpl-1.02", "lucent public license", r"\blucent public license\b"),
+    ("miros", "miros license", r"\bmiros license\b"),
+    ("motosoto", "motosoto open source license", r"\bmotosoto open source license\b"),
+    ("mpich2", "mpich2 license", r"\bmpich2 license\b"),
+    ("mulan-public", "mulan public license", r"\bmulan public license\b"),
+    ("multics", "multics license", r"\bmultics license\b"),
+    ("naumen", "naumen public license", r"\bnaumen public license\b"),
+    ("net-snmp", "net-snmp license", r"\bnet-snmp license\b"),
+    ("nethack", "nethack general public license", r"\bnethack general public license\b"),
+    ("nokia", "nokia open source license", r"\bnokia open source license\b"),
+    ("nosl", "netizen open source license", r"\bnetizen open source license\b"),
+    ("nposl-3.0", "non-profit open software license", r"\bnon-profit open software license\b"),
+    ("ntp", "ntp license", r"\bntp license\b"),
+    ("oclc-2.0", "oclc research public license", r"\boclc research public license\b"),
+    ("ogl", "open government license", r"\bopen government license(?: v\d\.0)?\b"),
+    ("ogtsl", "open group test suite license", r"\bopen group test suite license\b"),
+    ("oldap", "openldap public license", r"\bopenldap public license\b"),
+    ("open-publication", "open publication license", r"\bopen publication license\b"),
+    ("openrail", "openrail", r"\b(?:bigscience |creativeml )?openrail(?:[-+]{1,2}m)? license\b"),
+    ("parity", "parity public license", r"\bparity public license\b"),
+    ("polyform-noncommercial", "polyform noncommercial license", r"\bpolyform noncommercial license\b"),
+    ("polyform-shield", "polyform shield license", r"\bpolyform shield license\b"),
+    ("polyform-small-business", "polyform small business license", r"\bpolyform small business license\b"),
+    ("prosperity", "prosperity public license", r"\bprosperity public license\b"),
+    ("qhull", "qhull license", r"\bqhull license\b"),
+    ("redis", "redis source available license", r"\bredis source available license\b"),
+    ("rpsl-1.0", "realnetworks public source license", r"\brealnetworks public source license\b"),
+    ("ricoh", "ricoh source code public license", r"\bricoh source code public license\b"),
+    ("rsa-md", "message-digest license", r"\brsa message-digest license\b"),
+    ("sendmail", "sendmail license", r"\bsendmail license\b"),
+    ("sgi-b", "sgi free software license b", r"\bsgi free software license b\b"),
+    ("simpl-2.0", "simple public license", r"\bsimple public license\b"),
+    ("sleepycat", "sleepycat license", r"\bsleepycat license\b"),
+    ("smail", "smail general public license", r"\bsmail general public license\b"),
+    ("smlnj", "standard ml of new jersey license", r"\bstandard ml of new jersey license\b"),
+    ("spencer", "spencer license", r"\b(?:henry )?spencer license\b"),
+    ("spl-1.0", "sun public license", r"\bsun public license\b"),
+    ("sugarcrm", "sugarcrm public license", r"\bsugarcrm public license\b"),
+    ("swig", "swig license", r"\bswig license\b"),
+    ("tcl", "tcl/tk license", r"\btcl/tk license\b"),
+    ("timescale", "timescale license", r"\btimescale license\b"),
+    ("tmate", "tmate open source license", r"\btmate open source license\b"),
+    ("ubuntu-font", "ubuntu font license", r"\bubuntu font license\b"),
+    ("vsl-1.0", "vovida software license", r"\bvovida software license\b"),
+    ("watcom-1.0", "open watcom public license", r"\b(?:sybase )?open watcom public license\b"),
+    ("wxwindows", "wxwindows library license", r"\bwxwindows library license\b"),
+    ("xfree86", "xfree86 license", r"\bxfree86 license\b"),
+    ("xinetd", "xinetd license", r"\bxinetd license\b"),
+    ("xnet", "x.net", r"\bx\.net license\b"),
+    ("yahoo", "yahoo! public license", r"\byahoo! public license\b"),
+    ("zend", "zend license", r"\bzend license\b"),
+    ("zimbra", "zimbra public license", r"\bzimbra public license\b"),
+]
+
 #: The same for wording of the licenses themselves.
 TEXTS = [
     ("mit", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
@@ -177,9 +289,9 @@ GENERAL = [
 ]
 
 RULES: list[Rule] = [
-    *(Rule(x, 3, "spdx-license-identifier", rf"spdx-license-identifier:\s*\(?{re.escape(x)}(?![\w.+-])") for x in SPDX_IDS),
+    *(Rule(x, 3, "spdx-license-identifier", rf"spdx-license-identifier: ?\(?{re.escape(x)}(?![\w.+-])") for x in SPDX_IDS),
     *(Rule(a, 3, k, p) for a, k, p in TEXTS),
-    *(Rule(a, 2, k, p) for a, k, p in NAMES),
+    *(Rule(a, 2, k, p) for a, k, p in NAMES + OTHER_NAMES),
     *(Rule(a, 1, k, p) for a, k, p in GENERAL),
 ]
 
