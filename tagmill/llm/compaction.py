@@ -2,22 +2,27 @@
 
 A table is a folder. ``data/`` holds immutable Parquet shards, ``manifests/`` a folder per version that lists the shards
 alive in it, and ``commits/`` one small file per version that names the manifest. A version exists once its commit file
-does; that file comes by a rename that fails if the name is taken, so of two writers one wins and the other starts over.
-Readers take the highest commit and never see half a change. Files of a failed writer are in no manifest; ``vacuum``
-removes them.
+does; that file comes by a rename that fails if the name is taken, so of two writers one wins. The other puts its change on
+top of the new version: arrivals always fit; a compaction fits as long as all shards that it merged are still alive, and
+otherwise starts over. Readers take the highest commit and never see half a change. Files of a failed writer are in no
+manifest; ``vacuum`` removes them once they are older than any writer can be.
 
 ``append`` writes arrivals as they are partitioned, a small shard per task, without a shuffle. ``compact`` deals the
 shards below the target size into tiers (each ``fanout`` times the size of the one before), and where a tier has at
 least ``fanout`` shards, merges them, in order of arrival, into files of about the target size. Merging shuffles the rows
-of those shards only, by the file they go to; shards of the target size are sealed and not written again.
+of those shards only, by the file they go to; shards of the target size are sealed and not written again. A file takes
+shards until it has the target size, so a merging task reads less than twice that (compressed), whatever the table's size.
 
-Rows are kept as they are: nulls, empty texts, repeated rows and all columns. An empty arrival commits a version without
-new shards; a table without shards reads as an empty frame of the schema it was made with.
+Rows are kept as they are: nulls, empty texts, repeated rows and all columns. The columns ``__arrival``, ``__into`` and
+``__path`` are used inside; a table can't have them. An empty arrival commits a version without new shards; a table without
+shards reads as an empty frame of the schema it was made with.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +33,11 @@ TARGET_BYTES = 64 << 20
 FANOUT = 4
 #: Sizes below this are one tier.
 LEAST_BYTES = 64 << 10
+#: Versions that stay readable after a vacuum, and hours that a file without a version stays, as a writer may still need it.
+KEEP_VERSIONS = 2
+KEEP_HOURS = 24.0
+#: Times that a change is put on a newer version before the writer gives up.
+ATTEMPTS = 50
 #: Shards in one plan that are sent to every task at most.
 BROADCAST_SHARDS = 100_000
 
@@ -41,6 +51,8 @@ class CommitConflict(RuntimeError):
 class ShardTable:
     def __init__(self, spark: SparkSession, root: str, schema):
         """``schema``: of the rows, as a StructType."""
+        if taken := {"__arrival", "__into", "__path"} & set(schema.fieldNames()):
+            raise ValueError(f"columns used inside: {sorted(taken)}")
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
 
     # -- metadata, through Hadoop's file system -------------------------------------------------------------------
@@ -73,6 +85,19 @@ class ShardTable:
             raise
         return version
 
+    def _change(self, change: Callable[[DataFrame, int], DataFrame | None]) -> int | None:
+        """Commit ``change(manifest, version)`` on top of the newest version, whichever that is by then; None if it no longer fits."""
+        for _ in range(ATTEMPTS):
+            base = (self.versions() or [0])[-1]
+            manifest = change(self.manifest(base or None), base + 1)
+            if manifest is None:
+                return None
+            try:
+                return self._commit(base + 1, manifest)
+            except CommitConflict:
+                continue
+        raise CommitConflict(f"{ATTEMPTS} versions came in between")
+
     def manifest(self, version: int | None = None) -> DataFrame:
         """Shards alive in a version (the newest): path, rows, bytes, added (the version that made the shard)."""
         have = self.versions()
@@ -120,9 +145,9 @@ class ShardTable:
         written = self.spark.read.parquet(listed)
         made = []
         for i in range(arrivals):
-            version = (self.versions() or [0])[-1] + 1
-            new = written.filter(F.col("label").cast("int") == i).select("path", "rows", "bytes", F.lit(version).alias("added"))
-            made.append(self._commit(version, self.manifest().unionByName(new)))
+            new = written.filter(F.col("label").cast("int") == i).select("path", "rows", "bytes")
+            made.append(self._change(lambda manifest, version, new=new: manifest.unionByName(new.withColumn("added", F.lit(version)))))
+        drop_path(self.spark, listed)
         return made
 
     def plan(self, target: int = TARGET_BYTES, fanout: int = FANOUT) -> DataFrame:
@@ -135,33 +160,57 @@ class ShardTable:
         many = tiered.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tier"))).filter(F.col("n") >= fanout)
         before = F.sum("bytes").over(ages) - F.col("bytes")
         numbered = many.select("path", "tier", F.floor(before / target).alias("file"))
-        return numbered.select("path", (F.dense_rank().over(Window.orderBy("tier", "file")) - 1).alias("into"))
+        # files are numbered tier after tier; there are about ten tiers
+        files = numbered.groupBy("tier").agg((F.max("file") + 1).alias("n"))
+        files = files.select("tier", (F.sum("n").over(Window.orderBy("tier")) - F.col("n")).alias("first"))
+        return numbered.join(F.broadcast(files), "tier").select("path", (F.col("first") + F.col("file")).cast("int").alias("into"))
 
     def compact(self, target: int = TARGET_BYTES, fanout: int = FANOUT) -> int | None:
         """Merge once and commit. None if no tier has enough shards."""
-        base = (self.versions() or [0])[-1]
-        folder = f"{self.root}/manifests/.{uuid.uuid4().hex}"
-        self.plan(target, fanout).write.parquet(folder)
-        plan = self.spark.read.parquet(folder)
-        paths = self._paths(plan)
-        if not paths:
-            return None
-        files = plan.select("into").distinct().count()
-        side = F.broadcast(plan) if len(paths) <= BROADCAST_SHARDS else plan
-        source = self._rows(paths).select("*", F.col("_metadata.file_path").alias("__path"))
-        rows = source.join(side.select(F.col("path").alias("__path"), F.col("into").alias("__into")), "__path").drop("__path")
-        written = self._write(rows.repartitionById(files, F.col("__into")), "__into").select("path", "rows", "bytes", F.lit(base + 1).alias("added"))
-        stay = self.manifest(base).join(plan.select("path"), "path", "left_anti")
-        return self._commit(base + 1, stay.select("path", "rows", "bytes", "added").unionByName(written))
-
-    def vacuum(self) -> int:
-        """Delete data that the newest version doesn't list; earlier versions can't be read any more. Returns how many files went."""
-        alive = {p.rsplit("/data/", 1)[1] for p in self._paths(self.manifest())}
+        while True:
+            folder = f"{self.root}/manifests/.{uuid.uuid4().hex}"
+            self.plan(target, fanout).write.parquet(folder)
+            plan = self.spark.read.parquet(folder)
+            paths = self._paths(plan)
+            if not paths:
+                drop_path(self.spark, folder)
+                return None
+            files = plan.agg(F.max("into")).first()[0] + 1
+            side = F.broadcast(plan) if len(paths) <= BROADCAST_SHARDS else plan
+            source = self._rows(paths).select("*", F.col("_metadata.file_path").alias("__path"))
+            rows = source.join(side.select(F.col("path").alias("__path"), F.col("into").alias("__into")), "__path").drop("__path")
+            listed = f"{self.root}/manifests/.{uuid.uuid4().hex}"
+            self._write(rows.repartitionById(files, F.col("__into")), "__into").select("path", "rows", "bytes").write.parquet(listed)
+            written = self.spark.read.parquet(listed)
+
+            def merged(manifest: DataFrame, version: int) -> DataFrame | None:
+                if not plan.join(manifest, "path", "left_anti").isEmpty():
+                    return None  # another writer has merged some of them
+                stay = manifest.join(plan.select("path"), "path", "left_anti").select("path", "rows", "bytes", "added")
+                return stay.unionByName(written.withColumn("added", F.lit(version)))
+
+            made = self._change(merged)
+            if made is None:
+                for path in self._paths(written):
+                    drop_path(self.spark, path)
+            drop_path(self.spark, folder)
+            drop_path(self.spark, listed)
+            if made is not None:
+                return made
+
+    def vacuum(self, keep_versions: int = KEEP_VERSIONS, keep_hours: float = KEEP_HOURS) -> int:
+        """Delete data that none of the last versions lists and that is older than any writer may be; returns how many files went.
+
+        Earlier versions can't be read any more. Without hours to keep, no other writer may be at work.
+        """
+        alive = {p.rsplit("/data/", 1)[1] for v in self.versions()[-max(keep_versions, 1) :] for p in self._paths(self.manifest(v))}
+        before = (time.time() - keep_hours * 3600) * 1000
         _, p, fs, _ = self._hadoop(f"{self.root}/data")
         gone, walk = 0, fs.listFiles(p, True)
         while walk.hasNext():
-            path = walk.next().getPath().toString()
-            if path.endswith(".parquet") and path.rsplit("/data/", 1)[1] not in alive:
+            status = walk.next()
+            path = status.getPath().toString()
+            if path.endswith(".parquet") and path.rsplit("/data/", 1)[1] not in alive and status.getModificationTime() <= before:
                 drop_path(self.spark, path)
                 gone += 1
         return gone

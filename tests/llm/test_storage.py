@@ -34,7 +34,8 @@ def test_compaction_keeps_every_row(spark, tmp_path):
     after = t.manifest().collect()
     assert len(after) < len(before) and sum(r.rows for r in after) == len(all_rows)
     assert rows(t.read()) == sorted(all_rows) and rows(t.read(5)) == sorted(all_rows)
-    assert t.vacuum() == len({r.path for r in before} - {r.path for r in after})
+    assert t.vacuum() == 0
+    assert t.vacuum(1, 0) == len({r.path for r in before} - {r.path for r in after})
     assert rows(t.read()) == sorted(all_rows)
     assert t.compact(target=1 << 20, fanout=4) is None
 
@@ -58,6 +59,64 @@ def test_one_writer_wins(spark, tmp_path):
     assert t.versions() == [1] and t.read().count() == 12
 
 
+def test_a_slower_writer_goes_on_top(spark, tmp_path, monkeypatch):
+    """Between the write and the commit of an arrival another one is committed, and unlisted files are vacuumed."""
+    t = ShardTable(spark, f"file://{tmp_path}/t", _frame(spark, 0, 1).schema)
+    other = ShardTable(spark, t.root, t.schema)
+    plain = t._write
+
+    def slow(*args):
+        made = plain(*args)
+        other.append(_frame(spark, 500, 510))
+        assert other.vacuum() == 0
+        return made
+
+    monkeypatch.setattr(t, "_write", slow)
+    assert t.append(_frame(spark, 0, 10), arrivals=2, by=F.col("doc_id")) == [2, 3]
+    assert rows(t.read()) == sorted(rows(_frame(spark, 0, 10)) + rows(_frame(spark, 500, 510)))
+
+
+def test_compactions_that_meet(spark, tmp_path, monkeypatch):
+    """One merges what the other has merged meanwhile: it starts over and leaves no file behind; arrivals in between stay."""
+    t = ShardTable(spark, f"file://{tmp_path}/t", _frame(spark, 0, 1).schema)
+    for i in range(4):
+        t.append(_frame(spark, 100 * i, 100 * i + 50).coalesce(1))
+    other = ShardTable(spark, t.root, t.schema)
+    plain, calls = t._write, []
+
+    def slow(*args):
+        made = plain(*args)
+        calls.append(1)
+        if len(calls) == 1:
+            other.append(_frame(spark, 900, 910).coalesce(1))
+            assert other.compact(1 << 20, 4) == 6
+        return made
+
+    before = rows(t.read())
+    monkeypatch.setattr(t, "_write", slow)
+    assert t.compact(1 << 20, 4) is None and len(calls) == 1
+    assert rows(t.read()) == sorted(before + rows(_frame(spark, 900, 910)))
+    t.vacuum(1, 0)
+    assert rows(t.read()) == sorted(before + rows(_frame(spark, 900, 910)))
+
+
+def test_merging_tasks_stay_below_twice_the_target(spark, tmp_path):
+    t = ShardTable(spark, f"file://{tmp_path}/t", spark.range(1).withColumn("text", F.lit("")).schema)
+    data = spark.range(24_000).withColumn("text", F.sha2(F.col("id").cast("string"), 512))
+    for i in range(4):
+        t.append(data.filter(F.col("id") % 4 == i).repartition(20))
+    target = 60_000
+    t.compact(target, 4)
+    sizes = sorted(r.bytes for r in t.manifest().collect())
+    assert len(sizes) >= 10 and sizes[-1] < 2 * target and sum(sizes) > 10 * target
+    assert t.read().distinct().count() == 24_000
+
+
+def test_columns_used_inside(spark, tmp_path):
+    with pytest.raises(ValueError):
+        ShardTable(spark, f"file://{tmp_path}/t", spark.range(1).withColumn("__into", F.lit(1)).schema)
+
+
 def test_many_arrivals_at_once(spark, tmp_path):
     t = ShardTable(spark, f"file://{tmp_path}/t", _frame(spark, 0, 1).schema)
     data = _frame(spark, 0, 200)
