@@ -72,9 +72,10 @@ def expected(docs):
 
 @pytest.mark.parametrize("limit", [linededup.BROADCAST_KEYS, 0])
 def test_lines(spark, limit, monkeypatch):
-    """Both ways: spent keys broadcast, and joined in a shuffle."""
+    """Both ways: exact counts broadcast, and joined with what the filters let through; there filter by filter."""
     monkeypatch.setattr(linededup, "BROADCAST_KEYS", limit)
-    docs = [d for d in corpus(1) if limit or d[0] is None or d[0] != 3]  # repeated ids lose the same lines in a shuffle
+    monkeypatch.setattr(linededup, "FILTER_BYTES", limit)
+    docs = [*corpus(1), (1, None), (1, corpus(1)[1][1])]
     frame = spark.createDataFrame([(*d, "x") for d in docs], "doc_id BIGINT, text STRING, kept STRING")
     index = linededup.LineIndex.build(frame)
     assert result(index.apply(frame)) == expected(docs)
@@ -87,13 +88,28 @@ def tables(index):
     spent = {bytes(r.digest) for r in index.spent().collect()}
     digests = np.array([int.from_bytes(d[:8], "little") for d in spent], np.uint64)
     for r in f:
-        own = digests[digests % np.uint64(index.shards) == r.shard]
+        assert r.n_shards == linededup.shards_for(len(digests))
+        own = digests[digests % np.uint64(r.n_shards) == r.shard]
         assert r.n_keys == len(np.unique(own)) and CuckooFilter.from_bytes(r["filter"]).contains(own).all()
     assert sum(r.n_keys for r in f) == len(digests)
     return sorted((bytes(r.digest), r.n_docs, r.max_doc) for r in index.table("counts").collect())
 
 
-def test_inserting_and_deleting_is_reversible(spark):
+def test_shards_follow_the_keys():
+    assert [linededup.shards_for(n) for n in (0, 400_000, 400_001, 10**7, 10**12)] == [8, 8, 16, 256, linededup.SLOTS]
+
+
+def test_columns_used_inside(spark):
+    docs = spark.createDataFrame([(1, "x", "y")], "doc_id BIGINT, text STRING, __drops STRING")
+    with pytest.raises(ValueError):
+        linededup.LineIndex.build(docs).rewrite(docs)
+
+
+@pytest.mark.parametrize("keys", [linededup.SHARD_KEYS, 1])
+def test_inserting_and_deleting_is_reversible(spark, keys, monkeypatch):
+    """With filters that change key by key, and with numbers of shards that change, too."""
+    monkeypatch.setattr(linededup, "SHARD_KEYS", keys)
+    monkeypatch.setattr(linededup, "LEAST_SHARDS", min(keys, 8))
     docs = [d for d in corpus(2, 40) if d[0] is not None and d[0] != 3]
     first, more = docs[:25], docs[25:]
     frame = lambda x: spark.createDataFrame(x, "doc_id BIGINT, text STRING")
