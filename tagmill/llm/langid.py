@@ -11,9 +11,9 @@ to scatter by ``a + b / n`` around its mean. A document is rejected if it is fur
 also nearer to letters drawn at random than to its language; so documents that mix learned languages stay. A rejected
 document still gets its best language; rejecting is a column of its own.
 
-The classifier is fitted on a bounded sample of labelled rows: ``SAMPLE_ROWS`` documents in all, shared evenly by at
-most ``MAX_LANGUAGES`` languages (the most frequent ones), of texts of at most ``SAMPLE_CHARS`` characters, the ones with
-the smallest hashes of their ids. One in five of them calibrates. Neither lang nor source nor doc_id enters a prediction.
+The classifier is fitted on a bounded sample of labelled rows: ``SAMPLE_ROWS`` documents in all (or five a language, if that
+is more), shared evenly by all languages that occur, the ones with the smallest hashes of their ids, and of longer texts
+``SAMPLE_CHARS`` characters. One in five of them calibrates. Neither lang nor source nor doc_id enters a prediction.
 
 A null text, or one without letters, gets language ``und``, score 0 and is rejected. Without training rows every text
 is ``und``. Rows that repeat an id each get a prediction; an empty table gives an empty result.
@@ -35,7 +35,6 @@ from tagmill.llm.common import slices, small_batches, tidy, two_columns
 ORDER = 4
 SAMPLE_ROWS = 2400
 SAMPLE_CHARS = 20_000
-MAX_LANGUAGES = 100
 #: Sharpness of the score: the softmax of -SHARPNESS x cross-entropy.
 SHARPNESS = 10.0
 #: Rejection needs this many deviations at least.
@@ -65,16 +64,19 @@ def _symbols() -> np.ndarray:
 
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts with ORDER - 1 edges before each, where each text starts and ends among them (edges excluded)."""
+    """Symbols of all texts with ORDER - 1 edges before each, where each text starts and ends among them (edges excluded).
+
+    One more edge stands before them all, so that every symbol of a text has a place before it, at which its context ends.
+    """
     edges = chr(_SEPARATOR) * (ORDER - 1)
-    joined = edges + edges.join(texts)
+    joined = chr(_SEPARATOR) + edges + edges.join(texts)
     codes = _symbols()[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
     gap = codes == _GAP
     keep = ~gap
     keep[1:] |= ~gap[:-1]  # of neighbouring gaps the first stays
     before = np.concatenate([[0], np.cumsum(keep)])
     lengths = np.array([len(t) for t in texts], np.int64)
-    start = np.cumsum(lengths + ORDER - 1) - lengths
+    start = np.cumsum(lengths + ORDER - 1) - lengths + 1
     return codes[keep], before[start], before[start + lengths]
 
 
@@ -124,7 +126,7 @@ class Model:
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 hit = keys[at] == h
                 out[known[hit]] += values[at[hit]]
-        out[open_] += self.floor
+        out[open_] += self.floor + self.contexts[0][1][0]  # a symbol that no language has: the weight of the empty context
         return out
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,9 +246,12 @@ def _calibrate(model: Model, held: dict[str, list[str]], learn: dict[str, list[s
         a = float(np.median(around) * 1.4826) ** 2 + 1e-4  # of the middle half: odd documents don't widen it
         mean.append(centre)
         spread.append((a, b))
-        off.append((entropy - centre) / np.sqrt(a + b / np.maximum(n, 1)))
+        # texts that are nearer to random letters than to their language are no measure of it
+        like = (entropy - centre) <= (-model.floor - entropy)
+        off.append(((entropy - centre) / np.sqrt(a + b / np.maximum(n, 1)))[like])
     model.mean, model.spread = np.array(mean), np.array(spread)
-    model.z = max(LEAST_Z, 1.25 * float(np.quantile(np.concatenate(off), 0.999)))
+    every = np.concatenate(off)
+    model.z = max(LEAST_Z, 1.25 * float(np.quantile(every, 0.999))) if len(every) else LEAST_Z
 
 
 def held_out(key: Column) -> Column:
@@ -256,15 +261,20 @@ def held_out(key: Column) -> Column:
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
     """The bounded sample of labelled texts by language, the same for the same table."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
+    rows = rows.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     slim = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    names = [r[0] for r in slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not names:
+    counts = slim.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a language
+    languages = counts.count()
+    if not languages:
         return {}
-    each = max(5, SAMPLE_ROWS // len(names))
-    chosen = slim.filter(F.col("lang").isin(names)).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("n") <= each)
-    # MAX_LANGUAGES x SAMPLE_ROWS / MAX_LANGUAGES ids: safe to broadcast; a repeated id counts once
+    each = max(5, -(-SAMPLE_ROWS // languages))
+    # of a language with n rows the smallest hashes lie below a share of their range; with this much room too few are next to never found
+    share = F.least(F.lit(1.0), (each + 6 * each**0.5 + 20) / F.col("n"))
+    below = slim.join(F.broadcast(counts), "lang").filter(F.col("h") / 2.0**64 + 0.5 <= share)
+    chosen = below.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= each)
+    # at most SAMPLE_ROWS ids, or five a language: safe to broadcast; a repeated id counts once
     got = rows.join(F.broadcast(chosen.select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), "h").distinct()), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l")))
+    got = got.filter("text IS NOT NULL").withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
     got = got.groupBy("lang", "h", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", "h", "doc_id").select("lang", "text").toArrow()
     out: dict[str, list[str]] = {}
     for name, value in zip(got["lang"].to_pylist(), got["text"].to_pylist(), strict=True):

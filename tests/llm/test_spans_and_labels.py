@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+from collections import Counter
 from re import _parser
 
 import numpy as np
@@ -206,6 +207,79 @@ def test_probabilities_add_up(model):
     assert letters
 
 
+def brute_kneser_ney(samples):
+    """Interpolated Kneser-Ney by dictionaries: language -> function of (context, symbol) tuples."""
+    order = langid.ORDER
+    symbols = {k: [[1] * (order - 1) + [int(c) for c in langid.encode([t])[0][order:]] for t in texts] for k, texts in samples.items()}
+    counts = {k: [Counter(tuple(x[i - n + 1 : i + 1]) for x in xs for i in range(order - 1, len(x))) for n in range(1, order + 1)] for k, xs in symbols.items()}
+    kinds = len({g for c in counts.values() for g in c[0]})
+
+    def model(own):
+        levels = []
+        for n in range(1, order + 1):
+            if n < order:  # in how many ways a run goes on to the left
+                count = Counter(g[1:] for g in own[n])
+            else:
+                count = own[n - 1]
+            ones, twos = sum(v == 1 for v in count.values()), sum(v == 2 for v in count.values())
+            total, after = Counter(), Counter()
+            for g, v in count.items():
+                total[g[:-1]] += v
+                after[g[:-1]] += 1
+            levels.append((count, ones / (ones + 2 * twos) if ones and twos else 0.5, total, after))
+
+        def p(gram):
+            if not gram:
+                return 1 / (kinds + 1)
+            count, d, total, after = levels[len(gram) - 1]
+            lower = p(gram[1:])
+            context = gram[:-1]
+            if not total[context]:
+                return lower
+            return max(count[gram] - d, 0) / total[context] + d * after[context] / total[context] * lower
+
+        return p
+
+    return {k: model(own) for k, own in counts.items()}
+
+
+def test_probabilities_against_brute_force():
+    rng = random.Random(3)
+    words_of = {"a": ["lorem", "ipsum", "dolor", "sit"], "b": ["foo", "bar", "baz", "ipsum"], "c": ["zzz", "éa"]}
+    samples = {k: [" ".join(rng.choices(v, k=rng.randint(1, 12))) for _ in range(15)] for k, v in words_of.items()}
+    model = langid.train(samples)
+    brute = brute_kneser_ney({k: [t for i, t in enumerate(v) if i % 5] for k, v in samples.items()})
+    order = langid.ORDER
+    for text in ["lorem ipsum", "foo bar zzz", "é", "q", "x lorem-q!", "ipsum " * 5]:
+        codes = langid.encode([text])[0]
+        got = model.log_probabilities(codes)
+        for i in range(1, len(got)):
+            gram = tuple(int(c) for c in codes[i : i + order])
+            for j, name in enumerate(model.languages):
+                assert got[i, j] == pytest.approx(np.log(brute[name](gram)), abs=2e-5), (text, i, name)
+        total, n, _ = model.score([text])
+        best = model.languages[int((total[0] / n[0]).argmin())]
+        plain = {k: -sum(np.log(p(tuple(int(c) for c in codes[i : i + order]))) for i in range(1, len(got))) / (len(got) - 1) for k, p in brute.items()}
+        assert plain[best] <= min(plain.values()) + 1e-4
+    together, alone = model.score(["q", "q", "é x"])[0], [model.score([t])[0][0] for t in ("q", "q", "é x")]
+    assert np.allclose(together, alone, atol=1e-4)  # a text's place in a batch plays no part
+
+
+def test_garbage_among_the_labelled_rows_does_not_end_rejection():
+    rng = random.Random(8)
+    noise = lambda: " ".join("".join(rng.choices("qxzjkvwyß", k=7)) for _ in range(60))
+    samples = {"a": [" ".join(rng.choices(["lorem", "ipsum", "dolor", "sit", "amet"], k=80)) for _ in range(100)] + [noise() for _ in range(6)]}
+    rng.shuffle(samples["a"])
+    model = langid.train(samples)
+    assert model.judge([noise()])[0][3] and not model.judge(["lorem ipsum dolor"])[0][3]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, "alpha beta " * 3000, "long") for i in range(30)] + [(100 + i, f"word{chr(97 + i % 26)} " * 9, f"l{i % 120:03}") for i in range(2400)] + [(None, "x", "long"), (5000, None, "none")]
+    got = langid.sample(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"))
+    assert len(got) == 121 and all(len(t) <= langid.SAMPLE_CHARS for t in got["long"]) and all(len(v) >= 5 for v in got.values())
+
+
 def test_held_out_accuracy(spark, data, model):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     got = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
