@@ -31,7 +31,7 @@ _ROCKS = {
     # a store would otherwise reserve about 4 MB of local disk whatever it holds
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Rows of hits that are sent to every task at most; beyond, both sides are shuffled by doc_id.
+#: Locators of hits that are sent to every task at most; beyond, both sides are shuffled by them.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -78,12 +78,13 @@ def deduplicate(spark: SparkSession, table: str, digest: Callable[[Column], Colu
     log = spark.read.parquet(f"{work}/log").withColumn("digest", digest(F.col("sha")))
     rows = log.join(state, "digest").withColumn("hit", F.col("n") > 1)
 
-    # full bytes of the hits: only their rows are read again
+    # full bytes of the hits, fetched by their locators
     hits = state.filter("n > 1").select("digest")
-    of_hits = log.join(hits, "digest", "left_semi").select(F.col("doc_id").alias("hit_id")).distinct()
+    of_hits = log.join(hits, "digest", "left_semi").select(F.col("file").alias("hit_file"), F.col("row").alias("hit_row"))
     few = of_hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    docs = spark.read.parquet(table).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    again = docs.join(F.broadcast(of_hits) if few else of_hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi").select("doc_id", normalised(F.col("text")).alias("norm"))
+    docs = spark.read.parquet(table).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    located = (F.col("file") == F.col("hit_file")) & (F.col("row") == F.col("hit_row"))
+    again = docs.join(F.broadcast(of_hits) if few else of_hits, located, "left_semi").select("doc_id", normalised(F.col("text")).alias("norm"))
     again = again.withColumn("sha", F.unhex(F.sha2("norm", 256))).withColumn("digest", digest(F.col("sha")))
     unlike = again.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).filter("lo <> hi").select("digest")
     path = f"{work}/unlike-{scratch(spark, 'x').rsplit('-', 1)[1]}"
