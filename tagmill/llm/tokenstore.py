@@ -47,6 +47,8 @@ MIN_COUNT = 16
 #: saves less than a hundredth), and new rules of a round at most.
 MAX_ROUNDS = 64
 RULES_A_ROUND = 4096
+#: Documents that one call of ``read_documents`` gives at most.
+MAX_WANTED = 100_000
 #: Pieces that the library gets as one text.
 RUN = 32
 
@@ -141,24 +143,34 @@ def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def decode_range(shard: dict, start: int, stop: int) -> np.ndarray:
-    """Ids start .. stop of one row of the files: only the symbols that cover them are expanded."""
+    """Ids start .. stop of one row of the files.
+
+    The symbols that cover the range are found by their expansion lengths. Symbols wholly inside are expanded; of the two at
+    the ends the rules are descended, passing by each part that lies outside.
+    """
     base, kind = shard["base"], f"<u{shard['width']}"
-    symbols = np.frombuffer(shard["symbols"], kind).astype(np.int64)
-    rules = np.frombuffer(shard["rules"], kind).reshape(-1, 2)
-    sizes = np.concatenate([np.ones(base, np.int64), np.frombuffer(shard["lengths"], "<u4").astype(np.int64)])[symbols]
+    rules = np.frombuffer(shard["rules"], kind).reshape(-1, 2).tolist()
+    lengths = np.frombuffer(shard["lengths"], "<u4")
+    symbols = np.frombuffer(shard["symbols"], kind)
+    sizes = np.ones(len(symbols), np.int64)
+    is_rule = symbols >= base
+    sizes[is_rule] = lengths[symbols[is_rule].astype(np.int64) - base]
     ends = np.cumsum(sizes)
     first, last = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left"))
-    begin = int(ends[first] - sizes[first]) if first < len(ends) else start
     out: list[int] = []
-    for symbol in symbols[first : last + 1].tolist():
-        stack = [symbol]
-        while stack:
-            s = stack.pop()
-            if s < base:
-                out.append(s)
-            else:
-                stack += rules[s - base].tolist()[::-1]
-    return np.array(out[start - begin : stop - begin], np.uint32)
+    at = int(ends[first] - sizes[first]) if first < len(ends) else stop
+    stack = symbols[first : last + 1].tolist()[::-1]
+    while stack and at < stop:
+        s = stack.pop()
+        size = 1 if s < base else int(lengths[s - base])
+        if at + size <= start:
+            at += size
+        elif s < base:
+            out.append(s)
+            at += 1
+        else:
+            stack += rules[s - base][::-1]
+    return np.array(out, np.uint32)
 
 
 @cache
@@ -276,3 +288,29 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     # one row a part, of which there are as many as shuffle partitions
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base_start"))
     return decoded.join(parts, "part").select("doc_id", (F.col("base_start") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def read_documents(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """doc_id, ids (an array) of the documents whose doc_id is in the single column of ``ids``, each as often as it was written.
+
+    Only shards that hold one of them are decoded, and of those only the documents' ranges. At most MAX_WANTED ids are sent to
+    every task; more are read by ``read_documents`` in several calls, or all by ``read_shards``.
+    """
+    wanted = [r[0] for r in ids.limit(MAX_WANTED + 1).collect()]
+    if len(wanted) > MAX_WANTED:
+        raise ValueError(f"more than {MAX_WANTED} documents")
+    files = spark.read.parquet(path)
+    kind = files.schema["doc_ids"].dataType.elementType.simpleString()
+    asked = set(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, docs in enumerate(batch.column(batch.schema.get_field_index("doc_ids")).to_pylist()):
+                at = [j for j, doc in enumerate(docs) if doc in asked]
+                if at:
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    ends = [*row["starts"][1:], row["n_ids"]]
+                    found = [decode_range(row, row["starts"][j], ends[j]).astype(np.int64) for j in at]
+                    yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_ids")).slice(i, 1).flatten().take(pa.array(at)), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return files.mapInArrow(tidy(run), f"doc_id {kind}, ids array<bigint>")

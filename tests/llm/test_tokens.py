@@ -113,6 +113,9 @@ def test_files(spark, tmp_path, monkeypatch):
         want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
+    some = spark.createDataFrame([(3,), (4,), (1,), (None,), (99,)], "x BIGINT")
+    ids = sorted(((r.doc_id if r.doc_id is not None else -1), len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in tokenstore.read_documents(spark, path, some).collect())
+    assert ids == [(a, n, c) for a, _, n, c in want if a in (-1, 1, 3, 4)]
     empty = f"file://{tmp_path}/none"
     tokenstore.write_shards(_docs(spark).limit(0), tokenizer, 2, empty)
     assert tokenstore.read_shards(spark, empty).count() == 0
