@@ -25,7 +25,7 @@ def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half)
         table.append(part, arrivals=4, by=F.shiftright(F.xxhash64("doc_id"), 1))
         table.compact()
-        table.vacuum()
+        table.vacuum(keep_versions=1, keep_hours=0)  # there is no other writer
     return table.read().select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -105,12 +105,12 @@ ORACLES: dict[str, str] = {
         SELECT page_id, "offset", n_bytes, "offset" // 262144 AS range_no, rec_sha256, CASE WHEN page_id % 997 = 13 AND coalesce(html, '') <> '' THEN 'changed' ELSE 'ok' END AS status FROM o""",
     "op6_line_dedup": r"""
         WITH l AS (
-            SELECT doc_id, i, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-            FROM (SELECT doc_id, s[i] AS line, i FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)))),
-        c AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+            SELECT rid, doc_id, i, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+            FROM (SELECT rid, doc_id, s[i] AS line, i FROM (SELECT rid, doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)))),
+        c AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT rid) >= 5),
         d AS (SELECT l.*, coalesce(doc_id <> last, false) AS gone FROM l LEFT JOIN c USING (k))
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-        FROM d GROUP BY doc_id""",
+        FROM d GROUP BY rid, doc_id""",
     "op8_stream_dedup": r"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
