@@ -10,8 +10,10 @@ both share. A run of at least ``SPAN`` words covers all of its words with window
 Items of fewer words than ``SPAN`` are one window as a whole. Winnowing can't promise to meet those, so the whole-item
 hashes are looked up at every place of a document, one pass for each length that occurs among the items.
 
-Items are taken in blocks of bounded size; each block is broadcast, and the documents pass through one block after the
-other in their partitions. There is no shuffle of documents.
+Items of ``BLOCK_BYTES`` of text at most are broadcast, and documents pass through them in their partitions, without a
+shuffle. Of more items, those of at least ``SPAN`` words are met by a join: documents are winnowed once, their fingerprints
+join the items' ones, and only the documents of a match move their texts, each with a bounded part of its items at a time, to
+be extended as above. Items of fewer words go through the documents in blocks, as short as they are.
 
 Null and empty texts have no words and no hits, null or word-less items have no windows; items that repeat a text each
 count; rows that repeat a doc_id each get their own result; empty tables give an empty result or no hits.
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import slices, small_batches, tidy
+from tagmill.llm.common import BROADCAST_IDS, materialise, slices, small_batches, tidy
 from tagmill.llm.words import Words, grams
 
 #: Words of a window.
@@ -35,6 +37,10 @@ SPAN = 10
 K = 5
 #: Bytes of item text that are broadcast at once.
 BLOCK_BYTES = 16 << 20
+#: Parts of the items that a document meets, which are extended one after the other.
+ITEM_PARTS = 8
+#: A word, for counting them.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def winnow(values: np.ndarray, window: int) -> np.ndarray:
@@ -133,10 +139,10 @@ def matches(texts: list[bytes], items: Items) -> tuple[Words, np.ndarray, list[s
     return w, hit, found
 
 
-def blocks(items: DataFrame, item_id: str, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[str], list[bytes]]]:
-    """Items in blocks of bounded size, streamed through the driver one at a time."""
+def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[str], list[bytes]]]:
+    """Items (item, text) in blocks of bounded size, streamed through the driver one at a time."""
     ids, texts, size = [], [], 0
-    for name, value in items.select(F.col(item_id).cast("string"), F.col(text)).toLocalIterator():
+    for name, value in items.select("item", "text").toLocalIterator():
         data = (value or "").encode()
         if ids and size + len(data) > block_bytes:
             yield ids, texts
@@ -147,6 +153,89 @@ def blocks(items: DataFrame, item_id: str, text: str, block_bytes: int = BLOCK_B
     yield ids, texts
 
 
+def _joined_spans(spans: list[int], hit: np.ndarray) -> list[int]:
+    """The hit words, and those of the spans start, end, start, end ..., as spans."""
+    now = hit.copy()
+    for x, y in zip(spans[::2], spans[1::2], strict=True):
+        now[x:y] = True
+    return np.flatnonzero(np.diff(now, prepend=False, append=False)).tolist()
+
+
+def _through(shared, span: int, k: int):
+    """Over rows of _FOUND: adds the hits of one block of items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, item_texts = shared.value
+        index = Items(ids, item_texts, span, k)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                w, hit, found = matches([(x or "").encode() for x in batch.column(1).to_pylist()], index)
+                spans, names = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+                for t, numbers in enumerate(found):
+                    if numbers:
+                        spans[t] = _joined_spans(spans[t], hit[w.bounds[t] : w.bounds[t + 1]])
+                        names[t] = sorted({*names[t], *(ids[x] or "" for x in numbers)})
+                made = [pa.array(np.diff(w.bounds), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made, *batch.columns[5:]], batch.schema.names)
+
+    return run
+
+
+def _marks(frame: DataFrame, key: str, span: int, k: int) -> DataFrame:
+    """key, mark: the fingerprints of each text (column text), once each."""
+    kind = dict(frame.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                w = Words([(x or "").encode() for x in batch.column(1).to_pylist()])
+                every = grams(w.hash, k)
+                own = [every[a : b - k + 1] if b - a >= span else every[:0] for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)]
+                found = [np.unique(x[winnow(x, span - k + 1)]) if len(x) else x for x in own]
+                rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate(found).view(np.int64))], [key, "mark"])
+
+    return frame.select(key, "text").mapInArrow(tidy(run), f"{key} {kind}, mark bigint")
+
+
+def _by_join(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
+    """row_key, more_spans, more_items: hits of long items (item, text) in documents (row_key, text)."""
+    numbered = materialise(items.select("item", "text").distinct().withColumn("number", F.monotonically_increasing_id()), "items")
+    # equal documents have one key and one set of hits
+    met = _marks(docs, "row_key", span, k).join(_marks(numbered, "number", span, k), "mark").select("row_key", "number").distinct()
+    some = met.join(numbered, "number").groupBy("row_key", F.pmod("number", F.lit(ITEM_PARTS)).alias("part")).agg(F.collect_list("item").alias("ids"), F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))
+    some = materialise(some, "met-items")
+    asked = some.select("row_key").distinct()
+    few = asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    pairs = docs.join(F.broadcast(asked) if few else asked.hint("shuffle_hash"), "row_key", "left_semi").join(some, "row_key").select("row_key", "text", "ids", "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text, ids, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, hit, found = matches([(text or "").encode()], Items(ids, [x.encode() for x in texts], span, k))
+                if found[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([_joined_spans([], hit)], pa.list_(pa.int64())), pa.array([[ids[x] or "" for x in found[0]]], pa.list_(pa.string()))], ["row_key", "spans", "items"])
+
+    hits = pairs.mapInArrow(tidy(run), "row_key binary, spans array<bigint>, items array<string>").distinct()
+    return hits.groupBy("row_key").agg(F.collect_list("spans").alias("more_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("more_items"))
+
+
+def _row_key(key: str, text: str) -> Column:
+    """128 bits of a row's id and text."""
+    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows doc_id, n_words, spans, items, more_spans, more_items: the spans and items of both."""
+    for batch in batches:
+        spans, items = [], []
+        for n, own, names, more, others in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            spans.append(_joined_spans([x for part in [own, *more] for x in part], np.zeros(n, bool)) if more else own)
+            items.append(sorted({*names, *(others or ())}))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], batch.schema.names[:4])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and spans [start, end) of hit words.
 
@@ -154,32 +243,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """
     k = min(k, span)
     small_batches(docs.sparkSession)
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
+    few = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= block_bytes
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    context = docs.sparkSession.sparkContext
-    schema = rows.schema
-
-    def through(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, item_texts = shared.value
-            index = Items(ids, item_texts, span, k)
-            for whole in batches:
-                for batch in slices(whole, "text"):
-                    w, hit, found = matches([(x or "").encode() for x in batch.column(1).to_pylist()], index)
-                    spans, names = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-                    marked = [(t, x) for t, x in enumerate(found) if x]
-                    for t, numbers in marked:
-                        a, b = w.bounds[t], w.bounds[t + 1]
-                        now = hit[a:b].copy()
-                        for x, y in zip(spans[t][::2], spans[t][1::2], strict=True):
-                            now[x:y] = True
-                        spans[t] = np.flatnonzero(np.diff(now, prepend=False, append=False)).tolist()
-                        names[t] = sorted({*names[t], *(ids[x] or "" for x in numbers)})
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(w.bounds), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], batch.schema.names)
-
-        return run
-
-    for block in blocks(benchmark, item_id, item_text, block_bytes):
-        rows = rows.mapInArrow(tidy(through(context.broadcast(block))), schema)
+    if not few:
+        rows = rows.withColumn("row_key", _row_key("doc_id", "text"))
+    is_long = F.regexp_count("text", F.lit(WORD)) >= span
+    for block in blocks(items if few else items.filter(~is_long), block_bytes):
+        rows = rows.mapInArrow(tidy(_through(docs.sparkSession.sparkContext.broadcast(block), span, k)), rows.schema)
+    if not few:
+        more = _by_join(docs.select(_row_key(key, text).alias("row_key"), F.col(text).alias("text")), items.filter(is_long), span, k)
+        rows = rows.drop("text").join(more.hint("shuffle_hash"), "row_key", "left")
+        kind = dict(rows.dtypes)["doc_id"]
+        rows = rows.select("doc_id", "n_words", "spans", "items", "more_spans", "more_items").mapInArrow(tidy(_merged), f"doc_id {kind}, n_words bigint, spans array<bigint>, items array<string>")
     # spans are start, end, start, end ..., so the hit words are the sum with alternating signs
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans")
