@@ -38,7 +38,7 @@ def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = materialise(first.select("rec_id", F.when((F.pmod("rec_id", F.lit(997)) == 13) & ~F.col("record").endswith("\r\n\r\n\r\n\r\n"), damaged).otherwise(F.col("record")).alias("record")), "replica")
     one, _, found = merkle.fixity(first, second)
     found = found.select(F.col("digest_a").alias("digest"), F.col("offset_a").alias("offset"), "status")
-    return one.records.join(found, ["digest", "offset"], "left").select(F.col("rec_id").alias("page_id"), "offset", "n_bytes", "range_no", F.col("digest").alias("rec_sha256"), F.coalesce("status", F.lit("ok")).alias("status"))
+    return merkle.copies(one.records).join(found, ["digest", "offset"], "left").select(F.col("rec_id").alias("page_id"), "offset", "n_bytes", "range_no", F.col("digest").alias("rec_sha256"), F.coalesce("status", F.lit("ok")).alias("status"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,8 @@ def test_audit_names_damaged_records(spark):
 
 def test_offsets_are_those_of_the_archive(spark):
     a = _records(spark, 100)
-    got = sorted(((r.rec_id is not None, r.rec_id or 0, r.digest, r.offset, r.n_bytes) for r in merkle.index(a, 256).collect()))
+    got = sorted(((r.rec_id is not None, r.rec_id or 0, r.digest, r.offset, r.n_bytes) for r in merkle.copies(merkle.index(a, 256)).collect()))
+    assert len(got) == 103
     at = 0
     for _, _, _, offset, n in sorted(got, key=lambda r: r[3]):
         assert offset == at
@@ -170,6 +171,47 @@ def test_only_mismatching_branches_are_read(spark):
         assert x.join(y, ["node", "hash"], "left_anti").count() == 1
 
 
+def test_a_shift_changes_its_own_range_only(spark):
+    """A longer record, a missing one and extra ones at both ends: all other ranges have equal hashes."""
+    a = _records(spark, 300)
+    rows = [(r.rec_id, r.record + "longer" * 9 if r.rec_id == 40 else r.record) for r in a.collect() if r.rec_id != 150]
+    rows += [(-5, "before all"), (10**6, "after all")] + [(220, "much more " + str(i)) for i in range(60)] + [(None, None)]
+    one, two, found = merkle.fixity(a, spark.createDataFrame(rows, "rec_id BIGINT, record STRING"), range_bytes=256, fanout=4)
+    got = sorted((r.rec_id is not None, r.rec_id or 0, r.status) for r in found.collect())
+    assert got == sorted([(True, 40, "changed"), (True, 150, "missing"), (True, -5, "extra"), (True, 10**6, "extra"), (False, 0, "extra"), *[(True, 220, "extra")] * 60])
+    leaves = one.levels[0].count()
+    assert one.levels[0].join(two.levels[0], ["node", "hash"], "left_anti").count() <= 5 < leaves
+
+
+def test_many_equal_records_are_one_row(spark):
+    a = spark.createDataFrame([(1, "same")] * 500 + [(2, "x")], "rec_id BIGINT, record STRING")
+    b = spark.createDataFrame([(1, "same")] * 497 + [(2, "y")], "rec_id BIGINT, record STRING")
+    one, _, found = merkle.fixity(a, b, range_bytes=64)
+    assert one.records.count() == 2
+    assert sorted((r.rec_id, r.status, r.offset_a) for r in found.collect()) == [(1, "missing", 4 * i) for i in (497, 498, 499)] + [(2, "changed", 2000)]
+
+
+def test_warc_files(spark, tmp_path):
+    """Records of files on disk, plain and gzipped record by record; two copies are audited."""
+    import gzip
+
+    pages = [(i, f"http://x/{i}", "WARC/1.1 in a body\r\n\r\n" * (i % 3) + "é") for i in range(20)]
+    made = [r.r for r in spark.createDataFrame(pages, "id BIGINT, url STRING, html STRING").select(merkle.warc_record(F.col("id"), F.col("url"), F.col("html")).alias("r")).collect()]
+    raw = [m.encode() for m in made]
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "one" / "a.warc").write_bytes(b"".join(raw[:12]))
+    (tmp_path / "one" / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, raw[12:])))
+    bad = bytearray(b"".join(raw))
+    bad[len(b"".join(raw[:5])) - 6] ^= 1
+    (tmp_path / "two" / "a.warc").write_bytes(bad)
+    (tmp_path / "two" / "empty.warc").write_bytes(b"")
+    one, two = (merkle.read_warc(spark, f"file://{tmp_path}/{x}") for x in ("one", "two"))
+    places = sorted((r.file[-1], r.offset, bytes(r.record)) for r in one.collect())
+    assert [r for _, _, r in places] == raw and [p[1] for p in places[:12]] == [sum(map(len, raw[:i])) for i in range(12)]
+    assert [(r.rec_id, r.status) for r in merkle.fixity(one, two, range_bytes=500)[2].collect()] == [("urn:page:4", "changed")]
+
+
 def test_record_form(spark):
     row = spark.createDataFrame([(1, None, "é"), (None, "u", None)], "id BIGINT, url STRING, html STRING").select(merkle.warc_record(F.col("id"), F.col("url"), F.col("html")).alias("r")).collect()
     assert row[0].r.endswith("Content-Length: 2\r\n\r\né\r\n\r\n") and "Content-Length: 0\r\n\r\n\r\n\r\n" in row[1].r
