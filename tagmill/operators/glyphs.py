@@ -1,229 +1,266 @@
 """Page text from glyphs: visual lines, rebuilt text, and counts of mathematical layout.
 
-Lines are grouped against the first glyph group of a line, which is sequential; so these operators work on one page at a
-time with ``applyInPandas``. A page is bounded by what is printed on it. Columns of a glyph: page, piece, text, x0, y0, x1,
-y1, baseline, size, font; of a rule: page, x0, y0, x1, y1.
+Columns of a glyph: the page's (``by``), piece, text, x0, y0, x1, y1, baseline, size, font; of a graphic: the page's, kind
+(image or vector), x0, y0, x1, y1, thin, curved. Everything is relational but the text of a line, which is a walk over its
+glyphs. A page is bounded by what is printed on it, so a page's boxes or glyphs may meet in one row.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
+from statistics import median
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed values of the layout rules: shares of the font size, and points.
+from tagmill.sources.scratch import written
+
+# Fixed values of the layout rules: shares of a font size or of a page, and points.
 LINE_SHARE = 0.45
 SCRIPT_SHARE = 0.85
 SCRIPT_SHIFT = 1.5
 GAP_SHARE = 0.22
-MATH_FONT = re.compile(r"(?i)cambria\s?math|^cm(mi|sy|ex|r)\d|^msbm|^msam|^symbol")
-MONO_FONT = re.compile(r"(?i)courier|consolas|mono|^cmtt|nimbusmon|menlo|inconsolata")
-TALL_FONT = re.compile(r"(?i)^cmex")
+ACCENT_REACH = 1.0
+DEEP_SHIFT = 0.6
+BAR_WIDTH = (3.0, 250.0)
+BAR_REACH = 12.0
+UNDERLINE_WIDTH = 5.0
+UNDERLINE_REACH = 4.0
+TOUCH = 1.0
+SHORT_SHARE = 0.45
+MATH_SHARE = 0.6
+STACK_GAP = 6.0
+ROW_REACH = 1.6
+BRACKET_GAP = (-3.0, 25.0)
+STACK_OVERLAP = 0.4
+STACK_HEIGHT = (0.75, 1.6)
+STACK_MIDDLE = 0.25
+STACK_REACH = 40.0
+FIGURE_SHAPES = 3
+FIGURE_AREA = 400.0
+TABLE_RULE = 8.0
+TABLE_RULES = 2
+FRAME_PAGES = 3
+MATH_FONT = r"(?i)cambria\s?math|^cm(mi|sy|ex|r)\d|^msbm|^msam|^symbol"
+MONO_FONT = r"(?i)courier|consolas|mono|^cmtt|nimbusmon|menlo|inconsolata"
+TALL_FONT = r"(?i)^cmex"
+TALL_SIGNS = "[⎛-⎳]"
 OPERATORS = "√∑∏∫∮⋃⋂"
 BRACKETS = "[({|⌈⌊⟨‖"
 SLASH = "̸"
 
-FEATURES = ("has_math", "has_code", "fraction_bars", "underline_rules", "stacked_math_lines", "stacked_glyphs", "matrix_rows", "deep_scripts", "display_math_glyphs")
+FEATURES = (
+    "has_math", "has_code", "image_count", "vector_shape_count", "has_figure", "has_table", "fraction_bars", "stacked_math_lines", "stacked_glyphs", "matrix_rows", "deep_scripts", "display_math_glyphs", "underline_rules",
+)
 
 
-def line_numbers(boxes: pd.DataFrame) -> np.ndarray:
-    """Line number of each box (y0, y1, x0 of one page): a box joins the line whose first box is close to it in height."""
-    centre = ((boxes["y0"] + boxes["y1"]) / 2).to_numpy()
-    height = (boxes["y1"] - boxes["y0"]).to_numpy()
-    out = np.zeros(len(boxes), int)
-    line, head = -1, -1
-    for i in np.lexsort((boxes["x0"].to_numpy(), centre)):
-        if head < 0 or centre[i] - centre[head] > LINE_SHARE * max(height[head], height[i]):
-            line, head = line + 1, i
-        out[i] = line
-    return out
+def line_numbers(boxes: DataFrame, by: Sequence[str], id_: str) -> DataFrame:
+    """by, id_, line: a box (y0, y1, x0) joins the line whose first box is close to it in height; lines count from 0.
 
+    A fold over the page's boxes in order of their centres, with the head of the present line as its state.
+    """
+    by, kind = list(by), dict(boxes.dtypes)[id_]
+    box = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("centre"), "x0", F.col(id_).alias("id"), (F.col("y1") - F.col("y0")).alias("height"))
+    first = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("centre"), F.lit(0.0).alias("height"), F.array().cast(f"array<struct<id:{kind},line:int>>").alias("out"))
 
-def _flags(g: pd.DataFrame) -> pd.DataFrame:
-    fonts = {f: (bool(MATH_FONT.search(f)), bool(MONO_FONT.search(f)), bool(TALL_FONT.search(f))) for f in g["font"].unique()}
-    g = g.assign(math=g["font"].map(lambda f: fonts[f][0]), mono=g["font"].map(lambda f: fonts[f][1]))
-    g["tall"] = g["font"].map(lambda f: fonts[f][2]) | g["text"].map(lambda t: len(t) == 1 and 0x239B <= ord(t) <= 0x23B3)
-    g["blank"] = g["text"].map(lambda t: not t.strip())
-    return g
-
-
-def with_lines(g: pd.DataFrame) -> pd.DataFrame:
-    """Glyphs of one page with their line: pieces are grouped by the box of their visible glyphs."""
-    g = _flags(g)
-    seen = g[~g["blank"]] if (~g["blank"]).any() else g
-    boxes = seen.groupby("piece").agg(y0=("y0", "min"), y1=("y1", "max"), x0=("x0", "min"), x1=("x1", "max"))
-    boxes["line"] = line_numbers(boxes)
-    return g.join(boxes["line"], on="piece").dropna(subset=["line"])
-
-
-def line_base(visible: pd.DataFrame) -> tuple[float, float]:
-    sizes = (visible["size"] * 2).round() / 2
-    counts = sizes.value_counts()
-    often = counts[counts >= 2]
-    size = float((often if len(often) else counts).index.max())
-    return size, float(visible.loc[sizes == size, "baseline"].median())
-
-
-def line_text(line: pd.DataFrame) -> str:
-    """Text of one line: blanks at gaps, raised runs as ^{..}, lowered ones as _{..}, single marks short, accents composed."""
-    line = line.sort_values("x0", kind="stable")
-    visible = line[~line["blank"]]
-    if visible.empty:
-        return ""
-    size, base = line_base(visible)
-    over = line["text"].map(lambda t: unicodedata.category(t[0]) == "Mn" if t else False)
-    letters = visible[~over.reindex(visible.index)]
-    accents: dict[int, str] = {}
-    for m in line[over].itertuples():
-        if m.text == SLASH:  # the slash of a negated sign comes before it
-            near = letters.index[letters["x0"] >= m.x0 - 1.0]
-            target = near[0] if len(near) else None
-        else:
-            near = letters[letters["x1"] <= m.x0 + 1.0]
-            target = near["x1"].idxmax() if len(near) else None
-        if target is not None:
-            accents[target] = accents.get(target, "") + m.text
-    runs: list[tuple[str, str]] = []  # kind, text; a blank is a run of its own
-    last = None
-    for c in line[~over].itertuples():
-        if c.blank:
-            runs.append(("gap", " "))
-            last = None
-            continue
-        small = c.size < SCRIPT_SHARE * size
-        kind = "^" if small and c.baseline < base - SCRIPT_SHIFT else "_" if small and c.baseline > base + SCRIPT_SHIFT else "base"
-        if last is not None:
-            wide = c.x0 - last.x1 > GAP_SHARE * min(c.size, last.size)
-            word = kind == "base" and runs[-1][0] in "^_" and last.math and c.text.isalpha() and not c.math
-            if (wide and (kind == "base" or kind == runs[-1][0])) or word:
-                runs.append(("gap", " ") if kind == "base" else (kind, " "))
-        runs.append((kind, c.text + accents.get(c.Index, "")))
-        last = c
-    out, at = [], 0
-    while at < len(runs):
-        kind = runs[at][0]
-        end = at
-        while end < len(runs) and runs[end][0] == kind:
-            end += 1
-        body = "".join(t for _, t in runs[at:end])
-        out.append(body if kind in ("base", "gap") else kind + (body if len(body) == 1 else "{" + body + "}"))
-        at = end
-    return re.sub(r"[ \t]+", " ", unicodedata.normalize("NFC", "".join(out))).strip()
-
-
-def page_text(g: pd.DataFrame) -> str:
-    """Lines of a page, top to bottom; with code on it, each keeps its indentation."""
-    g = with_lines(g)
-    lines = [x for _, x in g.groupby("line")]
-    texts = [(line_text(x), x) for x in lines]
-    texts = [(t, x) for t, x in texts if t]
-    code = g[g["mono"] & ~g["blank"]]
-    if code.empty or not texts:
-        return "\n".join(t for t, _ in texts)
-    unit = float((code["x1"] - code["x0"]).median()) or 1.0
-    left = min(x.loc[~x["blank"], "x0"].min() for _, x in texts)
-    return "\n".join(" " * max(0, round((x.loc[~x["blank"], "x0"].min() - left) / unit)) + t for t, x in texts)
-
-
-def _stacked(v: pd.DataFrame) -> int:
-    """Pairs of glyphs above each other with a full-size glyph on a baseline between them."""
-    x0, x1, y, s = (v[c].to_numpy(float) for c in ("x0", "x1", "baseline", "size"))
-    if len(v) < 3:
-        return 0
-    overlap = np.minimum.outer(x1, x1) - np.maximum.outer(x0, x0)
-    narrow = np.minimum.outer(x1 - x0, x1 - x0)
-    a, b = np.nonzero(np.triu((narrow > 0) & (overlap > 0) & (overlap >= 0.4 * narrow), 1))
-    if not len(a):
-        return 0
-    top, bottom = np.minimum(y[a], y[b]), np.maximum(y[a], y[b])
-    gap = (bottom - top)[:, None]
-    middle = (
-        (s >= SCRIPT_SHARE * np.maximum(s[a], s[b])[:, None]) & (0.75 * s <= gap) & (gap <= 1.6 * s) & (top[:, None] + 0.25 * gap <= y) & (y <= bottom[:, None] - 0.25 * gap)
-        & (x1 >= np.minimum(x0[a], x0[b])[:, None] - 40) & (x0 <= np.maximum(x1[a], x1[b])[:, None] + 40)
-    )
-    return int(middle.any(1).sum())
-
-
-def page_features(g: pd.DataFrame, rules: pd.DataFrame) -> dict[str, int | bool]:
-    """Counts of mathematical layout on one page of one record."""
-    g = with_lines(g)
-    v = g[~g["blank"]]
-    out: dict[str, int | bool] = {"has_math": bool(v["math"].any()), "has_code": bool(v["mono"].any())}
-    flat = rules[(rules["x1"] - rules["x0"]) >= (rules["y1"] - rules["y0"])]
-    bars = under = 0
-    m, p = v[v["math"]], v[~v["math"]]
-    for r in flat.itertuples():
-        width = r.x1 - r.x0
-        near = m[(m["x1"] > r.x0) & (m["x0"] < r.x1)]
-        bars += 3 <= width <= 250 and near["y1"].between(r.y0 - 12, r.y1 + 1).any() and near["y0"].between(r.y0 - 1, r.y1 + 12).any()
-        under += width >= 5 and ((p["x0"] >= r.x0 - 1) & (p["x1"] <= r.x1 + 1) & p["y1"].between(r.y0 - 4, r.y1 + 1)).any()
-    out["fraction_bars"], out["underline_rules"] = int(bars), int(under)
-    width = (v["x1"].max() - v["x0"].min()) if len(v) else 0
-    per = []
-    deep = 0
-    for _, x in v.groupby("line"):
-        size, base = line_base(x)
-        deep += int(((x["size"] < SCRIPT_SHARE * size) & ((x["baseline"] - base).abs() > 0.6 * size)).sum())
-        share = float((x["math"] | x["text"].map(str.isdigit)).mean())
-        short = bool(width > 0 and x["x1"].max() - x["x0"].min() < 0.45 * width and share >= 0.6)
-        per.append((short, x["x0"].min(), x["y0"].min(), x["x1"].max(), x["y1"].max(), x["size"].max(), x.loc[x["text"].isin(list(BRACKETS)), "x1"].to_numpy()))
-    out["deep_scripts"] = deep
-    short = [x for x in per if x[0]]
-    out["stacked_math_lines"] = sum(a[1] < b[3] and b[1] < a[3] and 0 <= b[2] - a[4] <= 6 for a, b in zip(short, short[1:], strict=False))
-    rows = 0
-    for a in short:
-        centre = (a[2] + a[4]) / 2
-        rows += any(0 < abs((b[2] + b[4]) / 2 - centre) <= 1.6 * a[5] and ((a[1] - b[6] >= -3) & (a[1] - b[6] <= 25)).any() for b in per if b is not a)
-    out["matrix_rows"] = rows
-    out["stacked_glyphs"] = _stacked(v)
-    out["display_math_glyphs"] = int((v["tall"] | v["text"].isin(list(OPERATORS))).sum())
-    return out
+    def join(state: Column, b: Column) -> Column:
+        new = (state["line"] < 0) | (b["centre"] - state["centre"] > LINE_SHARE * F.greatest(state["height"], b["height"]))
+        line = F.when(new, state["line"] + 1).otherwise(state["line"])
+        head = [F.when(new, b[c]).otherwise(state[c]).alias(c) for c in ("centre", "height")]
+        return F.struct(line.alias("line"), *head, F.concat(state["out"], F.array(F.struct(b["id"].alias("id"), line.alias("line")))).alias("out"))
 
+    folded = F.aggregate(F.array_sort(F.collect_list(box)), first, join, lambda s: s["out"])
+    return boxes.groupBy(*by).agg(folded.alias("__l")).select(*by, F.explode("__l").alias("__l")).select(*by, F.col("__l.id").alias(id_), F.col("__l.line").alias("line"))
 
-def rebuild_text(glyphs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per page its text."""
+
+def line_gaps(boxes: DataFrame, by: Sequence[str], id_: str) -> DataFrame:
+    """Per box its line, and the gap from the line above (null for the first)."""
     by = list(by)
-    schema = ", ".join(f"{c} {dict(glyphs.dtypes)[c]}" for c in by) + ", n_lines int, text string"
+    rows = boxes.join(line_numbers(boxes, by, id_), [*by, id_])
+    lines = rows.groupBy(*by, "line").agg(F.min("y0").alias("__top"), F.max("y1").alias("__end"))
+    gap = F.col("__top") - F.lag("__end").over(Window.partitionBy(*by).orderBy("line"))
+    return rows.join(lines.select(*by, "line", gap.alias("gap")), [*by, "line"]).select(*by, id_, "line", "gap")
 
-    def one(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        text = page_text(page)
-        return pd.DataFrame([[*key, len(text.split("\n")) if text else 0, text]], columns=[*by, "n_lines", "text"])
 
-    return glyphs.groupBy(*by).applyInPandas(one, schema)
+def with_lines(glyphs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Glyphs with their flags and line. Pieces are grouped by the box of their visible glyphs; a piece without any has no line."""
+    by = list(by)
+    flags = {"math": F.col("font").rlike(MATH_FONT), "mono": F.col("font").rlike(MONO_FONT), "tall": F.col("font").rlike(TALL_FONT) | F.col("text").rlike(f"^{TALL_SIGNS}$"), "blank": ~F.col("text").rlike(r"(?U)\S")}
+    rows = glyphs.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
+    boxes = rows.filter("NOT blank").groupBy(*by, "piece").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"))
+    return rows.join(line_numbers(boxes, by, "piece"), [*by, "piece"])
 
 
-def layout_features(glyphs: DataFrame, rules: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per page the counts of mathematical layout; pages without glyphs have none."""
-    by = list(by)
-    kinds = {"has_math": "boolean", "has_code": "boolean"}
-    schema = ", ".join(f"{c} {dict(glyphs.dtypes)[c]}" for c in by) + ", " + ", ".join(f"{f} {kinds.get(f, 'int')}" for f in FEATURES)
+def line_bases(lined: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, line, main (the largest size in halves of a point that two glyphs have, else the largest), base (median baseline of that size)."""
+    by = [*by, "line"]
+    sizes = lined.filter("NOT blank").groupBy(*by, (F.bround(F.col("size") * 2) / 2).alias("main")).agg(F.count(F.lit(1)).alias("n"), F.median("baseline").alias("base"))
+    return sizes.groupBy(*by).agg(F.max_by(F.struct("main", "base"), F.struct(F.col("n") >= 2, "main")).alias("b")).select(*by, "b.main", "b.base")
 
-    def one(key: tuple, page: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        if page.empty:
-            return pd.DataFrame(columns=[*by, *FEATURES])
-        found = page_features(page, lines)
-        return pd.DataFrame([[*key, *(found[f] for f in FEATURES)]], columns=[*by, *FEATURES])
 
-    rules = rules.select(*(F.col(c).alias(f"{c}_" if c in by else c) for c in rules.columns))  # both may stem from one frame
-    return glyphs.groupBy(*by).cogroup(rules.groupBy(*(f"{c}_" for c in by))).applyInPandas(one, schema)
+def _accents(marks: list[dict], letters: list[dict]) -> dict[int, str]:
+    """Place among the letters -> marks on it: each on the letter that ends before it; a negating slash on the one it precedes."""
+    out: dict[int, str] = {}
+    for m in marks:
+        if m["text"] == SLASH:
+            near = next((i for i, c in enumerate(letters) if c["x0"] >= m["x0"] - ACCENT_REACH), None)
+        else:
+            near = max((i for i, c in enumerate(letters) if c["x1"] <= m["x0"] + ACCENT_REACH), key=lambda i: letters[i]["x1"], default=None)
+        if near is not None:
+            out[near] = out.get(near, "") + m["text"]
+    return out
 
 
-def line_gaps(boxes: DataFrame, by: Sequence[str], id_: str) -> DataFrame:
-    """Per box its line, and the gap from the line above (null for the first)."""
-    by = list(by)
-    kinds = dict(boxes.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", {id_} {kinds[id_]}, line int, gap double"
+def line_text(line: list[dict]) -> str:
+    """Text of the glyphs of one line in order of x0: blanks at gaps, raised runs as ^{..}, lowered ones as _{..}, a single
+    glyph without braces, accents composed."""
+    marks = [c for c in line if c["text"] and unicodedata.category(c["text"][0]) == "Mn"]
+    rest = [c for c in line if c not in marks] if marks else line
+    accents = _accents(marks, [c for c in rest if not c["blank"]])
+    spelt: list[tuple[str, str]] = []  # level (base, ^ or _), text
+    before, n = None, 0
+    for c in rest:
+        if c["blank"]:
+            spelt.append(("base", " "))
+            before = None
+            continue
+        shift = c["baseline"] - c["base"]
+        script = c["size"] < SCRIPT_SHARE * c["main"] and abs(shift) > SCRIPT_SHIFT
+        level = ("^" if shift < 0 else "_") if script else "base"
+        if before is not None:
+            wide = c["x0"] - before["x1"] > GAP_SHARE * min(c["size"], before["size"])
+            # after a formula's script a plain word begins
+            word = not script and spelt[-1][0] != "base" and before["math"] and not c["math"] and c["text"].isalpha()
+            if word or wide and (not script or spelt[-1][0] == level):
+                spelt.append((level, " "))
+        spelt.append((level, c["text"] + accents.get(n, "")))
+        before, n = c, n + 1
+    runs = [(level, "".join(t for _, t in run)) for level, run in groupby(spelt, key=itemgetter(0))]
+    out = "".join(t if level == "base" else f"{level}{t}" if len(t) == 1 else f"{level}{{{t}}}" for level, t in runs)
+    return re.sub(r"[ \t]+", " ", unicodedata.normalize("NFC", out)).strip()
+
+
+def page_text(page: list[dict]) -> str:
+    """Lines of a page, top to bottom, from its glyphs in order of line and x0; with code on it, each keeps its indentation."""
+    lines = [(line_text(own), [c["x0"] for c in own if not c["blank"]]) for own in (list(g) for _, g in groupby(page, key=itemgetter("line")))]
+    lines = [(t, x) for t, x in lines if t and x]
+    code = [c["x1"] - c["x0"] for c in page if c["mono"] and not c["blank"]]
+    if not code or not lines:
+        return "\n".join(t for t, _ in lines)
+    left, unit = min(min(x) for _, x in lines), median(code) or 1.0
+    return "\n".join(" " * max(0, round((min(x) - left) / unit)) + t for t, x in lines)
 
-    def one(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0", id_], kind="stable").reset_index(drop=True)
-        line = line_numbers(page)
-        tops, ends = page.groupby(line)["y0"].min(), page.groupby(line)["y1"].max()
-        gap = (tops - ends.shift(1)).reindex(line).to_numpy()
-        return pd.DataFrame({**dict(zip(by, key, strict=True)), id_: page[id_], "line": line, "gap": gap})
 
-    return boxes.groupBy(*by).applyInPandas(one, schema)
+def rebuild_text(glyphs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per page with a visible glyph: its number of lines, and its text."""
+    by = list(by)
+    lined = with_lines(glyphs, by)
+    # glyphs at one place are in order of their piece and text
+    order = ["line", "x0", "piece", "text", "x1", "baseline", "size", "math", "mono", "blank", "main", "base"]
+    pages = lined.join(line_bases(lined, by), [*by, "line"]).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("__glyphs"))
+    kinds = dict(pages.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [page_text(p) for p in batch.column(len(by)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], pa.array([len(t.split("\n")) if t else 0 for t in texts], pa.int32()), pa.array(texts, pa.string())], [*by, "n_lines", "text"])
+
+    return pages.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n_lines int, text string")
+
+
+def frame_columns(graphics: DataFrame, paper: Sequence[str], page: str) -> DataFrame:
+    """paper, x: places of vertical rules that several pages of a paper share; they frame questions and are no tables."""
+    upright = graphics.filter("kind = 'vector' AND thin AND y1 - y0 > x1 - x0")
+    found = upright.groupBy(*paper, F.bround("x0").alias("x")).agg(F.count_distinct(page).alias("n"))
+    return found.filter(F.col("n") >= FRAME_PAGES).select(*paper, "x")
+
+
+def _in_order(low: Column, x: Column, high: Column) -> Column:
+    return (low <= x) & (x <= high)
+
+
+def _graphic_features(graphics: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of images and shapes; ``framed`` marks rules of question frames."""
+    width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("int")
+    image, shape = F.col("kind") == "image", (F.col("kind") == "vector") & ~F.col("thin")
+    inner = (F.col("kind") == "vector") & F.col("thin") & (height > width) & (height >= TABLE_RULE) & ~F.col("framed")
+    found = graphics.groupBy(*by).agg(count(image).alias("image_count"), count(shape).alias("vector_shape_count"), count(shape & F.col("curved")).alias("curves"), F.sum(F.when(shape, width * height).otherwise(0.0)).alias("area"), count(inner).alias("inner"))
+    figure = (F.col("image_count") > 0) | (F.col("curves") > 0) | (F.col("vector_shape_count") >= FIGURE_SHAPES) | (F.col("area") >= FIGURE_AREA)
+    return found.select(*by, "image_count", "vector_shape_count", figure.alias("has_figure"), (F.col("inner") >= TABLE_RULES).alias("has_table"))
+
+
+def _rule_features(visible: DataFrame, graphics: DataFrame, by: list[str]) -> DataFrame:
+    """Rules with formula glyphs above and below, and rules close under plain ones: joins of boxes on a page."""
+    width = F.col("x1") - F.col("x0")
+    flat = graphics.filter(F.col("thin") & (F.col("kind") == "vector") & (width >= F.col("y1") - F.col("y0")))
+    flat = flat.select(*by, *(F.col(c).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")), width.alias("width"), F.monotonically_increasing_id().alias("rule"))
+    met = flat.join(visible.select(*by, "x0", "y0", "x1", "y1", "math"), by)
+    over = F.col("math") & (F.col("x1") > F.col("rx0")) & (F.col("x0") < F.col("rx1"))
+    above = over & _in_order(F.col("ry0") - BAR_REACH, F.col("y1"), F.col("ry1") + TOUCH)
+    below = over & _in_order(F.col("ry0") - TOUCH, F.col("y0"), F.col("ry1") + BAR_REACH)
+    under = ~F.col("math") & (F.col("x0") >= F.col("rx0") - TOUCH) & (F.col("x1") <= F.col("rx1") + TOUCH) & _in_order(F.col("ry0") - UNDERLINE_REACH, F.col("y1"), F.col("ry1") + TOUCH)
+    of_rule = met.groupBy(*by, "rule", "width").agg(F.max(above).alias("above"), F.max(below).alias("below"), F.max(under).alias("under"))
+    bar = F.col("above") & F.col("below") & F.col("width").between(*BAR_WIDTH)
+    line = F.col("under") & (F.col("width") >= UNDERLINE_WIDTH)
+    return of_rule.groupBy(*by).agg(F.sum(bar.cast("int")).cast("int").alias("fraction_bars"), F.sum(line.cast("int")).cast("int").alias("underline_rules"))
+
+
+def _line_features(lined: DataFrame, visible: DataFrame, by: list[str]) -> list[DataFrame]:
+    """Deep scripts; short formula lines close above each other; short lines beside another line's bracket."""
+    deep = visible.join(line_bases(lined, by), [*by, "line"]).filter((F.col("size") < SCRIPT_SHARE * F.col("main")) & (F.abs(F.col("baseline") - F.col("base")) > DEEP_SHIFT * F.col("main")))
+    deep = deep.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("deep_scripts"))
+    formula = F.avg((F.col("math") | F.col("text").rlike(r"(?U)^\d+$")).cast("double"))
+    brackets = F.collect_list(F.when(F.col("text").isin(*BRACKETS), F.col("x1")))
+    lines = visible.groupBy(*by, "line").agg(*(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1", "size")), formula.alias("share"), brackets.alias("brackets"))
+    page = Window.partitionBy(*by)
+    width = F.max("x1").over(page) - F.min("x0").over(page)
+    lines = lines.withColumn("short", (width > 0) & (F.col("x1") - F.col("x0") < SHORT_SHARE * width) & (F.col("share") >= MATH_SHARE)).withColumn("centre", (F.col("y0") + F.col("y1")) / 2)
+    short = lines.filter("short")
+    last = Window.partitionBy(*by).orderBy("line")
+    gap = F.col("y0") - F.lag("y1").over(last)
+    close = (F.lag("x0").over(last) < F.col("x1")) & (F.col("x0") < F.lag("x1").over(last)) & _in_order(F.lit(0.0), gap, F.lit(STACK_GAP))
+    stacked = short.withColumn("close", close).filter("close").groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("stacked_math_lines"))
+    other = lines.filter(F.size("brackets") > 0).select(*by, F.col("line").alias("other"), F.col("centre").alias("middle"), F.col("brackets").alias("beside"))
+    near = F.exists("beside", lambda x: _in_order(F.lit(BRACKET_GAP[0]), F.col("x0") - x, F.lit(BRACKET_GAP[1])))
+    rise = F.abs(F.col("middle") - F.col("centre"))
+    rows = short.join(other, by).filter((F.col("line") != F.col("other")) & (rise > 0) & (rise <= ROW_REACH * F.col("size")) & near)
+    return [deep, stacked, rows.groupBy(*by).agg(F.count_distinct("line").cast("int").alias("matrix_rows"))]
+
+
+def _stacked_glyphs(visible: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs of glyphs above each other that have a full-size glyph on a baseline between them: a witness for each pair."""
+    cut = lambda name: visible.select(*by, *(F.col(c).alias(f"{name}_{c}") for c in ("glyph", "x0", "x1", "baseline", "size")))
+    wide = lambda name: F.col(f"{name}_x1") - F.col(f"{name}_x0")
+    shared = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")
+    narrow = F.least(wide("a"), wide("b"))
+    pairs = cut("a").join(cut("b"), by).filter((F.col("a_glyph") < F.col("b_glyph")) & (narrow > 0) & (shared > 0) & (shared >= STACK_OVERLAP * narrow))
+    top, bottom = F.least("a_baseline", "b_baseline"), F.greatest("a_baseline", "b_baseline")
+    size, y, gap = F.col("m_size"), F.col("m_baseline"), bottom - top
+    full = (size >= SCRIPT_SHARE * F.greatest("a_size", "b_size")) & _in_order(STACK_HEIGHT[0] * size, gap, STACK_HEIGHT[1] * size)
+    between = _in_order(top + STACK_MIDDLE * gap, y, bottom - STACK_MIDDLE * gap)
+    beside = (F.col("m_x1") >= F.least("a_x0", "b_x0") - STACK_REACH) & (F.col("m_x0") <= F.greatest("a_x1", "b_x1") + STACK_REACH)
+    seen = pairs.join(cut("m"), by).filter(full & between & beside).select(*by, "a_glyph", "b_glyph").distinct()
+    return seen.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("stacked_glyphs"))
+
+
+def layout_features(glyphs: DataFrame, graphics: DataFrame, by: Sequence[str], frames: DataFrame | None = None, paper: Sequence[str] = ()) -> DataFrame:
+    """Per page with a visible glyph the 13 counts and flags of its layout. frames: paper, x of vertical rules that don't count."""
+    by = list(by)
+    lined = written(with_lines(glyphs, by).withColumn("glyph", F.monotonically_increasing_id()), "lined-glyphs")  # read by every count
+    visible = lined.filter("NOT blank")
+    graphics = graphics.withColumn("framed", F.lit(False))
+    if frames is not None:
+        known = frames.select(*paper, F.col("x").alias("__x"), F.lit(True).alias("__framed"))
+        graphics = graphics.withColumn("__x", F.bround("x0")).join(known, [*paper, "__x"], "left").withColumn("framed", F.coalesce("__framed", F.lit(False)))
+    signs = (F.col("tall") | F.col("text").isin(*OPERATORS)).cast("int")
+    out = visible.groupBy(*by).agg(F.max("math").alias("has_math"), F.max("mono").alias("has_code"), F.sum(signs).cast("int").alias("display_math_glyphs"))
+    for part in (_graphic_features(graphics, by), _rule_features(visible, graphics, by), *_line_features(lined, visible, by), _stacked_glyphs(visible, by)):
+        out = out.join(part, by, "left")
+    zero = lambda c: F.coalesce(c, F.lit(False) if c.startswith("has_") else F.lit(0)).alias(c)
+    return out.select(*by, *map(zero, FEATURES))

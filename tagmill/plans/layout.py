@@ -132,18 +132,31 @@ def flatten_taxonomy(spark, d):
 
 
 def _glyphs(spark, d):
-    """Orders of a quarter as pages; each line of an order is a word of three glyphs, the last one raised or lowered."""
-    l = table(spark, d, "lineitem").join(table(spark, d, "orders").filter((F.year("o_orderdate") == 1999) & (F.quarter("o_orderdate") == 1)).select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
-    l = l.groupBy(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("piece")).agg(F.max("l_quantity").alias("q"), F.max("l_returnflag").alias("f"))
+    """Orders as pages; each line of an order is a word of three glyphs, the last one raised or lowered by its flag."""
+    l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("piece")).agg(F.max("l_quantity").alias("q"), F.max("l_returnflag").alias("f"))
     y = F.floor(F.col("q") / 10) * 14.0
-    x = (F.col("piece") % 40) * 12.0
+    x = F.col("piece") * 12.0
     size = F.lit(10.0)
     shift = F.when(F.col("f") == "A", -4.0).when(F.col("f") == "R", 4.0).otherwise(0.0)
     glyph = lambda text, k, s, up, font: F.struct(text.alias("text"), (x + k * 4.0).alias("x0"), (y + up).alias("y0"), (x + k * 4.0 + 3.5).alias("x1"), (y + up + s).alias("y1"), (y + up + 8.0).alias("baseline"), s.alias("size"), F.lit(font).alias("font"))
-    three = F.array(glyph(F.lit("x"), 0, size, F.lit(0.0), "CMMI10"), glyph(F.lit("y"), 1, size, F.lit(0.0), "Times"), glyph(F.col("f"), 2, F.when(F.col("f") == "N", size).otherwise(F.lit(6.0)), shift, "Times"))
+    three = F.array(glyph(F.lit("x"), 0, size, F.lit(0.0), "CMMI10"), glyph(F.lit("("), 1, size, F.lit(0.0), "Times"), glyph(F.col("f"), 2, F.when(F.col("f") == "N", size).otherwise(F.lit(6.0)), shift, "Times"))
     return l.select("page", "piece", F.explode(three).alias("g")).select("page", "piece", "g.*")
 
 
+def _graphics(spark, d):
+    """A rule below every third word, upright ones at every seventh, shapes and images at others."""
+    l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("piece")).agg(F.max("l_quantity").alias("q"))
+    l = l.withColumn("x", F.col("piece") * 12.0).withColumn("y", F.floor(F.col("q") / 10) * 14.0)
+    box = lambda kind, x1, y0, y1, thin, curved: F.struct(F.lit(kind).alias("kind"), F.col("x").alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), F.lit(thin).alias("thin"), curved.alias("curved"))
+    no = F.lit(False)
+    rule = box("vector", F.col("x") + 11.5, F.col("y") + 11.0, F.col("y") + 11.5, True, no)
+    upright = box("vector", F.col("x") + 0.5, F.col("y"), F.col("y") + F.col("q"), True, no)
+    shape = box("vector", F.col("x") + F.col("q"), F.col("y"), F.col("y") + 9.0, False, F.col("q") > 45)
+    image = box("image", F.col("x") + 9.0, F.col("y"), F.col("y") + 9.0, False, no)
+    which = F.when(F.col("piece") % 3 == 0, rule).when(F.col("piece") % 7 == 1, upright).when(F.col("piece") % 5 == 0, shape).when(F.col("piece") % 11 == 0, image)
+    return l.withColumn("g", which).filter("g IS NOT NULL").select("page", "g.*", (F.col("page") % 50).alias("paper"))
+
+
 def line_gaps(spark, d):
     boxes = _glyphs(spark, d).groupBy("page", "piece").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     return gl.line_gaps(boxes, ["page"], "piece")
@@ -154,9 +167,8 @@ def text_rebuild(spark, d):
 
 
 def text_features(spark, d):
-    g = _glyphs(spark, d)
-    rules = g.groupBy("page", "piece").agg(F.min("x0").alias("x0"), (F.max("y1") + 1).alias("y0"), F.max("x1").alias("x1")).filter("piece % 3 = 0").withColumn("y1", F.col("y0") + 0.5).drop("piece")
-    return gl.layout_features(g, rules, ["page"])
+    graphics = _graphics(spark, d)
+    return gl.layout_features(_glyphs(spark, d), graphics, ["page"], gl.frame_columns(graphics, ["paper"], "page"), ["paper"])
 
 
 _E = "WITH e AS (SELECT event_id, user_id, event_type, value, ts, CAST(day(ts) AS INTEGER) AS day, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE) AS top FROM events)"
@@ -164,6 +176,30 @@ _B = """, a AS (SELECT user_id, day, top, min(event_id) AS anchor_id FROM e WHER
 n AS (SELECT *, coalesce(lead(day) OVER w, 31) AS next_day, coalesce(lead(top) OVER w, 86400) AS next_top FROM a WINDOW w AS (PARTITION BY user_id ORDER BY day, top)),
 b AS (SELECT * FROM (SELECT anchor_id, user_id, page, CASE WHEN page = day THEN top ELSE 0.0 END AS band_top, CASE WHEN page = next_day THEN next_top ELSE 86400.0 END AS band_bottom FROM (SELECT *, CAST(unnest(range(day, next_day + 1)) AS INTEGER) AS page FROM n)) WHERE band_bottom > band_top)"""
 
+_W = """WITH p AS (SELECT l_orderkey AS page, l_partkey AS piece, max(l_quantity) AS q, max(l_returnflag) AS f FROM lineitem GROUP BY ALL),
+w AS (SELECT *, 12.0 * piece AS x, 14.0 * floor(q / 10) AS y, CAST(dense_rank() OVER (PARTITION BY page ORDER BY floor(q / 10)) - 1 AS INTEGER) AS line,
+    CASE f WHEN 'A' THEN -4.0 WHEN 'R' THEN 4.0 ELSE 0.0 END AS up, CASE f WHEN 'N' THEN 10.0 ELSE 6.0 END AS s FROM p)"""
+_GLYPHS = """, g AS (SELECT *, row_number() OVER () AS glyph FROM (
+    SELECT page, line, piece, 'x' AS t, x AS x0, x + 3.5 AS x1, y AS y0, y + 10 AS y1, y + 8 AS b, 10.0 AS s, true AS math FROM w UNION ALL SELECT page, line, piece, '(', x + 4, x + 7.5, y, y + 10, y + 8, 10, false FROM w
+    UNION ALL SELECT page, line, piece, f, x + 8, x + 11.5, y + up, y + up + s, y + up + 8, s, false FROM w)),
+h AS (SELECT page, page % 50 AS paper, CASE WHEN piece % 3 = 0 THEN 'rule' WHEN piece % 7 = 1 THEN 'upright' WHEN piece % 5 = 0 THEN 'shape' WHEN piece % 11 = 0 THEN 'image' END AS kind, x, y, q, piece FROM w),
+fr AS (SELECT paper, x FROM h WHERE kind = 'upright' AND q > 0.5 GROUP BY ALL HAVING count(DISTINCT page) >= 3),
+hf AS (SELECT page, count(*) FILTER (kind = 'image') AS image_count, count(*) FILTER (kind = 'shape') AS vector_shape_count,
+    count(*) FILTER (kind = 'image') > 0 OR count(*) FILTER (kind = 'shape' AND q > 45) > 0 OR count(*) FILTER (kind = 'shape') >= 3 OR coalesce(sum(q * 9) FILTER (kind = 'shape'), 0) >= 400 AS has_figure,
+    count(*) FILTER (kind = 'upright' AND q >= 8 AND fr.x IS NULL) >= 2 AS has_table FROM h LEFT JOIN fr ON fr.paper = h.paper AND fr.x = h.x AND h.kind = 'upright' GROUP BY page),
+ru AS (SELECT h.page, h.piece, max(CASE WHEN math AND x1 > x AND x0 < x + 11.5 AND y1 BETWEEN y + 11 - 12 AND y + 12.5 THEN 1 ELSE 0 END) AS above, max(CASE WHEN math AND x1 > x AND x0 < x + 11.5 AND y0 BETWEEN y + 10 AND y + 23.5 THEN 1 ELSE 0 END) AS below,
+    max(CASE WHEN NOT math AND x0 >= x - 1 AND x1 <= x + 12.5 AND y1 BETWEEN y + 7 AND y + 12.5 THEN 1 ELSE 0 END) AS under FROM h JOIN g ON g.page = h.page WHERE h.kind = 'rule' GROUP BY ALL),
+rf AS (SELECT page, sum(above * below) AS fraction_bars, sum(under) AS underline_rules FROM ru GROUP BY page),
+df AS (SELECT page, count(*) AS deep_scripts FROM g WHERE s < 8.5 AND abs(b - (14.0 * round((b - 8) / 14) + 8)) > 6 GROUP BY page),
+li AS (SELECT page, line, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, max(s) AS s, avg(CASE WHEN math THEN 1.0 ELSE 0 END) AS share FROM g GROUP BY ALL),
+ls AS (SELECT *, (x1 - x0) < 0.45 * (max(x1) OVER v - min(x0) OVER v) AND share >= 0.6 AS short FROM li WINDOW v AS (PARTITION BY page)),
+st AS (SELECT page, count(*) FILTER (px0 < x1 AND x0 < px1 AND y0 - py1 BETWEEN 0 AND 6) AS stacked_math_lines FROM (SELECT *, lag(x0) OVER v AS px0, lag(x1) OVER v AS px1, lag(y1) OVER v AS py1 FROM ls WHERE short WINDOW v AS (PARTITION BY page ORDER BY line)) GROUP BY page),
+mr AS (SELECT a.page, count(DISTINCT a.line) AS matrix_rows FROM ls a JOIN ls c ON a.page = c.page AND a.line <> c.line AND abs((a.y0 + a.y1) / 2 - (c.y0 + c.y1) / 2) BETWEEN 1e-9 AND 1.6 * a.s
+    JOIN g ON g.page = c.page AND g.line = c.line AND g.t = '(' AND a.x0 - g.x1 BETWEEN -3 AND 25 WHERE a.short GROUP BY a.page),
+sg AS (SELECT page, count(*) AS stacked_glyphs FROM (SELECT DISTINCT a.page, a.glyph, c.glyph AS other FROM g a JOIN g c ON a.page = c.page AND a.glyph < c.glyph AND least(a.x1, c.x1) > greatest(a.x0, c.x0) AND least(a.x1, c.x1) - greatest(a.x0, c.x0) >= 0.4 * least(a.x1 - a.x0, c.x1 - c.x0)
+    JOIN g m ON m.page = a.page AND m.s >= 0.85 * greatest(a.s, c.s) AND abs(a.b - c.b) BETWEEN 0.75 * m.s AND 1.6 * m.s AND m.b BETWEEN least(a.b, c.b) + 0.25 * abs(a.b - c.b) AND greatest(a.b, c.b) - 0.25 * abs(a.b - c.b)
+    AND m.x1 >= least(a.x0, c.x0) - 40 AND m.x0 <= greatest(a.x1, c.x1) + 40) GROUP BY page)"""
+
 QUERIES = {f.__name__: f for f in (boilerplate_signatures, line_metrics, asof_owner, asof_owner_nested, question_bands, crop_extents, interval_bands, interval_overlap_pairs, level_neighbours, edition_diff, flatten_taxonomy, line_gaps, text_rebuild, text_features)}
 ORACLES = {
     "boilerplate_signatures": "SELECT md5(line) AS signature, count(DISTINCT doc_id) AS n_pages FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= greatest(3, floor((SELECT count(*) FROM documents) * 0.0005))",
@@ -182,5 +218,14 @@ ORACLES = {
         SELECT a.supplier, count(*) AS pairs, sum(least(a.e, b.e) - b.s) AS overlap FROM r a JOIN r b ON a.supplier = b.supplier AND (b.s > a.s OR b.s = a.s AND b.i > a.i) AND b.s < a.e WHERE least(a.e, b.e) - b.s >= 0.4 * least(a.e - a.s, b.e - b.s) GROUP BY 1""",
     "level_neighbours": "SELECT DISTINCT l_orderkey AS id, l_quantity AS quantity FROM lineitem a WHERE l_quantity < 10 AND EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_quantity <> a.l_quantity AND abs(b.l_quantity - a.l_quantity) <= 3)",
     "edition_diff": "SELECT doc_id, doc_id % 5 <> 0 AS identical, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS changed FROM documents",
+    "line_gaps": _W + """, b AS (SELECT page, piece, line, least(y, y + up) AS y0, greatest(y + 10, y + up + s) AS y1 FROM w), l AS (SELECT page, line, min(y0) - lag(max(y1)) OVER (PARTITION BY page ORDER BY line) AS gap FROM b GROUP BY page, line)
+        SELECT page, piece, line, gap FROM b JOIN l USING (page, line)""",
+    "text_rebuild": _W + """, t AS (SELECT page, line, piece, CASE WHEN lag(piece) OVER v IS NULL OR piece - lag(piece) OVER v = 1 THEN '' ELSE ' ' END AS sep, CASE f WHEN 'A' THEN '^A' WHEN 'R' THEN '_R' ELSE 'N' END AS f FROM w WINDOW v AS (PARTITION BY page, line ORDER BY piece)),
+        l AS (SELECT page, line, string_agg(concat(sep, 'x(', f), '' ORDER BY piece) AS text FROM t GROUP BY ALL)
+        SELECT page, CAST(count(*) AS INTEGER) AS n_lines, string_agg(text, chr(10) ORDER BY line) AS text FROM l GROUP BY page""",
+    "text_features": _W + _GLYPHS + """ SELECT page, true AS has_math, false AS has_code, CAST(coalesce(image_count, 0) AS INTEGER) AS image_count, CAST(coalesce(vector_shape_count, 0) AS INTEGER) AS vector_shape_count, coalesce(has_figure, false) AS has_figure, coalesce(has_table, false) AS has_table,
+        CAST(coalesce(fraction_bars, 0) AS INTEGER) AS fraction_bars, CAST(coalesce(stacked_math_lines, 0) AS INTEGER) AS stacked_math_lines, CAST(coalesce(stacked_glyphs, 0) AS INTEGER) AS stacked_glyphs, CAST(coalesce(matrix_rows, 0) AS INTEGER) AS matrix_rows,
+        CAST(coalesce(deep_scripts, 0) AS INTEGER) AS deep_scripts, 0 AS display_math_glyphs, CAST(coalesce(underline_rules, 0) AS INTEGER) AS underline_rules
+        FROM (SELECT DISTINCT page FROM w) LEFT JOIN hf USING (page) LEFT JOIN rf USING (page) LEFT JOIN df USING (page) LEFT JOIN st USING (page) LEFT JOIN mr USING (page) LEFT JOIN sg USING (page)""",
     "flatten_taxonomy": "SELECT CASE WHEN p_type IN ('PROMO', 'STANDARD') THEN 'GA' ELSE 'DA' END AS part, p_type AS section_id, p_brand AS cluster, p_partkey AS item_id, p_name AS label FROM part",
 }
