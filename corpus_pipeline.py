@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmill.llm import bytebpe, langid, linededup, nearcopies, winnow
-from tagmill.llm.common import materialise, read_table, without
+from tagmill.llm.common import discard, materialise, read_table, without, workspace
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language models reject go: texts without a letter, and those nearer to random letters than to any learned language."""
+    """Documents that the language models reject go: texts without a letter, and those nearer to random letters than to any
+    learned language."""
     return langid.accepted(docs, langid.train(langid.sample(docs)))
 
 
@@ -28,7 +29,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays. Documents without an id or words stay."""
+    """Of each class of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays.
+
+    Documents without an id or words stay."""
     classes = nearcopies.near_copies(docs)
     return without(docs, materialise(classes.filter("doc_id <> keep_id").select("doc_id"), "copies"))
 
@@ -57,7 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage has written for itself goes when its result is written, and that result when the
+    next one is."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before = docs
+        with workspace(spark):
+            docs = materialise(stage(spark, before, sf_dir), name, keep=True)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
