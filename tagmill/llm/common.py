@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
@@ -24,20 +26,60 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder of ``spark.checkpoint.dir``.
 
-    The setting is read from the session; only where it is unset (tests, a laptop) a temporary folder is set.
+    The setting is read from the session. Where it is unset, a temporary folder serves a session of one machine; on a
+    cluster that would be a folder that executors don't share, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tagmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives the loss of executors."""
+class _Open(threading.local):
+    """Per thread the open workspaces (what they delete), and which path a materialised table has."""
+
+    def __init__(self):
+        self.spaces: list[list[str]] = []
+        self.paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+_open = _Open()
+
+
+def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage and survives the loss of executors.
+
+    In a ``workspace`` the table lasts as long as that; with ``keep`` as long as the next one around it.
+    """
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _open.paths[out] = path
+    if len(_open.spaces) > keep:
+        _open.spaces[-1 - keep].append(path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for df in tables:
+        path = _open.paths.pop(df, None)
+        if path is not None:
+            drop_path(df.sparkSession, path)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """What is materialised in the block is deleted at its end, also if it fails."""
+    _open.spaces.append([])
+    try:
+        yield
+    finally:
+        for path in _open.spaces.pop():
+            drop_path(spark, path)
 
 
 @contextmanager

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import materialise
+from tagmill.llm.common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(now)
     while before[0]:
-        now = materialise(_small_star(_large_star(now)), "stars")
+        large = materialise(_large_star(now), "stars")
+        last, now = now, materialise(_small_star(large), "stars")
+        discard(large, last)
         after = mark(now)
         if after == before:
             break

@@ -6,7 +6,8 @@ verified by the sets themselves.
 
 The first way is quick and not complete: ``SEEDS`` fingerprints over two-word shingles, each searched by the byte-position
 index of ``simhash`` within ``max_bits``. It gives spanning trees of candidates, so some of its pairs are never looked at.
-It makes classes of most copies, in time that doesn't grow with the square of a group.
+It makes classes of most copies, in time that doesn't grow with the square of a group; more fingerprints would leave less
+to the second way, and change nothing in the result.
 
 The second way is complete. All shingles are put in one order, those that a sample of the texts shows to be frequent last.
 If n shingles of a text are to have c in common with another text, one of its first n - c + 1 is shared, so each text is
@@ -15,8 +16,11 @@ of either from there on is too short, which is safe at the first shingle that th
 already can't change a class and aren't looked at; all others are: first one of each two classes a shingle, to join groups with
 few pairs, then whatever is still between different classes.
 
-Texts with one set of shingles are one node from the start, so a group of copies of any size costs one fingerprint. A
-candidate pair moves two arrays of shingle hashes; only texts that are in a pair have theirs made.
+A candidate first moves two sketches: how many shingles of each set fall in each of about n / 4 bins by their hash. Sets
+can't share more than the smaller count of every bin, which most pairs of unlike texts don't pass. What passes moves both
+arrays of shingle hashes; only texts that are in such a pair have theirs made.
+
+Texts with one set of shingles are one node from the start, so a group of copies of any size costs one fingerprint.
 
 Null and empty texts have no shingles and no copies: each is a class of its own. Rows without an id are in no class.
 """
@@ -30,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import BROADCAST_IDS, materialise, slices, small_batches, tidy, two_columns
+from tagmill.llm.common import BROADCAST_IDS, materialise, slices, small_batches, tidy, two_columns, workspace
 from tagmill.llm.components import connected_components
 from tagmill.llm.simhash import LIST_SIZE, MAX_BITS, links
 from tagmill.llm.words import Words, grams
 
-SEEDS = 6
+SEEDS = 2
 CANDIDATE_WORDS = 2
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -48,6 +52,8 @@ HOT_SHINGLES = 500_000
 SEEN_NODES = 1 << 20
 #: Lists of this many entries at most are compared all at once by shifting, longer ones entry by entry.
 SMALL_LIST = 24
+#: Shingles of a bin of a sketch, about.
+BIN = 4
 
 
 def _shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +103,26 @@ def _node(x: np.ndarray) -> np.uint64:
         return (x * (x | np.uint64(1))).sum(dtype=np.uint64) ^ np.uint64(len(x))
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """How many of a set of shingles fall in each of a power of two of bins, by their highest bits."""
+    bits = max(len(x) // BIN, 1).bit_length() - 1
+    counts = np.bincount((x >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64), minlength=1 << bits)
+    return np.minimum(counts, 0xFFFF).astype("<u2").tobytes()
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """Shingles that two sets can share at most, by their sketches."""
+    one, two = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u2").astype(np.int64)
+    if len(one) != len(two):  # the finer one is made coarser
+        if len(one) > len(two):
+            one, two = two, one
+        two = two.reshape(len(one), -1).sum(1)
+    least = np.minimum(one, two)
+    return int(least.sum()) if not (least >= 0xFFFF).any() else 1 << 62
+
+
 def _nodes(docs: DataFrame, seeds: int, candidate_words: int, words: int) -> DataFrame:
-    """doc_id, node (a hash of the set of shingles), fps; texts without words and rows without an id are left out."""
+    """doc_id, node (a hash of the set of shingles), n (shingles), fps, sketch; texts without words and rows without an id are left out."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,19 +133,22 @@ def _nodes(docs: DataFrame, seeds: int, candidate_words: int, words: int) -> Dat
                 sets = shingle_set(w, words)
                 node = np.array([_node(x) for x in sets], np.uint64)
                 has = pa.array(np.diff(w.bounds) > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(fps.view(np.int64).ravel()), seeds).cast(pa.list_(pa.int64()))], ["doc_id", "node", "fps"]).filter(has)
+                listed = pa.FixedSizeListArray.from_arrays(pa.array(fps.view(np.int64).ravel()), seeds).cast(pa.list_(pa.int64()))
+                columns = [batch.column(0), pa.array(node.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), listed, pa.array([sketch(x) for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fps", "sketch"]).filter(has)
 
-    return docs.filter("doc_id IS NOT NULL").mapInArrow(tidy(run), f"doc_id {kind}, node bigint, fps array<bigint>")
+    return docs.filter("doc_id IS NOT NULL").mapInArrow(tidy(run), f"doc_id {kind}, node bigint, n int, fps array<bigint>, sketch binary")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, shingles: of one text a node."""
+    """node, shingles of the texts asked for; a text that has but the id of one that was asked for is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 sets = shingle_set(Words([(x or "").encode() for x in batch.column(1).to_pylist()]), words)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+                own = pa.array([int(_node(x).view(np.int64)) == node for x, node in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "shingles"]).filter(own)
 
     return docs.mapInArrow(tidy(run), "node bigint, shingles array<bigint>")
 
@@ -295,36 +322,64 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", seeds:
     """doc_id, keep_id (the smallest id of its class) of every document that has an id and words."""
     small_batches(docs.sparkSession)
     source = two_columns(docs, key, text)
-    made = materialise(_nodes(source, seeds, candidate_words, words), "nodes")
-    nodes = materialise(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps")), "distinct-nodes")
+    with workspace(docs.sparkSession):
+        made = materialise(_nodes(source, seeds, candidate_words, words), "nodes")
+        nodes = materialise(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")), "distinct-nodes")
+        true = _verified(source, nodes, _by_fingerprints(nodes, max_bits, list_size), similarity, words)
+        entries = _entries(source, words, similarity, _frequent(source, words)).repartition("shingle").sortWithinPartitions("shingle", "node")
+        entries = materialise(entries.mapInArrow(tidy(_shared), "shingle bigint, node bigint, n int, rest int"), "entries")
+        for one_each in (True, False):
+            true = true.unionByName(_verified(source, nodes, _by_prefixes(entries, true, similarity, one_each), similarity, words))
+        rooted = nodes.join(connected_components(true), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+        keep = rooted.groupBy("root").agg(F.min("least").alias("keep_id"))
+        classes = made.select("doc_id", "node").join(rooted.join(keep, "root").select("node", "keep_id"), "node")
+        return materialise(classes.select("doc_id", "keep_id"), "classes", keep=True)
+
+
+def _by_fingerprints(nodes: DataFrame, max_bits: int, list_size: int) -> DataFrame:
+    """Candidates a, b: nodes of one fingerprint with the first of them, and the first ones of linked fingerprints."""
     own = nodes.select("node", F.posexplode("fps").alias("seed", "fp")).withColumn("seed", F.col("seed").cast("bigint"))
     head = materialise(own.groupBy("seed", "fp").agg(F.min("node").alias("head")), "heads")
-    same = own.join(head, ["seed", "fp"]).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))  # nodes of one fingerprint pair with the first of them
+    same = own.join(head, ["seed", "fp"]).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     side = lambda c: head.select("seed", F.col("fp").alias(c), F.col("head").alias(f"h{c}"))
-    near = links(head.select("seed", "fp"), max_bits, list_size).join(side("a"), ["seed", "a"]).join(side("b"), ["seed", "b"]).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    true = _verified(source, nodes, same.unionByName(near), similarity, words)
-    entries = _entries(source, words, similarity, _frequent(source, words)).repartition("shingle").sortWithinPartitions("shingle", "node")
-    entries = materialise(entries.mapInArrow(tidy(_shared), "shingle bigint, node bigint, n int, rest int"), "entries")
-    for one_each in (True, False):
-        root = materialise(connected_components(true), "roots")
-        lists = entries.join(root, "node", "left").select("shingle", "node", "n", "rest", F.coalesce("root", "node").alias("root"))
-        lists = lists.repartition("shingle").sortWithinPartitions("shingle", "root", "node")
-        true = true.unionByName(_verified(source, nodes, lists.mapInArrow(tidy(_between(similarity, one_each)), "a bigint, b bigint"), similarity, words))
-    rooted = nodes.join(connected_components(true), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    keep = rooted.groupBy("root").agg(F.min("least").alias("keep_id"))
-    return made.join(rooted.join(keep, "root").select("node", "keep_id"), "node").select("doc_id", "keep_id")
+    near = links(head.select("seed", "fp"), max_bits, list_size).join(side("a"), ["seed", "a"]).join(side("b"), ["seed", "b"])
+    return same.unionByName(near.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
+
+
+def _by_prefixes(entries: DataFrame, true: DataFrame, similarity: float, one_each: bool) -> DataFrame:
+    """Candidates a, b that meet under a shingle and aren't of one class by the pairs known so far."""
+    root = materialise(connected_components(true), "roots")
+    lists = entries.join(root, "node", "left").select("shingle", "node", "n", "rest", F.coalesce("root", "node").alias("root"))
+    lists = lists.repartition("shingle").sortWithinPartitions("shingle", "root", "node")
+    return lists.mapInArrow(tidy(_between(similarity, one_each)), "a bigint, b bigint")
+
+
+def _can_reach(similarity: float):
+    """Over rows (a, b, na, nb, sa, sb): the pairs whose sketches allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared = np.fromiter(map(most_shared, batch.column(4).to_pylist(), batch.column(5).to_pylist()), np.int64, batch.num_rows)
+            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array(shared >= _needed(n, similarity)))
+
+    return run
 
 
 def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
     """The pairs a, b of nodes whose sets of shingles are similar enough."""
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    where = materialise(nodes.join(asked, "node", "left_semi").select("node", F.col("least").alias("__id")), "asked")
-    few = where.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    # a repeated id may bring another text along; its set doesn't hash to the node, so the smallest hash decides alone
-    texts = source.join(F.broadcast(where) if few else where, source["doc_id"] == where["__id"]).select("node", "text")
-    sets = materialise(_sets(texts, words).dropDuplicates(["node"]), "sets")
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    jaccard = both / (F.size("sa") + F.size("sb") - both)
-    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").filter(jaccard >= similarity).select("a", "b"), "true-pairs")
+    with workspace(source.sparkSession):
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+        pairs = materialise(pairs.mapInArrow(tidy(_can_reach(similarity)), "a bigint, b bigint"), "pairs")
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        where = materialise(nodes.join(asked, "node", "left_semi").select("node", F.col("least").alias("__id")), "asked")
+        few = where.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        # a repeated id may bring another text along, which _sets leaves out
+        texts = source.join(F.broadcast(where) if few else where, source["doc_id"] == where["__id"]).select("node", "text")
+        sets = materialise(_sets(texts, words).dropDuplicates(["node"]), "sets")
+        side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        jaccard = both / (F.size("sa") + F.size("sb") - both)
+        return materialise(pairs.join(side("a"), "a").join(side("b"), "b").filter(jaccard >= similarity).select("a", "b"), "true-pairs", keep=True)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import materialise, slices, small_batches, tidy, two_columns
+from tagmill.llm.common import discard, materialise, slices, small_batches, tidy, two_columns, workspace
 from tagmill.llm.components import connected_components
 
 SHINGLE = 4
@@ -214,6 +214,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, list_size: int = LIST_S
     if "seed" not in distinct.columns:
         distinct = distinct.select(F.lit(0).cast("bigint").alias("seed"), "fp")
     found: DataFrame | None = None
+    held: DataFrame | None = None
     masks = [_mask(p) for p in position_sets(max_bits)]
     entries = distinct.select("seed", F.explode(F.array(*(F.lit(m).cast("bigint") for m in masks))).alias("mask"), "fp")
     while True:
@@ -225,7 +226,9 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, list_size: int = LIST_S
         long = done.filter("long").select("seed", F.col("a").alias("mask"), F.col("b").alias("list"))
         if long.isEmpty():
             return found.distinct()
-        held = materialise(entries.join(long, ["seed", "mask", "list"], "left_semi"), "long-lists")
+        held, last = materialise(entries.join(long, ["seed", "mask", "list"], "left_semi"), "long-lists"), held
+        if last is not None:
+            discard(last)
         entries = held.select("seed", "mask", "fp").mapInArrow(_deal_again(max_bits + 1), "seed bigint, mask bigint, fp bigint").distinct()
 
 
@@ -244,10 +247,11 @@ def _deal_again(parts: int):
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, list_size: int = LIST_SIZE) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach)."""
-    made = materialise(fingerprints(docs, key, text, shingle), "fingerprints")
-    distinct = materialise(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    joined = connected_components(links(distinct.select("fp"), max_bits, list_size).select("a", "b")).withColumnRenamed("node", "fp")
-    rooted = distinct.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(component, "root").select("fp", "component_id")
-    return made.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with workspace(docs.sparkSession):
+        made = materialise(fingerprints(docs, key, text, shingle), "fingerprints")
+        distinct = materialise(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        joined = connected_components(links(distinct.select("fp"), max_bits, list_size).select("a", "b")).withColumnRenamed("node", "fp")
+        rooted = distinct.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        of = rooted.join(component, "root").select("fp", "component_id")
+        return materialise(made.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "near-duplicates", keep=True)
