@@ -24,15 +24,41 @@ def _blocks(rows: DataFrame, id_: str, vector: str, group: str, n_blocks: int, n
     return rows.groupBy("part", F.pmod(F.xxhash64(id_), F.lit(n_blocks)).alias(f"{name}_block")).agg(packed.alias(name))
 
 
+def all_scores(queries: DataFrame, candidates: DataFrame, id_: str = "id", vector: str = "vector") -> DataFrame:
+    """part, id, other, score: every candidate of the same part but the row itself. For few candidates, such as the items of a part."""
+    return _compared(queries, candidates, None, id_, vector, None)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_: str = "id", vector: str = "vector", group: str | None = None) -> DataFrame:
     """part, id, other, score, rank: the k most similar candidates of the same part, never the row itself.
 
     With ``group``, candidates of the query's own group don't count. Vectors are taken as they are: unit vectors give cosines.
     """
+    found = _compared(queries, candidates, k, id_, vector, group)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores of each row, ties to the smaller id, in any order; also more, where many are equal."""
+    if scores.shape[1] <= k:
+        return np.isfinite(scores)
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k, None]  # the k-th largest
+    keep = scores > least
+    for row in np.flatnonzero((scores >= least).sum(1) >= k):  # of those that equal it, the smallest ids
+        equal = np.flatnonzero(scores[row] == least[row])
+        keep[row, equal[np.argsort(ids[equal], kind="stable")[: k - int(keep[row].sum())]]] = True
+    return keep & np.isfinite(scores)
+
+
+def _compared(queries: DataFrame, candidates: DataFrame, k: int | None, id_: str, vector: str, group: str | None) -> DataFrame:
+    """part, id, other, score: of each two blocks the best k, or all."""
     group = group or "__none"
     if group == "__none":
         queries, candidates = (x.withColumn(group, F.lit(side)) for x, side in ((queries, -1), (candidates, -2)))
-    n = max(1, -(-candidates.count() // BLOCK))
+    # blocks follow the largest part; smaller parts have smaller blocks
+    largest = candidates.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    n = max(1, -(-largest // BLOCK))
     pairs = _blocks(queries, id_, vector, group, n, "q").join(_blocks(candidates, id_, vector, group, n, "c"), "part")
     kind = dict(queries.dtypes)["part"]
 
@@ -47,15 +73,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_: str = "id", ve
                 scores = np.round(q @ c.T, DIGITS)
                 out = (ids[0][:, None] == ids[1][None, :]) | (groups[0][:, None] == groups[1][None, :])
                 scores[out] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids[1], scores.shape), -scores), axis=1)[:, :k]
-                best = np.take_along_axis(scores, order, 1)
-                ok = np.isfinite(best)
-                at = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([part] * len(at[0])) if len(at[0]) else part.slice(0, 0), pa.array(ids[0][at[0]]), pa.array(ids[1][order[ok]]), pa.array(best[ok])], ["part", "id", "other", "score"])
+                keep = np.isfinite(scores) if k is None else _best(scores, ids[1], k)
+                at = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([part] * len(at[0])) if len(at[0]) else part.slice(0, 0), pa.array(ids[0][at[0]]), pa.array(ids[1][at[1]]), pa.array(scores[keep])], ["part", "id", "other", "score"])
 
-    found = pairs.select("part", "q", "c").mapInArrow(run, f"part {kind}, id bigint, other bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return pairs.select("part", "q", "c").mapInArrow(run, f"part {kind}, id bigint, other bigint, score double")
 
 
 def folds(rows: DataFrame, stratum: str, id_: str, n: int, seed: int) -> DataFrame:

@@ -10,6 +10,7 @@ from tagmill.functions.stats import gamma_interval
 from tagmill.operators import forecast as f
 from tagmill.operators import weightage as w
 from tagmill.plans.binding import YEARS, ctes, items, records
+from tagmill.sources.scratch import written
 
 C = ctes()
 ALPHAS = (1.0, 2.0, 5.0, 10.0, 20.0)
@@ -76,8 +77,9 @@ def dirichlet_marks(spark, d):
 def dirichlet_backtest(spark, d):
     """Root mean squared error of each estimator of a unit's marks in a year that was held out."""
     m = len(YEARS) - 1
-    held = _unit_years(spark, d).withColumn("held", F.explode(F.array(*map(F.lit, YEARS))))
+    held = written(_unit_years(spark, d), "unit-years").withColumn("held", F.explode(F.array(*map(F.lit, YEARS))))
     per = held.groupBy("held", "unit_id", "section_id", "items").agg(F.sum(F.when(F.col("year") != F.col("held"), F.col("m")).otherwise(0)).alias("total"), F.sum(F.when(F.col("year") == F.col("held"), F.col("m")).otherwise(0)).alias("actual"))
+    per = written(per, "held-units")
     grid = F.explode(F.array(*(F.struct(F.lit(n).alias("estimator"), F.lit(a).alias("alpha")) for n, a in [*((f"dirichlet {a:g}", a) for a in ALPHAS), ("breadth", 1e9)])))
     smooth = f.dirichlet(per.withColumn("g", grid).select("*", "g.estimator", "g.alpha"), F.col("alpha"), m, ["held", "estimator"]).select("estimator", "actual", F.col("expected_marks").alias("e"))
     mean = per.select(F.lit("unit mean").alias("estimator"), "actual", (F.col("total") / m).alias("e"))
@@ -89,8 +91,9 @@ def _item_estimates(spark, d, per):
     """Item forecasts refitted without the held-out year, times the section's marks per question, summed per unit."""
     m = len(YEARS) - 1
     r, i = records(spark, d), items(spark, d)
-    long = _long(spark, d).withColumn("held", F.explode(F.array(*map(F.lit, YEARS))))
+    long = written(_long(spark, d), "item-years").withColumn("held", F.explode(F.array(*map(F.lit, YEARS))))
     totals = long.groupBy("held", "part", "section_id", "unit_id", "item_id").agg(F.sum(F.when(F.col("year") != F.col("held"), F.col("n")).otherwise(0)).alias("total"))
+    totals = written(totals, "held-totals")
     post = f.posterior(totals, f.fit_grid(totals, m, ["held", "part"]), m, ["held", "part"])
     sections = r.select(F.col("primary").alias("item_id"), "year", "marks").join(i.select("item_id", "section_id"), "item_id").withColumn("held", F.explode(F.array(*map(F.lit, YEARS)))).filter("year <> held").groupBy("held", "section_id").agg((F.sum("marks") / F.count(F.lit(1))).alias("each"))
     units = post.join(sections, ["held", "section_id"], "left").groupBy("held", "unit_id").agg(F.sum(F.col("expected_questions") * F.coalesce("each", F.lit(1.5))).alias("e"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagmill.operators import evaluation, vectors
 from tagmill.plans.binding import table
+from tagmill.sources.scratch import written
 
 GRID = [(w, t) for w in (0.25, 0.5, 0.75, 1.0) for t in (0.02, 0.05)]
 
@@ -22,8 +23,8 @@ def _items(rows):
 
 
 def _all_scores(rows, items):
-    """Similarity of every row to every item of its part: more than the items of a part are never asked for."""
-    return vectors.top_k(rows, items, 1000).withColumnRenamed("other", "item")
+    """Similarity of every row to every item of its part."""
+    return vectors.all_scores(rows, items).withColumnRenamed("other", "item")
 
 
 def zero_shot_topk(spark, d):
@@ -59,8 +60,8 @@ def knn_blend(spark, d):
 
 def _grid_accuracy(spark, d):
     """Accuracy of every setting on the inner folds of every outer training set."""
-    rows = _labelled(spark, d).withColumn("inner", F.pmod(F.floor(F.col("id") / 5), F.lit(4)))
-    sims = _all_scores(rows, _items(rows)).select("id", "item", "score")
+    rows = written(_labelled(spark, d).withColumn("inner", F.pmod(F.floor(F.col("id") / 5), F.lit(4))), "labelled")
+    sims = written(_all_scores(rows, _items(rows)).select("id", "item", "score"), "scores")
     grid = F.explode(F.array(*(F.struct(F.lit(i).alias("g"), F.lit(w).alias("w"), F.lit(t).alias("t")) for i, (w, t) in enumerate(GRID))))
     per_fold = []
     for fold in range(5):

@@ -29,9 +29,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, key: st
         return rows
     from tagmill.operators.ordering import latest
 
-    # the reading order of a file: its name, then the row's place in it
-    placed = rows.select("*", F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n")).alias("__at"))
-    return latest(placed, [key], "__at").drop("__at").select(*rows.columns)
+    # a line's place: its file, where the task's part of the file begins, and the line's number in the task, which has the
+    # partition's number in its upper bits; of two lines of one part the partition is the same
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
+    return latest(rows.select("*", place.alias("__at")), [key], "__at").drop("__at").select(*rows.columns)
 
 
 def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
@@ -85,6 +86,20 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "file STRING, row BIGINT, vector ARRAY<FLOAT>")
 
 
+def write_npy(rows: DataFrame, path: str, id_: str = "id", vector: str = "vector") -> int:
+    """Vectors in order of their ids as one .npy file of 32-bit numbers, and the ids beside it (path + ``.ids.json``).
+
+    One file is one machine's matter, so rows are streamed through the driver; returns how many there were.
+    """
+    ids, vectors = [], []
+    for r in rows.select(id_, vector).orderBy(id_).toLocalIterator():
+        ids.append(r[0])
+        vectors.append(np.asarray(r[1], np.float32))
+    np.save(path, np.stack(vectors) if vectors else np.empty((0, 0), np.float32), allow_pickle=False)
+    Path(f"{path}.ids.json").write_text(json.dumps(ids), encoding="utf-8")
+    return len(ids)
+
+
 def read_documents(spark: SparkSession, path: str, signature: bytes = b"%PDF") -> DataFrame:
     """Raw files with checksum and whether they begin as they should."""
     raw = spark.read.format("binaryFile").load(path)
@@ -120,3 +135,40 @@ def markdown_table(rows: DataFrame, columns: Sequence[str] | None = None) -> str
 
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
     return "\n".join(lines + ["| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in rows.select(*columns).collect()])
+
+
+#: Kinds of a plan's rows as its report calls them, in the order of a week.
+PLAN_KINDS = {"learn": "Learn", "revise": "Revise", "mock": "Mock exam", "target": "Weak spots", "finish": "Finished, practise with"}
+
+
+def write_plan(plan: DataFrame, calendar: DataFrame, folder: str, labels: dict[str, str] | None = None) -> tuple[str, str]:
+    """One profile's plan as ``plan.md`` and ``plan.json``; returns both paths. labels: names of units."""
+    name = (labels or {}).get
+    weeks = [r.asDict() for r in calendar.select("week", "week_start", "week_end", "phase", "capacity").orderBy("week").collect()]
+    blocks: dict[int, list[dict]] = {}
+    for r in plan.select("week", "kind", "unit_id", "plan_hours", "practice").orderBy("week", "kind", "unit_id").collect():
+        blocks.setdefault(r["week"], []).append(r.asDict())
+    text = ["# Weekly plan", ""]
+    for w in weeks:
+        own = blocks.get(w["week"], [])
+        hours = sum(b["plan_hours"] for b in own)
+        text += [f"## Week {w['week'] + 1}: {w['week_start']} to {w['week_end']} ({w['phase']}, {hours:g} of {w['capacity']:g} h)", ""]
+        for kind, title in PLAN_KINDS.items():
+            of_kind = [b for b in own if b["kind"] == kind]
+            if of_kind:
+                text.append(f"- {title}: " + "; ".join(f"{name(b['unit_id'], b['unit_id'])} " + (b["practice"] or "nothing" if kind == "finish" else f"{b['plan_hours']:g} h") for b in of_kind))
+        text.append("")
+    root = Path(folder)
+    root.mkdir(parents=True, exist_ok=True)
+    (root / "plan.md").write_text("\n".join(text), encoding="utf-8")
+    data = [{**{k: str(v) if k.startswith("week_") else v for k, v in w.items()}, "blocks": [{k: v for k, v in b.items() if k != "week"} for b in blocks.get(w["week"], [])]} for w in weeks]
+    (root / "plan.json").write_text(json.dumps(data, ensure_ascii=False, indent=1), encoding="utf-8")
+    return str(root / "plan.md"), str(root / "plan.json")
+
+
+def report(title: str, sections: dict[str, tuple[str, DataFrame]]) -> str:
+    """A Markdown report: heading -> (what the table shows, a small frame)."""
+    parts = [f"# {title}"]
+    for heading, (text, frame) in sections.items():
+        parts += [f"## {heading}", text, markdown_table(frame)]
+    return "\n\n".join(parts) + "\n"

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagmill.sources import files
+from tagmill.sources import fetch, files
 from tagmill.streaming.totals import running_totals, windowed_counts
 
 
@@ -74,3 +74,58 @@ def test_totals_take_only_what_is_new(spark, tmp_path):
 def test_windows(spark):
     f = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS t, 'a' AS k UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a' UNION ALL SELECT timestamp'2024-01-01 01:00:00', 'a'")
     assert sorted(r.n for r in windowed_counts(f, "t", "k").collect()) == [1, 2]
+
+
+def test_download_tries_again():
+    waits, answers = [], [OSError("down"), OSError("down"), b"body"]
+
+    def get(url):
+        x = answers.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert fetch.download("u", get, waits.append) == b"body" and waits == [2.0, 4.0]
+    answers += [OSError("a"), OSError("b"), OSError("last")]
+    with pytest.raises(OSError, match="last"):
+        fetch.download("u", get, waits.append)
+
+
+def test_mirrors(tmp_path):
+    web = {"a": b"%PDF one", "b": b"%PDF one", "c": b"<html>", "d": b"%PDF two"}
+
+    def get(url):
+        if url not in web:
+            raise OSError("not there")
+        return web[url]
+
+    made = fetch.fetch_all({"x.pdf": ["e", "c", "a", "b"]}, str(tmp_path / "raw"), get)
+    assert (tmp_path / "raw" / "x.pdf").read_bytes() == b"%PDF one" and [m["ok"] for m in made[0]["mirrors"]] == [False, False, True, True]
+    for urls in (["a", "d"], ["c", "e"], []):
+        with pytest.raises(ValueError):
+            fetch.agreed(urls, get)
+
+
+def test_folder_and_store(tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "x").write_text("1")
+    (tmp_path / "to").mkdir()
+    (tmp_path / "to" / "old").write_text("1")
+    assert fetch.replace_folder(str(tmp_path / "a"), str(tmp_path / "to")) == 1 and not (tmp_path / "to" / "old").exists()
+    store = fetch.Store(str(tmp_path / "s" / "store.json"))
+    assert store.get("k") is None and store.put("k", [1]) and store.get("k") == [1] and not store.put("k", object())
+    (tmp_path / "s" / "store.json").write_text("{broken")
+    assert store.get("k", 5) == 5 and not fetch.Store(str(tmp_path)).put("k", 1)
+
+
+def test_npy_and_plan(spark, tmp_path):
+    rows = spark.createDataFrame([(2, [0.5, 1.0]), (1, [2.0, 3.0])], "id INT, vector ARRAY<DOUBLE>")
+    assert files.write_npy(rows, str(tmp_path / "v.npy")) == 2
+    assert [list(r.vector) for r in files.read_npy(spark, f"file://{tmp_path}/v.npy").orderBy("row").collect()] == [[2.0, 3.0], [0.5, 1.0]]
+    plan = spark.createDataFrame([(0, "learn", "u", 2.5, None), (0, "finish", "u", 0.0, "q1,q2"), (1, "mock", "m", 5.0, None)], "week INT, kind STRING, unit_id STRING, plan_hours DOUBLE, practice STRING")
+    calendar = spark.createDataFrame([(0, "2001-01-01", "2001-01-07", "learn", 3.0), (1, "2001-01-08", "2001-01-10", "final", 6.0)], "week INT, week_start STRING, week_end STRING, phase STRING, capacity DOUBLE")
+    md, js = files.write_plan(plan, calendar, str(tmp_path / "plan"), {"u": "Unit"})
+    text = open(md).read()
+    assert "Week 1: 2001-01-01 to 2001-01-07 (learn, 2.5 of 3 h)" in text and "- Learn: Unit 2.5 h" in text and "practise with: Unit q1,q2" in text
+    assert [w["blocks"][0]["kind"] for w in json.load(open(js))] == ["finish", "mock"]
+    assert files.report("T", {"S": ("What.", plan.select("week"))}).startswith("# T\n\n## S\n\nWhat.\n\n| week |")
