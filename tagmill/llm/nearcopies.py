@@ -20,7 +20,8 @@ A candidate first moves two sketches: how many shingles of each set fall in each
 can't share more than the smaller count of every bin, which most pairs of unlike texts don't pass. What passes moves both
 arrays of shingle hashes; only texts that are in such a pair have theirs made.
 
-Texts with one set of shingles are one node from the start, so a group of copies of any size costs one fingerprint.
+Texts with one set of shingles are one node from the start, so a group of copies of any size costs one fingerprint. Sets are
+told apart by 128 bits; where unlike ones agree in the first 64, which name a node, all but one get another name.
 
 Null and empty texts have no shingles and no copies: each is a class of its own. Rows without an id are in no class.
 """
@@ -52,6 +53,8 @@ HOT_SHINGLES = 500_000
 SEEN_NODES = 1 << 20
 #: Lists of this many entries at most are compared all at once by shifting, longer ones entry by entry.
 SMALL_LIST = 24
+#: Hashes of 64 bits that unlike sets share, at most: two or three are to be expected among 10^10 texts, this many among 10^12.
+CLASHES = 30_000
 #: Shingles of a bin of a sketch, about.
 BIN = 4
 
@@ -103,6 +106,21 @@ def _node(x: np.ndarray) -> np.uint64:
         return (x * (x | np.uint64(1))).sum(dtype=np.uint64) ^ np.uint64(len(x))
 
 
+def _check(x: np.ndarray) -> np.uint64:
+    """Another hash of a set of shingles; sets that agree in both are taken to be one."""
+    with np.errstate(over="ignore"):
+        return ((x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
+
+
+def _name(x: np.ndarray, clash: dict[int, int]) -> np.uint64:
+    """The node of a set. clash: hashes that unlike sets have -> the check of the one that keeps it."""
+    h = _node(x)
+    if clash and int(h) in clash and (c := _check(x)) != clash[int(h)]:
+        with np.errstate(over="ignore"):
+            return (h ^ c) * np.uint64(0x9E3779B97F4A7C15) ^ c
+    return h
+
+
 def sketch(x: np.ndarray) -> bytes:
     """How many of a set of shingles fall in each of a power of two of bins, by their highest bits."""
     bits = max(len(x) // BIN, 1).bit_length() - 1
@@ -121,8 +139,8 @@ def most_shared(a: bytes, b: bytes) -> int:
     return int(least.sum()) if not (least >= 0xFFFF).any() else 1 << 62
 
 
-def _nodes(docs: DataFrame, seeds: int, candidate_words: int, words: int) -> DataFrame:
-    """doc_id, node (a hash of the set of shingles), n (shingles), fps, sketch; texts without words and rows without an id are left out."""
+def _nodes(docs: DataFrame, seeds: int, candidate_words: int, words: int, clash: dict[int, int]) -> DataFrame:
+    """doc_id, node (a hash of the set of shingles), check (another one), n (shingles), fps, sketch; texts without words and rows without an id are left out."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,23 +149,23 @@ def _nodes(docs: DataFrame, seeds: int, candidate_words: int, words: int) -> Dat
                 w = Words([(x or "").encode() for x in batch.column(1).to_pylist()])
                 fps = fingerprints_of(w, candidate_words, seeds)
                 sets = shingle_set(w, words)
-                node = np.array([_node(x) for x in sets], np.uint64)
+                node, check = (np.array([f(x) for x in sets], np.uint64).view(np.int64) for f in (lambda x: _name(x, clash), _check))
                 has = pa.array(np.diff(w.bounds) > 0)
                 listed = pa.FixedSizeListArray.from_arrays(pa.array(fps.view(np.int64).ravel()), seeds).cast(pa.list_(pa.int64()))
-                columns = [batch.column(0), pa.array(node.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), listed, pa.array([sketch(x) for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fps", "sketch"]).filter(has)
+                columns = [batch.column(0), pa.array(node), pa.array(check), pa.array([len(x) for x in sets], pa.int32()), listed, pa.array([sketch(x) for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "check", "n", "fps", "sketch"]).filter(has)
 
-    return docs.filter("doc_id IS NOT NULL").mapInArrow(tidy(run), f"doc_id {kind}, node bigint, n int, fps array<bigint>, sketch binary")
+    return docs.filter("doc_id IS NOT NULL").mapInArrow(tidy(run), f"doc_id {kind}, node bigint, check bigint, n int, fps array<bigint>, sketch binary")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, words: int, clash: dict[int, int]) -> DataFrame:
     """node, shingles of the texts asked for; a text that has but the id of one that was asked for is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 sets = shingle_set(Words([(x or "").encode() for x in batch.column(1).to_pylist()]), words)
-                own = pa.array([int(_node(x).view(np.int64)) == node for x, node in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+                own = pa.array([int(_name(x, clash).view(np.int64)) == node for x, node in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "shingles"]).filter(own)
 
     return docs.mapInArrow(tidy(run), "node bigint, shingles array<bigint>")
@@ -183,7 +201,7 @@ def prefix(shingles: np.ndarray, hot: np.ndarray, rank: np.ndarray, similarity:
     return shingles[: n - int(np.ceil(similarity * n - 1e-6)) + 1]
 
 
-def _entries(docs: DataFrame, words: int, similarity: float, hot: np.ndarray) -> DataFrame:
+def _entries(docs: DataFrame, words: int, similarity: float, hot: np.ndarray, clash: dict[int, int]) -> DataFrame:
     """shingle, node, n (shingles of the node), rest (how many there are from this one on): the prefixes of all texts."""
     order = np.argsort(hot)
     shared = docs.sparkSession.sparkContext.broadcast((hot[order], order))
@@ -195,7 +213,7 @@ def _entries(docs: DataFrame, words: int, similarity: float, hot: np.ndarray) ->
             for batch in slices(whole, "text", 1 << 20):
                 out: list[tuple] = []
                 for x in shingle_set(Words([(t or "").encode() for t in batch.column(0).to_pylist()]), words):
-                    if not len(x) or (node := int(_node(x))) in seen:
+                    if not len(x) or (node := int(_name(x, clash))) in seen:
                         continue
                     if len(seen) < SEEN_NODES:
                         seen.add(node)
@@ -323,14 +341,27 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", seeds:
     small_batches(docs.sparkSession)
     source = two_columns(docs, key, text)
     with workspace(docs.sparkSession):
-        made = materialise(_nodes(source, seeds, candidate_words, words), "nodes")
-        nodes = materialise(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")), "distinct-nodes")
-        true = _verified(source, nodes, _by_fingerprints(nodes, max_bits, list_size), similarity, words)
-        entries = _entries(source, words, similarity, _frequent(source, words)).repartition("shingle").sortWithinPartitions("shingle", "node")
+        clash: dict[int, int] = {}
+        while True:
+            made = materialise(_nodes(source, seeds, candidate_words, words, clash), "nodes")
+            nodes = made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("check").alias("lo"), F.max("check").alias("hi"), *(F.first(c).alias(c) for c in ("n", "fps", "sketch")))
+            nodes = materialise(nodes, "distinct-nodes")
+            unlike = nodes.filter("lo <> hi").select("node", "lo").limit(CLASHES + 1).collect()
+            if not unlike:
+                break
+            if len(unlike) > CLASHES:
+                raise ValueError("far more equal hashes of unlike texts than can be")
+            clash |= {r["node"] % (1 << 64): r["lo"] % (1 << 64) for r in unlike}
+        verified = lambda pairs: _verified(source, nodes, pairs, similarity, words, clash)
+        true = verified(_by_fingerprints(nodes, max_bits, list_size))
+        root = connected_components(true)
+        entries = _entries(source, words, similarity, _frequent(source, words), clash).repartition("shingle").sortWithinPartitions("shingle", "node")
         entries = materialise(entries.mapInArrow(tidy(_shared), "shingle bigint, node bigint, n int, rest int"), "entries")
         for one_each in (True, False):
-            true = true.unionByName(_verified(source, nodes, _by_prefixes(entries, true, similarity, one_each), similarity, words))
-        rooted = nodes.join(connected_components(true), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+            found = verified(_by_prefixes(entries, root, similarity, one_each))
+            if not found.isEmpty():
+                root = connected_components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+        rooted = nodes.join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
         keep = rooted.groupBy("root").agg(F.min("least").alias("keep_id"))
         classes = made.select("doc_id", "node").join(rooted.join(keep, "root").select("node", "keep_id"), "node")
         return materialise(classes.select("doc_id", "keep_id"), "classes", keep=True)
@@ -346,9 +377,8 @@ def _by_fingerprints(nodes: DataFrame, max_bits: int, list_size: int) -> DataFra
     return same.unionByName(near.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
 
 
-def _by_prefixes(entries: DataFrame, true: DataFrame, similarity: float, one_each: bool) -> DataFrame:
-    """Candidates a, b that meet under a shingle and aren't of one class by the pairs known so far."""
-    root = materialise(connected_components(true), "roots")
+def _by_prefixes(entries: DataFrame, root: DataFrame, similarity: float, one_each: bool) -> DataFrame:
+    """Candidates a, b that meet under a shingle and aren't of one class (root) by the pairs known so far."""
     lists = entries.join(root, "node", "left").select("shingle", "node", "n", "rest", F.coalesce("root", "node").alias("root"))
     lists = lists.repartition("shingle").sortWithinPartitions("shingle", "root", "node")
     return lists.mapInArrow(tidy(_between(similarity, one_each)), "a bigint, b bigint")
@@ -366,7 +396,7 @@ def _can_reach(similarity: float):
     return run
 
 
-def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, words: int, clash: dict[int, int]) -> DataFrame:
     """The pairs a, b of nodes whose sets of shingles are similar enough."""
     with workspace(source.sparkSession):
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -378,7 +408,7 @@ def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity:
         few = where.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         # a repeated id may bring another text along, which _sets leaves out
         texts = source.join(F.broadcast(where) if few else where, source["doc_id"] == where["__id"]).select("node", "text")
-        sets = materialise(_sets(texts, words).dropDuplicates(["node"]), "sets")
+        sets = materialise(_sets(texts, words, clash).dropDuplicates(["node"]), "sets")
         side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
         both = F.size(F.array_intersect("sa", "sb"))
         jaccard = both / (F.size("sa") + F.size("sb") - both)

@@ -81,6 +81,33 @@ def test_odd_rows(spark):
     assert nearcopies.near_copies(spark.createDataFrame([], "doc_id BIGINT, text STRING")).count() == 0
 
 
+def test_equal_hashes_of_unlike_texts(spark, texts, monkeypatch):
+    """With names of six bits nearly every node clashes, and the classes are the same."""
+    rows = spark.createDataFrame(texts, "doc_id BIGINT, text STRING")
+    want = sorted(map(tuple, nearcopies.near_copies(rows).collect()))
+    plain = nearcopies._node
+    monkeypatch.setattr(nearcopies, "_node", lambda x: plain(x) & np.uint64(63))
+    w = Words([t.encode() for _, t in texts])
+    sets = nearcopies.shingle_set(w, 5)
+    clash = {}
+    for x in sets:
+        clash.setdefault(int(nearcopies._node(x)), int(nearcopies._check(x)))
+    names = {int(nearcopies._name(x, clash)) for x in sets}
+    assert len(names) == len({x.tobytes() for x in sets}) > len({int(nearcopies._node(x)) for x in sets})
+    assert sorted(map(tuple, nearcopies.near_copies(rows).collect())) == want
+
+
+def test_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 4, 9, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+        for m in (0, n // 2, n):
+            b = np.unique(np.concatenate([a[:m], rng.integers(0, 1 << 63, max(2 * n - m, 1), np.uint64)]))
+            shared = len(np.intersect1d(a, b))
+            assert shared <= nearcopies.most_shared(nearcopies.sketch(a), nearcopies.sketch(b)) == nearcopies.most_shared(nearcopies.sketch(b), nearcopies.sketch(a))
+        assert nearcopies.most_shared(nearcopies.sketch(a), nearcopies.sketch(a)) == len(a)
+
+
 def edited(base, places):
     """The words with new ones at the places."""
     return [f"new{p}" if p in places else w for p, w in enumerate(base)]
