@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
+import textwrap
 
 import numpy as np
 import pytest
@@ -170,3 +173,35 @@ def test_empty_stream(spark, tmp_path):
     path = f"{tmp_path}/t.parquet"
     spark.createDataFrame([], "doc_id BIGINT, text STRING").write.parquet(path)
     assert streamdedup.deduplicate(spark, path).count() == 0
+
+
+def test_local_disk_of_many_state_stores(data, tmp_path):
+    """211 shuffle partitions: what executors keep in their own folder stays small, as stores reserve nothing."""
+    code = f"""
+        import os, threading, time
+        from pyspark.sql import SparkSession
+        from tagmill.llm import streamdedup
+        local = "{tmp_path}/local"
+        spark = SparkSession.builder.master("local[4]").config("spark.local.dir", local).config("spark.sql.shuffle.partitions", "211").config("spark.sql.adaptive.enabled", "false").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+        most, done = [0], []
+        def watch():
+            while not done:
+                size = 0
+                for d, _, names in os.walk(local):
+                    for n in names:
+                        try:
+                            size += os.stat(os.path.join(d, n)).st_blocks * 512
+                        except OSError:
+                            pass
+                most[0] = max(most[0], size)
+                time.sleep(0.2)
+        t = threading.Thread(target=watch)
+        t.start()
+        rows = streamdedup.deduplicate(spark, "{data}/documents.parquet").count()
+        done.append(1)
+        t.join()
+        print("result", rows, most[0])
+    """
+    out = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], capture_output=True, text=True, timeout=600)
+    rows, most = next(map(int, x.split()[1:]) for x in out.stdout.splitlines() if x.startswith("result"))
+    assert rows > 0 and most < 100 << 20
