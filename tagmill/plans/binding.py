@@ -1,7 +1,8 @@
 """The driver's tables seen as tagged records: Spark frames, and the same as SQL for the oracles.
 
-item = part, section = its type, cluster = its brand; record = order of 1998-2000, tagged with its lines' parts: by price
-the first is primary and the next three are secondary. A second tagger goes by quantity.
+item = part, section = its type, cluster = its brand; suppliers are further items, which no record is tagged with. record =
+order, tagged with its lines' parts: by price the first is primary and the next three are secondary. A second tagger goes by
+quantity. Records are of one of three editions, by the year of the order modulo three.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 YEARS = (1998, 1999, 2000)
-URGENT = ("1-URGENT", "2-HIGH")
+#: What is added to a supplier's key to make it an item's.
+SUPPLIERS = 1_000_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(
-        F.col("p_partkey").alias("item_id"), F.col("p_name").alias("label"), F.col("p_type").alias("section_id"), F.col("p_brand").alias("cluster"), F.concat("p_type", F.lit(":"), "p_brand").alias("unit_id"), F.when(F.col("p_type").isin("PROMO", "STANDARD"), "GA").otherwise("DA").alias("part")
-    )
+    """item_id, label, section_id, cluster, unit_id, part. A supplier is of a section and cluster that parts have, by its key."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("label"), F.col("p_type").alias("section_id"), F.col("p_brand").alias("cluster"))
+    units = parts.agg(F.array_sort(F.collect_set(F.struct("section_id", "cluster"))).alias("units"))  # one row
+    unit = F.get("units", (F.col("s_suppkey") % F.size("units")).cast("int"))
+    more = table(spark, d, "supplier").crossJoin(F.broadcast(units)).select((F.col("s_suppkey") + SUPPLIERS).alias("item_id"), F.col("s_name").alias("label"), unit["section_id"].alias("section_id"), unit["cluster"].alias("cluster"))
+    part = F.when(F.col("section_id").isin("PROMO", "STANDARD"), "GA").otherwise("DA")
+    return parts.unionByName(more).select("item_id", "label", "section_id", "cluster", F.concat("section_id", F.lit(":"), "cluster").alias("unit_id"), part.alias("part"))
 
 
 def tags(spark: SparkSession, d: str) -> DataFrame:
@@ -31,28 +37,27 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
     return both.select("id", F.col("a")[0].alias("primary"), F.slice("a", 2, 3).alias("secondary"), F.col("b")[0].alias("guess_primary"), F.slice("b", 2, 3).alias("guess_secondary"), F.slice("b", 1, 15).alias("ranking"))
 
 
-def questions(spark: SparkSession, d: str, urgent: bool = True) -> DataFrame:
-    orders = table(spark, d, "orders").filter(F.year("o_orderdate").between(YEARS[0], YEARS[-1]))
-    if urgent:
-        orders = orders.filter(F.col("o_orderpriority").isin(*URGENT))
-    return orders.select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("type"), F.when(F.col("o_totalprice") >= 150000, 2).otherwise(1).alias("marks"), F.col("o_orderpriority").alias("priority"))
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    year = (F.lit(YEARS[0]) + F.year("o_orderdate") % len(YEARS)).cast("int")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), year.alias("year"), F.col("o_orderstatus").alias("type"), F.when(F.col("o_totalprice") >= 150000, 2).otherwise(1).alias("marks"), F.col("o_orderpriority").alias("priority"))
 
 
-def records(spark: SparkSession, d: str, urgent: bool = True) -> DataFrame:
+def records(spark: SparkSession, d: str) -> DataFrame:
     """Tagged questions with the part of their primary item."""
-    tagged = questions(spark, d, urgent).join(tags(spark, d), "id")
+    tagged = questions(spark, d).join(tags(spark, d), "id")
     return tagged.join(items(spark, d).select(F.col("item_id").alias("primary"), "part", F.col("section_id").alias("section")), "primary")
 
 
-def ctes(urgent: bool = True) -> str:
+def ctes() -> str:
     """SQL views i (items), q (questions), t (line tags with both ranks), r (records), u (uses) and w (shared weights)."""
-    only = " AND o_orderpriority IN ('1-URGENT', '2-HIGH')" if urgent else ""
     return f"""WITH i AS (
-    SELECT p_partkey AS item_id, p_name AS label, p_type AS section_id, p_brand AS cluster, concat(p_type, ':', p_brand) AS unit_id,
-           CASE WHEN p_type IN ('PROMO', 'STANDARD') THEN 'GA' ELSE 'DA' END AS part FROM part),
+    SELECT *, concat(section_id, ':', cluster) AS unit_id, CASE WHEN section_id IN ('PROMO', 'STANDARD') THEN 'GA' ELSE 'DA' END AS part
+    FROM (SELECT p_partkey AS item_id, p_name AS label, p_type AS section_id, p_brand AS cluster FROM part UNION ALL
+        SELECT s_suppkey + {SUPPLIERS}, s_name, units[s_suppkey % len(units) + 1].t, units[s_suppkey % len(units) + 1].b
+        FROM supplier, (SELECT list_sort(list(DISTINCT {{'t': p_type, 'b': p_brand}})) AS units FROM part))),
 q AS (
-    SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS type, CASE WHEN o_totalprice >= 150000 THEN 2 ELSE 1 END AS marks, o_orderpriority AS priority
-    FROM orders WHERE year(o_orderdate) BETWEEN 1998 AND 2000{only}),
+    SELECT o_orderkey AS id, CAST({YEARS[0]} + year(o_orderdate) % {len(YEARS)} AS INTEGER) AS year, o_orderstatus AS type, CASE WHEN o_totalprice >= 150000 THEN 2 ELSE 1 END AS marks, o_orderpriority AS priority
+    FROM orders),
 l AS (SELECT l_orderkey AS id, l_partkey AS item_id, max(l_extendedprice) AS price, max(l_quantity) AS qty FROM lineitem GROUP BY 1, 2),
 t AS (
     SELECT id, item_id, row_number() OVER (PARTITION BY id ORDER BY price DESC, item_id) AS rp, row_number() OVER (PARTITION BY id ORDER BY qty DESC, item_id) AS rq FROM l),

@@ -8,12 +8,12 @@ from tagmill.operators import weightage as w
 from tagmill.plans.binding import YEARS, ctes, items, records, table
 from tagmill.streaming.totals import running_totals
 
-C = ctes(urgent=False)
+C = ctes()
 
 
 def atlas_questions(spark, d):
     """Compact rows: a question with its tags, the other tagger's pick and whether both agree."""
-    r = records(spark, d, urgent=False)
+    r = records(spark, d)
     return r.select("id", "year", "type", "marks", "part", F.col("primary").alias("primary_item"), F.concat_ws(";", F.transform("secondary", lambda x: x.cast("string"))).alias("secondary"), "guess_primary", (F.col("guess_primary") == F.col("primary")).alias("agree"))
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tagmill.operators import evaluation as e
 from tagmill.plans.binding import ctes, items, records
 
-C = ctes(urgent=False)
+C = ctes()
 
 
 def _rows(spark, d):
     i = items(spark, d)
     truth = i.select(F.col("item_id").alias("primary"), F.col("unit_id").alias("cluster"))
     guess = i.select(F.col("item_id").alias("guess_primary"), F.col("unit_id").alias("guess_cluster"), F.col("section_id").alias("guess_section"))
-    rows = records(spark, d, urgent=False).join(truth, "primary").join(guess, "guess_primary")
+    rows = records(spark, d).join(truth, "primary").join(guess, "guess_primary")
     return rows.withColumn("clean", F.col("marks") == 1)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import IntegerType
 from tagmill.functions.text import content_words
 from tagmill.operators import glyphs as gl
 from tagmill.operators import intervals as iv
-from tagmill.plans.binding import items, table
+from tagmill.plans.binding import ctes, items, table
 
 LAST_DAY = 31
 
@@ -227,5 +227,5 @@ ORACLES = {
         CAST(coalesce(fraction_bars, 0) AS INTEGER) AS fraction_bars, CAST(coalesce(stacked_math_lines, 0) AS INTEGER) AS stacked_math_lines, CAST(coalesce(stacked_glyphs, 0) AS INTEGER) AS stacked_glyphs, CAST(coalesce(matrix_rows, 0) AS INTEGER) AS matrix_rows,
         CAST(coalesce(deep_scripts, 0) AS INTEGER) AS deep_scripts, 0 AS display_math_glyphs, CAST(coalesce(underline_rules, 0) AS INTEGER) AS underline_rules
         FROM (SELECT DISTINCT page FROM w) LEFT JOIN hf USING (page) LEFT JOIN rf USING (page) LEFT JOIN df USING (page) LEFT JOIN st USING (page) LEFT JOIN mr USING (page) LEFT JOIN sg USING (page)""",
-    "flatten_taxonomy": "SELECT CASE WHEN p_type IN ('PROMO', 'STANDARD') THEN 'GA' ELSE 'DA' END AS part, p_type AS section_id, p_brand AS cluster, p_partkey AS item_id, p_name AS label FROM part",
+    "flatten_taxonomy": ctes() + " SELECT part, section_id, cluster, item_id, label FROM i",
 }

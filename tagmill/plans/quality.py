@@ -9,25 +9,25 @@ from tagmill.operators import ordering, textops
 from tagmill.operators import quality as q
 from tagmill.plans.binding import ctes, items, questions, records, table, tags
 
-C = ctes(urgent=False)
+C = ctes()
 
 
 def question_records(spark, d):
     """All questions with their tags; what is untagged has nulls. Penalty: a third of the marks for one type only."""
-    rows = questions(spark, d, urgent=False).join(tags(spark, d).select("id", "primary", "secondary"), "id", "left")
+    rows = questions(spark, d).join(tags(spark, d).select("id", "primary", "secondary"), "id", "left")
     return rows.select("id", "year", "type", "marks", F.when(F.col("type") == "F", F.round(F.col("marks") / 3, 4)).otherwise(0.0).alias("negative_marks"), F.col("primary").alias("primary_item"), F.size(F.coalesce("secondary", F.array().cast("array<bigint>"))).alias("n_secondary"), F.when(F.col("primary").isNull(), "needs_review").otherwise("clean").alias("status"))
 
 
 def questions_flat(spark, d):
     """Arrays joined, options widened to columns, labels with the id as a fallback."""
-    rows = questions(spark, d, urgent=False).join(tags(spark, d).select("id", "primary", "secondary"), "id", "left")
+    rows = questions(spark, d).join(tags(spark, d).select("id", "primary", "secondary"), "id", "left")
     rows = rows.join(items(spark, d).select(F.col("item_id").alias("primary"), "label"), "primary", "left")
     option = lambda n: F.coalesce(F.get("secondary", F.lit(n)).cast("string"), F.lit(""))
     return rows.select("id", F.coalesce(F.col("primary").cast("string"), F.lit("")).alias("primary_item"), F.coalesce(F.concat_ws(";", F.transform("secondary", lambda x: x.cast("string"))), F.lit("")).alias("secondary_items"), option(0).alias("option_a"), option(1).alias("option_b"), option(2).alias("option_c"), F.coalesce("label", F.col("primary").cast("string"), F.lit("")).alias("title"))
 
 
 def attach_tags(spark, d):
-    return questions(spark, d, urgent=False).join(tags(spark, d).select("id", "primary"), "id", "left").groupBy("year", "type").agg(F.count(F.lit(1)).alias("questions"), F.count("primary").alias("tagged"))
+    return questions(spark, d).join(tags(spark, d).select("id", "primary"), "id", "left").groupBy("year", "type").agg(F.count(F.lit(1)).alias("questions"), F.count("primary").alias("tagged"))
 
 
 def latest_by_key(spark, d):
@@ -60,8 +60,8 @@ def dq_passed(spark, d):
 
 def tag_problems(spark, d):
     """One row per broken clause of the tag contract."""
-    asked, tagged, i = questions(spark, d, urgent=False), tags(spark, d), items(spark, d)
-    known = records(spark, d, urgent=False)
+    asked, tagged, i = questions(spark, d), tags(spark, d), items(spark, d)
+    known = records(spark, d)
     used = known.select("id", "part", F.explode("secondary").alias("item_id")).join(i.select("item_id", F.col("part").alias("own")), "item_id", "left")
     problem = lambda rows, text: rows.select("id", F.lit(text).alias("problem")).distinct()
     return q.problems(
@@ -109,7 +109,7 @@ def profile_checks(spark, d):
 
 def id_roundtrip(spark, d):
     """Readable ids, and their year and number read back from them."""
-    rows = questions(spark, d, urgent=False).withColumn("number", F.col("id") % 100)
+    rows = questions(spark, d).withColumn("number", F.col("id") % 100)
     name = F.format_string("DA%d-Q%02d", F.col("year"), F.col("number"))
     return rows.select("id", name.alias("name"), F.substring(name, 3, 4).cast("int").alias("year_back"), F.regexp_extract(name, r"-Q(\d+)$", 1).cast("int").alias("number_back"))
 
@@ -140,7 +140,7 @@ def needs_review(spark, d):
 
 def faceted_search(spark, d):
     """Records by year, part, section prefix, type, marks and a word in the label of any of their items, in any case."""
-    r, i = records(spark, d, urgent=False), items(spark, d)
+    r, i = records(spark, d), items(spark, d)
     r = r.filter((F.col("year") == 1999) & (F.col("part") == "DA") & F.col("section").startswith("E") & (F.col("type") == "F") & (F.col("marks") == 2))
     used = r.select("id", "section", F.explode(F.concat(F.array("primary"), "secondary")).alias("item_id")).join(i.select("item_id", "label"), "item_id")
     return used.filter(F.lower("label").contains("an")).groupBy("id", "section").agg(F.count(F.lit(1)).alias("matching"))

@@ -8,7 +8,7 @@ from tagmill.functions import text as tx
 from tagmill.operators import ordering, textops
 from tagmill.plans.binding import ctes, items, questions, records, table
 
-C = ctes(urgent=False)
+C = ctes()
 
 
 def normalize_text(spark, d):
@@ -61,7 +61,7 @@ def answer_check(spark, d):
 
 def range_expand(spark, d):
     """Headings that give marks to ranges of numbers, spelt out."""
-    heads = questions(spark, d, urgent=False).select("id", F.concat(F.lit("Q."), (F.col("id") % 20 + 1).cast("string"), F.lit(" – Q."), (F.col("id") % 20 + 1 + F.col("id") % 4).cast("string"), F.lit(" Carry "), F.when(F.col("marks") == 1, "ONE mark").otherwise("TWO marks"), F.lit(" Each")).alias("heading"))
+    heads = questions(spark, d).select("id", F.concat(F.lit("Q."), (F.col("id") % 20 + 1).cast("string"), F.lit(" – Q."), (F.col("id") % 20 + 1 + F.col("id") % 4).cast("string"), F.lit(" Carry "), F.when(F.col("marks") == 1, "ONE mark").otherwise("TWO marks"), F.lit(" Each")).alias("heading"))
     return heads.select("id", F.explode(textops.mark_ranges(F.col("heading"))).alias("r")).select("id", "r.number", "r.marks")
 
 
@@ -82,7 +82,7 @@ def props_json(spark, d):
 
 def parse_secondary(spark, d):
     """What a tagger returned, made valid: the primary out, doubles out, three at most."""
-    r = records(spark, d, urgent=False)
+    r = records(spark, d)
     given = F.concat(F.array("guess_primary"), F.array("primary"), "ranking", "secondary")
     return r.select("id", F.array_join(F.transform(textops.secondary_tags(F.col("primary"), given), lambda x: x.cast("string")), ",").alias("secondary"))
 
@@ -94,12 +94,12 @@ def prompt_block(spark, d):
 
 def batch_assign(spark, d):
     """Tagged questions in batches of ten per part, in order of their ids."""
-    return ordering.batches(records(spark, d, urgent=False).select("part", "id"), ["part"], "id", 10)
+    return ordering.batches(records(spark, d).select("part", "id"), ["part"], "id", 10)
 
 
 def cache_todo(spark, d):
     """Questions without a cached result of the present prompt version, the first hundred: the run's own limit."""
-    asked = questions(spark, d, urgent=False)
+    asked = questions(spark, d)
     cached = asked.withColumn("version", F.when(F.col("priority") == "1-URGENT", 2).otherwise(1)).filter("version = 2").select("id")
     return asked.join(cached, "id", "left_anti").orderBy("year", "id").limit(100).select("id", "year")
 
