@@ -15,12 +15,16 @@ GLYPH_REPAIRS = {"Ɵ": "ti", "Ʃ": "tt", "ﬁ": "fi", "ﬀ": "ff", "ﬂ": "fl",
 INVISIBLE = "\u2061\u2062\u2063\u2064\u200b\ufeff"
 
 
+#: White space that goes: after a hyphen at a line's end, and before a small letter that goes on with a word (fixed values).
+BROKEN_WORDS = (r"(?<=-)\s*\n\s*", r"(?<=-)\s+(?=[a-z])")
+
+
 def normalize(text: Column) -> Column:
     """Glyphs repaired, words joined over hyphenated line breaks, white space collapsed."""
     for broken, fixed in GLYPH_REPAIRS.items():
         text = F.replace(text, F.lit(broken), F.lit(fixed))
-    text = F.regexp_replace(text, r"-\s*\n\s*", "-")
-    text = F.regexp_replace(text, r"-\s+([a-z])", "-$1")
+    for space in BROKEN_WORDS:
+        text = F.regexp_replace(text, space, "")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
@@ -38,22 +42,14 @@ def preview(text: Column, chars: int = 160) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, chars)
 
 
+#: What single characters become: compatibility forms of mathematical letters and of ligatures, a plain blank and h, nothing.
+_PLAIN = {c: unicodedata.normalize("NFKC", chr(c)) for low, high in ((0x1D400, 0x1D7FF), (0xFB00, 0xFB06)) for c in range(low, high + 1)}
+_PLAIN |= {0xA0: " ", ord("ℎ"): "h"} | dict.fromkeys(map(ord, INVISIBLE))
+
+
 def clean_unicode(text: str | None) -> str | None:
     """Invisible operators go; mathematical letters and ligatures become plain ones; marks are composed."""
-    if text is None:
-        return None
-    out = []
-    for c in text:
-        if c in INVISIBLE:
-            continue
-        if c == "\u00a0":
-            c = " "
-        elif c == "ℎ":  # the Planck constant stands in for an italic h
-            c = "h"
-        elif 0x1D400 <= ord(c) <= 0x1D7FF or 0xFB00 <= ord(c) <= 0xFB06:
-            c = unicodedata.normalize("NFKC", c)
-        out.append(c)
-    return unicodedata.normalize("NFC", "".join(out))
+    return None if text is None else unicodedata.normalize("NFC", text.translate(_PLAIN))
 
 
 @F.pandas_udf(StringType())

@@ -128,9 +128,9 @@ def coverage_cursor(spark, d):
 
 
 def unicode_clean(spark, d):
-    """Documents whose text changes when invisible and mathematical characters are cleaned: none of plain prose does."""
+    """Digest of every whole text, after a ligature, an invisible operator and a mathematical letter put in front, cleaned."""
     docs = table(spark, d, "documents").select("doc_id", "text", tx.unicode_clean(F.concat(F.lit("ﬁ ⁡𝑥 "), "text")).alias("clean"))
-    return docs.select("doc_id", F.substring("clean", 1, 4).alias("head"), F.length("clean").alias("n"))
+    return docs.select("doc_id", F.md5("clean").alias("digest"), F.length("clean").alias("n"))
 
 
 _NORM = "regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(text, 'Ɵ', 'ti'), 'Ʃ', 'tt'), 'ﬁ', 'fi'), 'ﬀ', 'ff'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '’', ''''), '-\\s*\\n\\s*', '-', 'g'), '-\\s+([a-z])', '-\\1', 'g'), '\\s+', ' ', 'g')"
@@ -161,5 +161,5 @@ ORACLES = {
     "usage_cost": "SELECT event_type, count(*) AS calls, sum(t) AS tokens, round(sum(t) / count(*), 2) AS mean_tokens FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS t FROM events) GROUP BY event_type",
     "split_sections": C + "SELECT item_id, unnest(['Alpha', 'Beta', 'Gamma']) AS title, unnest([label, concat(cluster, ' and more'), concat(section_id, ' end')]) AS body FROM i",
     "coverage_cursor": C + "SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'gap' WHEN 1 THEN cluster ELSE 'covered' END AS result FROM i",
-    "unicode_clean": "SELECT doc_id, 'fi x' AS head, length(text) + 5 AS n FROM documents",
+    "unicode_clean": "SELECT doc_id, md5(c) AS digest, length(c) AS n FROM (SELECT doc_id, concat('fi x ', nfc_normalize(replace(text, chr(160), ' '))) AS c FROM documents)",
 }
