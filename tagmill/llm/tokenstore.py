@@ -47,19 +47,24 @@ MIN_COUNT = 16
 #: saves less than a hundredth), and new rules of a round at most.
 MAX_ROUNDS = 64
 RULES_A_ROUND = 4096
+#: Share of the sequence that a round must save if another one is to follow.
+LEAST_SAVING = 0.01
+#: Settings of ``repair`` that leave no pair that occurs twice: slow, as every rule takes a pass.
+TO_THE_END = {"min_count": 2, "rounds": 1 << 62, "rules_a_round": 1, "least_saving": 0.0, "wide": True}
 #: Documents that one call of ``read_documents`` gives at most.
 MAX_WANTED = 100_000
 #: Pieces that the library gets as one text.
 RUN = 32
 
 
-def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int = MAX_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int = MAX_ROUNDS, rules_a_round: int = RULES_A_ROUND, least_saving: float = LEAST_SAVING, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Reduced sequence and rules (n x 2) of ids below ``base``.
 
     Each round counts all neighbouring pairs exactly, takes the most frequent ones and replaces their occurrences at
-    once. Where two occurrences overlap the more frequent pair goes first, and of a run of one pair every second.
+    once. Where two occurrences overlap the more frequent pair goes first, and of a run of one pair every second. ``TO_THE_END``
+    has the settings with which one pair at a time goes, until none is left that occurs twice.
     """
-    small = base < 1 << 16
+    small = base < 1 << 16 and not wide
     symbol, key, half = (np.uint16, np.uint32, 16) if small else (np.uint32, np.uint64, 32)
     room = (1 << 16) - base if small else (1 << 32) - base
     seq = ids.astype(symbol)
@@ -77,7 +82,7 @@ def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int =
         if not len(frequent):
             break
         values, counts = ordered[last[frequent]], counts[frequent]
-        best = np.argsort(-counts, kind="stable")[: min(RULES_A_ROUND, room - n_rules)]
+        best = np.argsort(-counts, kind="stable")[: min(rules_a_round, room - n_rules)]
         chosen = values[best]
         # a hash table of one entry a slot; a pair that loses its slot to a more frequent one waits for the next round
         n = len(chosen)
@@ -98,13 +103,15 @@ def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, rounds: int =
         at = np.flatnonzero(take)
         if not len(at):
             break
-        seq[at] = (rank[at].astype(np.int64) + (base + n_rules)).astype(symbol)
+        used, number = np.unique(rank[at], return_inverse=True)  # a pair that lost all its occurrences makes no rule
+        chosen = chosen[used]
+        seq[at] = (number + (base + n_rules)).astype(symbol)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         before, seq = len(seq), seq[keep]
         rules.append(np.stack([(chosen >> key(half)).astype(symbol), (chosen & key((1 << half) - 1)).astype(symbol)], 1))
         n_rules += len(chosen)
-        if before - len(seq) < before // 100:
+        if before - len(seq) < before * least_saving:
             break
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), symbol)
 
@@ -205,14 +212,16 @@ def _tokenizer(path: str) -> tuple[PieceEncoder, int]:
 _SHARD = "part int, seq int, part_start bigint, n_ids bigint, doc_ids array<{}>, starts array<bigint>, width int, base bigint, symbols binary, rules binary, lengths binary"
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Encode every whole text and write the files. ``tokenizer_path`` must be readable on the executors.
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, key: str = "doc_id", text: str = "text", grammar: dict | None = None) -> None:
+    """Encode every whole text and write the files. ``tokenizer_path`` must be readable on the executors; ``grammar`` has
+    settings of ``repair``, such as TO_THE_END.
 
     One shuffle, by ranges of doc_id, sorted within; encoding and compression hold one shard at a time.
     """
     source = two_columns(docs, key, text)
     kind = dict(source.dtypes)["doc_id"]
     key_type = source.schema["doc_id"].dataType
+    grammar = dict(grammar or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -229,7 +238,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, k
 
         def shard() -> pa.RecordBatch:
             counts = np.array(sizes, np.int64)
-            symbols, rules = repair(np.concatenate(held), base)
+            symbols, rules = repair(np.concatenate(held), base, **grammar)
             row = [part, seq, before, int(counts.sum()), keys, (np.cumsum(counts) - counts).tolist(), symbols.dtype.itemsize, base, symbols.tobytes(), rules.tobytes(), rule_lengths(rules, base).tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 

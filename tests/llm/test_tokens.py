@@ -93,6 +93,18 @@ def test_grammar_round_trip(ids, least):
             assert (tokenstore.decode_range(row, a, b) == ids[a:b]).all()
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=300))
+def test_grammar_to_the_end(ids):
+    """One pair at a time until none occurs twice without overlap; every rule is used."""
+    symbols, rules = tokenstore.repair(np.array(ids, np.uint32), 4, **tokenstore.TO_THE_END)
+    assert tokenstore.Grammar(rules, 4).expand(symbols.astype(np.int64)).tolist() == ids
+    pairs = list(zip(symbols.tolist(), symbols.tolist()[1:], strict=False))
+    twice = {p for i, p in enumerate(pairs) if p in pairs[i + (2 if p[0] == p[1] else 1) :]}
+    assert not twice
+    assert set(range(4, 4 + len(rules))) <= {*symbols.tolist(), *rules.ravel().tolist()}
+
+
 def test_grammar_of_large_ids():
     ids = np.tile(np.array([70_000, 1, 80_000], np.uint32), 500)
     symbols, rules = tokenstore.repair(ids, 90_000, min_count=2)
@@ -113,6 +125,9 @@ def test_files(spark, tmp_path, monkeypatch):
         want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
+    exact = f"file://{tmp_path}/exact"
+    tokenstore.write_shards(_docs(spark).filter("doc_id < 4 OR doc_id IS NULL"), tokenizer, 2, exact, grammar=tokenstore.TO_THE_END)
+    assert sorted(r.ids_crc32 for r in tokenstore.read_shards(spark, exact).collect()) == sorted(c for a, _, _, c in want if a != 4)
     some = spark.createDataFrame([(3,), (4,), (1,), (None,), (99,)], "x BIGINT")
     ids = sorted(((r.doc_id if r.doc_id is not None else -1), len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in tokenstore.read_documents(spark, path, some).collect())
     assert ids == [(a, n, c) for a, _, n, c in want if a in (-1, 1, 3, 4)]
