@@ -55,3 +55,12 @@ def test_flagship(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 12
+
+
+def test_fetch_command(tmp_path):
+    from tagmill.cli import main
+
+    (tmp_path / "a.pdf").write_bytes(b"%PDF x")
+    (tmp_path / "sources.json").write_text('{"a.pdf": ["file://%s"]}' % (tmp_path / "a.pdf"))
+    assert main(["fetch", "--data", str(tmp_path / "sources.json"), "--out", str(tmp_path / "raw")]) == 0
+    assert (tmp_path / "raw" / "a.pdf").read_bytes() == b"%PDF x"

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagmill.sources import fetch, files
+from tagmill.sources import batches, fetch, files
 from tagmill.streaming.totals import running_totals, windowed_counts
 
 
@@ -129,3 +129,27 @@ def test_npy_and_plan(spark, tmp_path):
     assert "Week 1: 2001-01-01 to 2001-01-07 (learn, 2.5 of 3 h)" in text and "- Learn: Unit 2.5 h" in text and "practise with: Unit q1,q2" in text
     assert [w["blocks"][0]["kind"] for w in json.load(open(js))] == ["finish", "mock"]
     assert files.report("T", {"S": ("What.", plan.select("week"))}).startswith("# T\n\n## S\n\nWhat.\n\n| week |")
+
+
+def test_tagging_in_batches(tmp_path):
+    questions = [{"id": f"q{i:02}", "part": "AB"[i % 2], "text": "?"} for i in range(24)]
+    items = {"A": ["a1", "a2"], "B": ["b1"]}
+    calls, waits = [], []
+
+    def ask(prompt, schema):
+        ids = schema["properties"]["tags"]["items"]["properties"]["id"]["enum"]
+        calls.append(ids)
+        if len(calls) == 1:
+            raise OSError("busy")
+        rows = [{"id": i, "primary": "a1" if prompt.startswith("PA") else "b1", "secondary": ["a2", "a2", "a1", "zz"]} for i in ids if i != "q02" or len(calls) > 2]
+        return json.dumps({"tags": [*rows, {"id": "foreign", "primary": "a1"}, *rows]}), 100
+
+    clock = [0.0]
+    pace = batches.Pace(250, lambda: clock[0], lambda s: (waits.append(s), clock.__setitem__(0, clock[0] + s))[0])
+    cache = str(tmp_path / "cache.jsonl")
+    assert batches.tag(questions, {"A": "PA", "B": "PB"}, items, ask, cache, "1", pace=pace, sleep=waits.append) == []
+    assert [len(c) for c in calls] == [10, 10, 1, 2, 10, 2] and calls[2] == ["q02"] and waits[0] == 2.0 and 60.0 in waits
+    rows = batches.cached(cache, "1")
+    assert len(rows) == 24 and rows["q00"]["secondary"] == ["a2"] and rows["q01"]["secondary"] == []
+    assert batches.tag(questions, {}, items, ask, cache, "1") == [] and len(calls) == 6
+    assert batches.tag(questions, {"A": "PA", "B": "PB"}, items, lambda p, s: ("not json", 1), cache, "2", limit=3) == ["q00", "q02", "q04"]
