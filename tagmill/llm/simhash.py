@@ -11,7 +11,8 @@ if the tally reaches the guaranteed minimum, and is verified by its differing bi
 position set that it agrees on, and nowhere else. Pairs are never emitted: a list's output is a spanning forest of its
 verified links, so a list of n entries gives less than n rows.
 
-A list longer than ``LIST_SIZE`` is not worked on. The bits that its entries don't agree on by the key are cut into
+A list longer than ``LIST_SIZE`` is not worked on. Those that a sample of the fingerprints shows to be long aren't brought
+together at all, so a hot list costs no task its whole length. The bits that its entries don't agree on by the key are cut into
 ``max_bits + 1`` blocks, of which a linked pair has at least one equal, and its entries are dealt again by each block.
 This repeats until no list is too long: with 13 free bits a list has 8192 entries at most, so it ends, and nothing is lost.
 
@@ -29,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import discard, materialise, slices, small_batches, tidy, two_columns, workspace
+from tagmill.llm.common import BROADCAST_IDS, discard, materialise, slices, small_batches, tidy, two_columns, workspace
 from tagmill.llm.components import connected_components
 
 SHINGLE = 4
 MAX_BITS = 4
 LIST_SIZE = 10_000
+#: One in this many fingerprints is counted to tell long lists. Dealing a list again is right whatever its length.
+SAMPLE = 16
 #: Lists of this many entries at most are compared all at once by shifting, longer ones one by one.
 SMALL_LIST = 24
 
@@ -217,16 +220,26 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, list_size: int = LIST_S
     held: DataFrame | None = None
     masks = [_mask(p) for p in position_sets(max_bits)]
     entries = distinct.select("seed", F.explode(F.array(*(F.lit(m).cast("bigint") for m in masks))).alias("mask"), "fp")
+    key = ["seed", "mask", "list"]
+    sampled = distinct.limit(list_size + 1).count() > list_size  # else no list can be long
     while True:
         entries = entries.select("seed", "mask", F.col("mask").bitwiseAND(F.col("fp")).alias("list"), "fp")
-        dealt = entries.repartition("seed", "mask", "list").sortWithinPartitions("seed", "mask", "list", "fp")
+        short, hot = entries, None
+        if sampled:
+            counts = entries.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).groupBy(*key).count()
+            likely = materialise(counts.filter(F.col("count") > list_size // SAMPLE).select(*key), "likely-long")
+            n_likely = likely.limit(BROADCAST_IDS + 1).count()
+            if 0 < n_likely <= BROADCAST_IDS:
+                short, hot = entries.join(F.broadcast(likely), key, "left_anti"), entries.join(F.broadcast(likely), key, "left_semi")
+        dealt = short.repartition(*key).sortWithinPartitions(*key, "fp")
         done = materialise(dealt.mapInArrow(tidy(_work(max_bits, list_size)), "seed bigint, a bigint, b bigint, long boolean"), "links")
         now = done.filter("NOT long").select("seed", "a", "b")
         found = now if found is None else found.unionByName(now)
         long = done.filter("long").select("seed", F.col("a").alias("mask"), F.col("b").alias("list"))
-        if long.isEmpty():
+        if hot is None and long.isEmpty():
             return found.distinct()
-        held, last = materialise(entries.join(long, ["seed", "mask", "list"], "left_semi"), "long-lists"), held
+        again = short.join(long, key, "left_semi")
+        held, last = materialise(again if hot is None else again.unionByName(hot), "long-lists"), held
         if last is not None:
             discard(last)
         entries = held.select("seed", "mask", "fp").mapInArrow(_deal_again(max_bits + 1), "seed bigint, mask bigint, fp bigint").distinct()
