@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagmill.operators import evaluation, vectors
+from tagmill.operators import evaluation, softmax, vectors
 from tagmill.plans.binding import table
-from tagmill.sources.scratch import written
+from tagmill.sources.scratch import lent, written
 
 GRID = [(w, t) for w in (0.25, 0.5, 0.75, 1.0) for t in (0.02, 0.05)]
 
@@ -84,34 +87,53 @@ def nested_cv_grid(spark, d):
     return best.select("fold", pick(0).alias("weight"), pick(1).alias("temperature"), F.col("b.accuracy").alias("accuracy"))
 
 
-def classifier_cv(spark, d):
-    """Majority class, TF-IDF and embeddings with logistic regression, each cross-validated in five folds."""
-    from pyspark.ml import Pipeline
+def _dealt(rows):
+    """Rows with fold, class (from 0 by name of the target) and weight (the same for each class in all), and the classes."""
+    from pyspark.ml.feature import StringIndexer
+
+    names = rows.select("target")
+    index = StringIndexer(inputCol="target", outputCol="class", stringOrderType="alphabetAsc").fit(names)
+    sizes = names.groupBy("target").agg((1 / F.count(F.lit(1))).alias("weight"))
+    dealt = index.transform(vectors.folds(rows, "target", "id", 5, 42)).withColumn("fold", F.col("fold").cast("int"))
+    return dealt.join(F.broadcast(sizes), "target"), len(index.labels)  # a row a class
+
+
+def _scores(guesses, name):
+    return evaluation.accuracy_and_macro_f1(guesses, "truth", "guess").select(F.lit(name).alias("model"), "accuracy", "macro_f1")
+
+
+def _tfidf(docs):
+    """Guesses of TF-IDF of words and pairs of words; texts are read into counts once, all folds are fitted together."""
+    width = 1 << 14
+    dealt, classes = _dealt(docs)
+    counts = softmax.packed(dealt, "text", width, "id bigint, class double, weight double, fold int").select("id", "class", "weight", "at", "n", "more", "fold")
+    with lent(counts, "counts", ("fold",)) as rows:
+        models = softmax.models(rows, width, classes, lambda n, present: np.log((n + 1) / (present + 1)), penalty=0.01, rounds=15)
+        return written(softmax.guesses(rows, models), "guesses")
+
+
+def _embedding(vecs):
+    """Guesses from the vectors, fold by fold."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer, StringIndexer
-    from pyspark.ml.functions import array_to_vector
 
-    def cross_validated(rows, stages, name):
-        rows = vectors.folds(rows, "target", "id", 5, 42)
-        labelled = StringIndexer(inputCol="target", outputCol="class", stringOrderType="alphabetAsc").fit(rows).transform(rows)
-        sizes = labelled.groupBy("class").agg(F.count(F.lit(1)).alias("__n"))
-        labelled = labelled.join(F.broadcast(sizes), "class").withColumn("weight", 1 / F.col("__n"))  # a row a class
+    logistic = LogisticRegression(labelCol="class", weightCol="weight", maxIter=25, regParam=0.1)
+    with lent(_dealt(vecs)[0].select("id", "class", "weight", "features", "fold"), "vectors", ("fold",)) as rows:
         parts = []
         for fold in range(5):
-            model = Pipeline(stages=stages).fit(labelled.filter(F.col("fold") != fold))
-            parts.append(model.transform(labelled.filter(F.col("fold") == fold)).select("id", F.col("class").alias("truth"), F.col("prediction").alias("guess")))
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return evaluation.accuracy_and_macro_f1(out, "truth", "guess").select(F.lit(name).alias("model"), "accuracy", "macro_f1")
+            found = logistic.fit(rows.filter(F.col("fold") != fold)).transform(rows.filter(F.col("fold") == fold))
+            parts.append(found.select("id", F.col("class").alias("truth"), F.col("prediction").alias("guess")))
+        return written(reduce(DataFrame.unionByName, parts), "guesses")
+
+
+def classifier_cv(spark, d):
+    """Majority class, TF-IDF and embeddings with logistic regression, each cross-validated in five folds."""
+    from pyspark.ml.functions import array_to_vector
 
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("target"))
-    words = [RegexTokenizer(inputCol="text", outputCol="w1", pattern=r"\W+"), NGram(n=2, inputCol="w1", outputCol="w2"), SQLTransformer(statement="SELECT *, concat(w1, w2) AS grams FROM __THIS__"), HashingTF(numFeatures=1 << 14, inputCol="grams", outputCol="tf"), IDF(inputCol="tf", outputCol="features"), LogisticRegression(labelCol="class", weightCol="weight", maxIter=15, regParam=0.01)]
     vecs = _rows(spark, d).select("id", array_to_vector("vector").alias("features"), F.col("label").cast("string").alias("target"))
-    logistic = [LogisticRegression(labelCol="class", weightCol="weight", maxIter=25, regParam=0.1)]
     top = docs.groupBy("target").count().orderBy(F.desc("count"), "target").limit(1).select(F.col("target").alias("guess"))
-    majority = evaluation.accuracy_and_macro_f1(docs.crossJoin(F.broadcast(top)), "target", "guess").select(F.lit("majority_class").alias("model"), "accuracy", "macro_f1")  # one row is broadcast
-    return majority.unionByName(cross_validated(docs, words, "tfidf_logreg")).unionByName(cross_validated(vecs, logistic, "embedding_logreg"))
+    majority = _scores(docs.select(F.col("target").alias("truth")).crossJoin(F.broadcast(top)), "majority_class")  # one row is broadcast
+    return majority.unionByName(_scores(_tfidf(docs), "tfidf_logreg")).unionByName(_scores(_embedding(vecs), "embedding_logreg"))
 
 
 _V = """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector, label, label % 2 AS part FROM embeddings),
